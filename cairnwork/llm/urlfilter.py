@@ -74,7 +74,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", s
     """Weights of the ``DIM`` cells, and the intercept last.
 
     ``labelled`` has at most ``MOST_LABELLED`` rows (ValueError beyond); rows without url or label are
-    left out; of none, all weights are 0. Features of a URL are its n-gram counts over their norm.
+    left out; of none, all weights are 0. Features of a URL are its n-gram counts over the root of their sum.
     """
     url = F.col(url_col)
     rows = labelled.filter(url.isNotNull() & F.col(label_col).isin(0, 1)).select(url.alias("u"), F.col(label_col).cast("double").alias("y")).groupBy("u").agg(F.max("y").alias("y"))
@@ -84,7 +84,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", s
     if not known:
         return [0.0] * (DIM + 1)
     counts = rows.select("u", "y", F.explode(cells(host_of(F.col("u")), path_of(F.col("u")))).alias("cell")).groupBy("u", "y", "cell").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norms = counts.groupBy("u").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    norms = counts.groupBy("u").agg(F.sqrt(F.sum("n")).alias("norm"))
     x = counts.join(norms, "u").select("u", "y", "cell", (F.col("n") / F.col("norm")).alias("v"))
     other = x.select(F.col("u").alias("w"), "cell", F.col("v").alias("z"))
     kernel = x.join(other, "cell").groupBy("u", "y", "w").agg(F.sum(F.col("v") * F.col("z")).alias("k"))
@@ -112,14 +112,11 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", s
     return out
 
 
-def chance(host: Column, path: Column, weights: list[float]) -> Column:
-    """The model's probability that a URL is to be blocked."""
+def chance(found: Column, weights: list[float]) -> Column:
+    """The model's probability that a URL of these cells is to be blocked."""
     literal = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
-    # Equal cells count as often as they occur, so the norm is over counts.
-    found = cells(host, path)
     total = F.aggregate(found, F.lit(0.0), lambda acc, c: acc + F.get(literal, c))
-    counts = F.aggregate(F.array_distinct(found), F.lit(0.0), lambda acc, c: acc + F.pow(F.size(F.filter(found, lambda o: o == c)), F.lit(2.0)))
-    return 1 / (1 + F.exp(-(F.when(counts > 0, total / F.sqrt(counts)).otherwise(0.0) + F.lit(weights[-1]))))
+    return 1 / (1 + F.exp(-(F.when(F.size(found) > 0, total / F.sqrt(F.size(found))).otherwise(0.0) + F.lit(weights[-1]))))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
@@ -135,6 +132,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, st
     """
     weights = train(labelled)
     parts = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    judged = parts.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("chance", chance(F.col("host"), F.col("path"), weights))
+    hashed = parts.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("fit"), cells(F.col("host"), F.col("path")).alias("cells"))
+    judged = hashed.withColumn("chance", chance(F.col("cells"), weights))
     verdict = F.coalesce("fit.verdict", F.when(F.col("chance") >= threshold, "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "chance")
