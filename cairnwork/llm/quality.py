@@ -25,6 +25,10 @@ from .words import words_of
 
 SLICE_BYTES = 1 << 20
 TEMPER = 4.0
+#: Words and characters of typical text that each text is thought to have besides its own, so that the
+#: shares of a text of a few words say little; and the shares of that typical text.
+PRIOR_WORDS, PRIOR_CHARS = 30, 150
+TYPICAL = {"length": 5.5, "square": 42.0, "upper": 0.015, "digits": 0.001, "marks": 0.025, "symbols": 0.0003, "repeats": 0.006, "short": 0.31, "marked": 0.0005}
 NAMES = ["chars", "word_length", "spread", "upper", "digits", "marks", "symbols", "distinct", "repeats", "short_words", "lines", "marked_words"]
 
 _CLASS = np.zeros(256, np.uint8)  # 1 upper, 2 digit, 3 mark, 4 symbol, 5 line end
@@ -54,19 +58,20 @@ def statistics(texts: list[bytes]) -> np.ndarray:
         n = words.counts
         owner = np.repeat(np.arange(len(part)), n)
         size = (words.end - words.start).astype(float)
-        per = lambda x, n=n, owner=owner, m=len(part): np.bincount(owner, x, m) / np.maximum(n, 1)
-        mean = per(size)
+        total = lambda x, owner=owner, m=len(part): np.bincount(owner, x, m)
+        per_word = lambda x, prior, n=n: (x + PRIOR_WORDS * TYPICAL[prior]) / (n + PRIOR_WORDS)
+        per_char = lambda k, prior, sums=sums, chars=chars: _logit(np.minimum(1, (sums[k] + PRIOR_CHARS * TYPICAL[prior]) / (chars + PRIOR_CHARS)))
+        mean = per_word(total(size), "length")
         repeats = np.zeros(len(size))
         if len(size):
             repeats[1:] = (words.hashes[1:] == words.hashes[:-1]) & (owner[1:] == owner[:-1])
-        marked = np.isin(kind[np.minimum(words.end, len(data) - 1)], [4]) if len(size) else np.zeros(0)
+        marked = (kind[words.end] == 4).astype(float)
         distinct = np.array([len(np.unique(words.hashes[a:b])) for a, b in zip(words.first[:-1], words.first[1:], strict=True)], float)
-        length = np.maximum(chars, 1)
         out.append(np.column_stack([
-            np.log1p(chars), np.log1p(mean), np.log1p(np.sqrt(np.maximum(per(size**2) - mean**2, 0))),
-            _logit(sums[1] / length), _logit(np.minimum(1, sums[2] / length)), _logit(np.minimum(1, sums[3] / length)), _logit(np.minimum(1, sums[4] / length)),
-            np.log((distinct + 1) / (n**0.8 + 1)), _logit(per(repeats)), _logit(per((size <= 3).astype(float))),
-            np.log((sums[5] + 1) / (n / 40 + 1)), _logit(per(marked.astype(float))),
+            np.log1p(chars), np.log(mean), np.log(np.sqrt(np.maximum(per_word(total(size**2), "square") - mean**2, 0.1))),
+            per_char(1, "upper"), per_char(2, "digits"), per_char(3, "marks"), per_char(4, "symbols"),
+            np.log((distinct + PRIOR_WORDS) / (n**0.8 + PRIOR_WORDS)), _logit(per_word(total(repeats), "repeats")), _logit(per_word(total((size <= 3).astype(float)), "short")),
+            np.log((sums[5] + 2) / (n / 40 + 2)), _logit(per_word(total(marked), "marked")),
         ]))
     return np.round(np.concatenate(out), 6) if out else np.zeros((0, len(NAMES)))
 
