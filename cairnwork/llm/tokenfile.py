@@ -27,19 +27,21 @@ from tokenizers import Tokenizer
 from .common import slices, utf8
 
 SLICE_BYTES = 1 << 20
-#: Distinct units whose ids a worker remembers; beyond that it begins anew.
-REMEMBERED = 300_000
-#: Unicode's White_Space characters, as a character class.
+#: Distinct units whose ids a worker remembers in each of two generations; the older one is then dropped.
+REMEMBERED = 200_000
+#: Unicode's White_Space characters, as a character class; letters of ASCII and Latin-1; ASCII marks.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_UNIT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_LETTER, _MARK = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-/:-@\[-`{-~"
+_UNIT = re.compile(f"[{_WHITE}]*[{_LETTER}]+(?=[{_WHITE}{_MARK}]|\\Z)|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
 class ByteTokens:
     """A byte-level BPE of the tokenizers library that splits texts by its own pattern.
 
-    That pattern never joins a character that is not white space to white space after it, so a text
-    may be cut there: the units' ids in a row are the ids of the whole text. Units repeat, and
-    their ids are remembered. A tokenizer of another kind gets whole texts.
+    That pattern joins neither a character that is not white space to white space after it, nor a letter
+    to an ASCII mark after it, so a text may be cut there: the units' ids in a row are the ids of the whole
+    text. Units repeat, and their ids are remembered; new ones are encoded together, as one text that
+    falls apart at the same places. A tokenizer of another kind gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -48,20 +50,41 @@ class ByteTokens:
         pre = self.lib.pre_tokenizer
         state = pre.__getstate__().decode() if pre is not None else ""
         self.cuts = self.lib.normalizer is None and '"ByteLevel"' in state and '"add_prefix_space":false' in state and '"use_regex":true' in state
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, np.int32).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        # A byte-level token has a character for each of its bytes.
+        self.sizes = np.array([len(self.lib.id_to_token(i) or "") for i in range(self.lib.get_vocab_size())])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _learn(self, units: set[str]) -> None:
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        young, old, fresh = self.young, self.old, []
+        for unit in units.difference(young):
+            ids = old.get(unit)
+            if ids is not None:
+                young[unit] = ids
+            elif unit[0] in " \n" and not unit[-1].isspace() and unit[-1] not in "\x1c\x1d\x1e\x1f":
+                fresh.append(unit)
+            else:
+                young[unit] = self._ids(unit).tobytes()
+        if fresh:
+            ids = self._ids("".join(fresh))
+            raw = ids.tobytes()
+            stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) for u in fresh])) + 1
+            begin = 0
+            for unit, stop in zip(fresh, (stops * 4).tolist(), strict=True):
+                young[unit] = raw[begin:stop]
+                begin = stop
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuts:
-            return [np.frombuffer(x, np.int32) for x in self._ids(texts)]
+            return [self._ids(t) for t in texts]
         units = [_UNIT.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        fresh = list(set().union(*units).difference(self.known))
-        self.known.update(zip(fresh, self._ids(fresh), strict=True))
-        get = self.known.__getitem__
+        self._learn(set().union(*units))
+        get = self.young.__getitem__
         return [np.frombuffer(b"".join(map(get, u)), np.int32) for u in units]
 
 
