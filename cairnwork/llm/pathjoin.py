@@ -98,7 +98,8 @@ def _buckets(classes: DataFrame, runs: int, small: int, deepest: int) -> DataFra
         rest = nodes.filter(~done)
         if rest.isEmpty():
             break
-        nodes = rest.select("node", "rep", "n").join(classes.select("rep", "sketch"), "rep").select("rep", F.col("n").alias("above"), F.explode(_children(F.col("node"))).alias("node"))
+        # Counted and joined below: split once, not for each.
+        nodes = cut(rest.select("node", "rep", "n").join(classes.select("rep", "sketch"), "rep").select("rep", F.col("n").alias("above"), F.explode(_children(F.col("node"))).alias("node")))
     return found.dropDuplicates(["bucket", "rep"])
 
 
