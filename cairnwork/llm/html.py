@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import cut, slices, utf8
 from .urlfilter import host_of
 
 #: Elements by what they mean for the main text.
@@ -40,6 +40,7 @@ _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 
 
 LARGE = 0.3
+SLICE_BYTES = 1 << 20
 
 
 class _Node:
@@ -155,26 +156,38 @@ def page_blocks(source: str) -> tuple[list[tuple[str, bool, bool, list[int]]], l
     return out, list(dict.fromkeys(hashes[id(n)] for n in order if id(n) not in content))
 
 
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Runs of a few MB of pages, with what ``page_blocks`` finds in their last column."""
+    for batch in batches:
+        raw = utf8(batch.column(batch.num_columns - 1))
+        for begin, end in slices(raw, SLICE_BYTES):
+            yield batch.slice(begin, end - begin), [page_blocks(t.decode("utf-8", "replace")) for t in raw[begin:end]]
+
+
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "big", signed=True)
+
+
 def _subtrees(pages: DataFrame) -> DataFrame:
     def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [page_blocks(t.decode("utf-8", "replace")) for t in utf8(batch.column(2))]
-            main = [hashlib.blake2b("\n".join(b[0] for b in blocks if b[2] and not b[1]).encode("utf-8", "replace"), digest_size=8).digest() for blocks, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int.from_bytes(m, "big", signed=True) for m in main]), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["key", "host", "article", "subtrees"])
+        for part, found in _pieces(batches):
+            main = ["\n".join(b[0] for b in blocks if b[2] and not b[1]).encode("utf-8", "replace") for blocks, _ in found]
+            articles = pa.array([_number(hashlib.blake2b(m, digest_size=8).digest()) for m in main], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), articles, pa.array([x for _, x in found], pa.list_(pa.int64()))], ["key", "host", "article", "subtrees"])
 
     return pages.mapInArrow(hashes, "key long, host string, article long, subtrees array<long>").select("key", "host", "article", F.explode("subtrees").alias("subtree"))
 
 
 def _parsed(pages: DataFrame, id_type: str) -> DataFrame:
+    kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, found in _pieces(batches):
             kept = []
-            for raw in utf8(batch.column(3)):
-                blocks = page_blocks(raw.decode("utf-8", "replace"))[0]
+            for blocks, _ in found:
                 has_main = any(b[2] for b in blocks if not b[1])
                 kept.append([{"text": b[0], "around": b[3]} for b in blocks if not b[1] and (b[2] or not has_main)])
-            kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(kept, kind)], ["key", "id", "url", "blocks"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(kept, kind)], ["key", "id", "url", "blocks"])
 
     return pages.mapInArrow(parse, f"key long, id {id_type}, url string, blocks array<struct<text:string,around:array<long>>>")
 
@@ -187,7 +200,8 @@ def extract_text(pages: DataFrame, min_pages: int = 5, id_col: str = "page_id",
     """
     id_type = pages.schema[id_col].dataType.simpleString()
     key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col)).alias("key")
-    once = _subtrees(pages.select(key, host_of(F.col(url_col)).alias("host"), html_col))
+    # Read twice below: parsed once.
+    once = cut(_subtrees(pages.select(key, host_of(F.col(url_col)).alias("host"), html_col)))
     # Pages of one article count once: what recurs with it is its own.
     recurring = once.select("host", "subtree", "article").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages).select("host", "subtree")
     marked = once.join(recurring, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
