@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -131,11 +132,16 @@ def _jump(state: DataFrame, done: str, most_rounds: int = 64) -> DataFrame:
 
     state: conv, key, to (key or null), value, steps. A node is done when ``to`` is null.
     """
+    settled, unsettled = [state.filter("to is null")], state.filter("to is not null")
     for _ in range(most_rounds):
-        if state.filter("to is not null").isEmpty():
-            return state
-        ahead = state.select("conv", F.col("key").alias("to"), F.col("to").alias("to2"), F.col("value").alias("value2"), F.col("steps").alias("steps2"))
-        state = cut(state.join(ahead, ["conv", "to"], "left").select("conv", "key", F.when(F.col("to").isNotNull(), F.col("to2")).alias("to"), F.coalesce("value2", "value").alias("value"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
+        if unsettled.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        # Only nodes that are still under way are joined, with where they are now.
+        places = reduce(DataFrame.unionByName, settled, unsettled)
+        ahead = places.select("conv", F.col("key").alias("to"), F.col("to").alias("to2"), F.col("value").alias("value2"), F.col("steps").alias("steps2"))
+        moved = cut(unsettled.join(ahead, ["conv", "to"], "left").select("conv", "key", F.col("to2").alias("to"), F.coalesce("value2", "value").alias("value"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
+        settled.append(moved.filter("to is null"))
+        unsettled = moved.filter("to is not null")
     raise RuntimeError(f"{done}: not settled after {most_rounds} rounds")
 
 
