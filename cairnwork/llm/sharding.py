@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows that a window partition holds on average, and the most buckets there are.
-BUCKET_ROWS, MOST_BUCKETS = 250_000, 65_536
+#: Rows that a window partition holds on average, and the least and most buckets that there are.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 250_000, 512, 65_536
 
 
 def _offsets(rows: DataFrame, by: list[str], bucket: str) -> DataFrame:
@@ -44,7 +44,7 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 0, id_col: str = "d
     )
     rows = cut(rows.withColumn("draw", F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null"))))))
     total = rows.count()
-    buckets = min(MOST_BUCKETS, 16 + total // BUCKET_ROWS)
+    buckets = min(MOST_BUCKETS, LEAST_BUCKETS + total // BUCKET_ROWS)
 
     drawn = rows.withColumn("cell", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), F.lit(1 << 32)))
     drawn = drawn.withColumn("cell", F.floor(F.col("cell") * buckets / F.lit(float(1 << 32))).cast("int"))
