@@ -583,3 +583,51 @@ def keyed_upsert(spark, sf_dir):
     a = load(spark, sf_dir, "customer").filter(~F.col("c_nationkey").isin(3, 5)).groupBy("c_nationkey").agg((F.sum("c_acctbal") > 0).alias("positive"), F.count(F.lit(1)).alias("n")).withColumn("origin", F.lit("cust"))
     b = load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg((F.sum("s_acctbal") > 0).alias("positive"), F.count(F.lit(1)).alias("n")).withColumn("origin", F.lit("supp"))
     return tables.upsert(a, b, ["c_nationkey", "origin"]).select("c_nationkey", "origin", "positive", "n")
+
+
+# --- traces, expectations, targets ---------------------------------------------------------------
+
+_STEPS = "('t', 'view', 1), ('t', 'click', 2), ('t', 'purchase', 3), ('u', 'signup', 1), ('u', 'error', 2)"
+
+
+@query(f"""
+WITH s(trace, predicate, step) AS (VALUES {_STEPS}), m AS (SELECT user_id, trace, step, predicate, arg_min(event_id, event_id) AS o FROM s JOIN events ON event_type = predicate GROUP BY ALL)
+SELECT trace, CAST(user_id AS VARCHAR) AS subject, CAST(user_id AS VARCHAR) || ' > ' || string_agg('e' || o, ' > ' ORDER BY step) AS route, string_agg(predicate, ',' ORDER BY step) AS steps FROM m GROUP BY trace, user_id""")
+def step_traces(spark, sf_dir):
+    """For every user, the first event of each step."""
+    from ..operators import traces
+
+    events = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), F.lit("any").alias("operation"), F.concat(F.lit("e"), "event_id").alias("object"), F.col("event_id").alias("seq"))
+    # The steps are five literals: each user gets them.
+    steps = events.select("subject").distinct().join(F.broadcast(_values(spark, _STEPS, "trace, predicate, step")), F.lit(True)).select("trace", "subject", "step", "predicate", F.lit(None).cast("string").alias("operation"))
+    return traces.step_trace(steps, events)
+
+
+_PATTERNS = "('c1', 1, true, 'c_mktsegment', 'BUILDING'), ('c1', 1, true, 'c_nationkey', '7'), ('c1', 2, false, 'c_mktsegment', 'NOTHING'), ('c2', 1, true, 'c_nationkey', '99'), ('c2', 2, false, 'c_mktsegment', 'MACHINERY'), ('c2', 2, false, 'c_nationkey', '3')"
+
+
+@query(f"""
+WITH p(case_id, pattern_id, must, field, value) AS (VALUES {_PATTERNS}),
+f AS (SELECT c_custkey, 'c_mktsegment' AS field, c_mktsegment AS value FROM customer UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer),
+m AS (SELECT case_id, pattern_id, c_custkey, count(*) AS n FROM p JOIN f USING (field, value) GROUP BY ALL), b AS (SELECT case_id, pattern_id, max(n) AS n FROM m GROUP BY ALL),
+w AS (SELECT case_id, pattern_id, must, count(*) AS c FROM p GROUP BY ALL)
+SELECT case_id, pattern_id, must, (coalesce(n, 0) = c) = must AS passed FROM w LEFT JOIN b USING (case_id, pattern_id)""")
+def eval_patterns(spark, sf_dir):
+    from ..operators import traces
+
+    facts = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    return traces.expectations(_values(spark, _PATTERNS, "case_id, pattern_id, must, field, value"), facts, "c_custkey")
+
+
+_PATH = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*/', '')"
+
+
+@query(f"""
+SELECT page_id, CASE WHEN p = 'fr' OR starts_with(p, 'fr/') THEN 'inactive' WHEN NOT (p = 'en' OR starts_with(p, 'en/') OR p = 'es' OR starts_with(p, 'es/') OR p = 'fr' OR starts_with(p, 'fr/')) THEN 'inactive' ELSE 'active' END AS status,
+CASE WHEN p = 'fr' OR starts_with(p, 'fr/') THEN 'inactive_path_prefix' WHEN NOT (p = 'en' OR starts_with(p, 'en/') OR p = 'es' OR starts_with(p, 'es/') OR p = 'fr' OR starts_with(p, 'fr/')) THEN 'not_in_active_path_prefixes' ELSE 'active_path_prefix' END AS reason
+FROM (SELECT page_id, regexp_replace({_PATH}, '^/+|/+$', '', 'g') AS p FROM pages)""")
+def target_selection(spark, sf_dir):
+    from ..operators import target
+
+    files = load(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://[^/]*/", "").alias("path"))
+    return target.decide(files, target.Profile(active_prefixes=["en", "es", "fr"], inactive_prefixes=["fr/"])).select("page_id", "status", "reason")

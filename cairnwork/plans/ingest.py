@@ -35,21 +35,23 @@ def _blank():
     return run
 
 
-def branches(lines: DataFrame, macros: Column) -> DataFrame:
+def branches(lines: DataFrame, macros: Column | None) -> DataFrame:
     """path, directive, expression, first, last (lines of content), depth, status, reason of each conditional branch.
 
     The first branch of a group that is not inactive decides: if it is active, all after it are not; if it is
-    conditional, later ones are so at most. Groups without ``#endif`` run to the end of the file.
+    conditional, later ones are so at most. Groups without ``#endif`` run to the end of the file. ``macros``
+    None: each line brings its own, in column macros.
     """
     parts = F.regexp_extract("line", _DIRECTIVE, 1).alias("directive"), F.regexp_extract("line", _DIRECTIVE, 2).alias("expression")
     at = Window.partitionBy("path").orderBy("line_no")
-    rows = lines.select("path", "line_no", *parts, F.max("line_no").over(Window.partitionBy("path")).alias("end")).filter("directive <> ''")
+    macros = F.col("macros") if macros is None else macros
+    rows = lines.select("path", "line_no", macros.alias("macros"), *parts, F.max("line_no").over(Window.partitionBy("path")).alias("end")).filter("directive <> ''")
     opens, closes = F.col("directive").isin("if", "ifdef", "ifndef"), F.col("directive") == "endif"
     rows = rows.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(at.rowsBetween(Window.unboundedPreceding, 0)) + F.when(closes, 1).otherwise(0))
     of_depth = Window.partitionBy("path", "depth").orderBy("line_no")
     rows = rows.withColumn("group", F.sum(F.when(opens, 1).otherwise(0)).over(of_depth.rowsBetween(Window.unboundedPreceding, 0))).filter("depth > 0 and `group` > 0")
     rows = rows.withColumn("last", F.coalesce(F.lead("line_no").over(Window.partitionBy("path", "depth", "group").orderBy("line_no")) - 1, F.col("end"))).filter(~closes)
-    judged = guards.eval_guard(F.when(F.col("directive") == "elif", "if").otherwise(F.col("directive")), F.col("expression"), macros)
+    judged = guards.eval_guard(F.when(F.col("directive") == "elif", "if").otherwise(F.col("directive")), F.col("expression"), F.col("macros"))
     rows = rows.withColumn("own", F.when(F.col("directive") == "else", F.struct(F.lit("active").alias("status"), F.lit("else").alias("reason"))).otherwise(judged))
     siblings = Window.partitionBy("path", "depth", "group").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     prior = F.first(F.when(F.col("own.status") != "inactive", F.col("own.status")), ignorenulls=True).over(siblings)
@@ -72,14 +74,14 @@ def _code(files: DataFrame) -> DataFrame:
     return tables.lines(files.select("path", _blank()(F.col("text")).alias("text")), "path", "text")
 
 
-def facts(files: DataFrame, macros: Column) -> DataFrame:
-    """fact_type, path, line, subject, predicate, object, build_status of files (path, text) under a map of macros.
+def facts(files: DataFrame, macros: Column | None) -> DataFrame:
+    """fact_type, path, line, subject, predicate, object, build_status of files (path, text) under a map of macros (None: column macros of each file).
 
     include: path includes target. symbol: qualified name, definition or declaration, argument count.
     call: caller calls callee, argument text is not kept. build_guard: branch lines and their status.
     """
     raw = tables.lines(files, "path", "text")
-    guard = branches(raw, macros)
+    guard = branches(raw if macros is not None else raw.join(files.select("path", "macros"), "path"), macros)
     code = line_status(_code(files), guard)
     plain = code.filter(~F.col("line").rlike(r"^\s*#"))
     include = line_status(raw, guard).withColumn("target", F.regexp_extract("line", r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]", 1)).filter("target <> ''")

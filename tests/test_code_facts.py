@@ -125,3 +125,51 @@ def test_questions():
     for c in corpus_queries.CLAIMS:
         found[c[4]] += 1
     assert set(found) == {"supported", "conditional", "unknown", "contradicted"}
+
+
+def test_headers(spark):
+    from cairnwork.plans import headers
+
+    files = sample.files(spark)
+    got = {(r.path, r.target): (r.header, r.local) for r in headers.resolve_includes(files, ["include", "third_party"]).collect()}
+    assert got == {("src/main.c", "engine.h"): ("include/engine.h", True), ("src/main.c", "stdio.h"): (None, False), ("src/engine.c", "engine.h"): ("include/engine.h", True), ("src/pool.cpp", "pool/pool.hpp"): ("third_party/pool/pool.hpp", True)}
+    assert [(r.path, r.name, r.value) for r in headers.header_macros(files, ingest.macro_map({})).collect()] == [("include/engine.h", "LEVEL", "1")]
+    command = spark.createDataFrame([("src/main.c", {"LEVEL": "2", "X": ""})], "file string, macros map<string,string>")
+    units = {(r.unit, r.name): (r.value, r.origins) for r in headers.unit_macros(files, ["include", "third_party"], command, {"NDEBUG": ""}).collect()}
+    assert units[("src/main.c", "LEVEL")] == ("2", "1_header,2_command") and units[("src/engine.c", "LEVEL")] == ("1", "1_header") and units[("src/pool.cpp", "NDEBUG")] == ("", "3_profile")
+    macros_of = spark.createDataFrame([("src/main.c", "ENGINE_H", "")], "unit string, name string, value string")
+    rows = headers.projected_facts(files, ["include", "third_party"], macros_of).filter("fact_type = 'symbol'").collect()
+    assert {(r.path, r.subject): r.build_status for r in rows} == {("src/main.c > include/engine.h", "start"): "inactive", ("src/main.c > include/engine.h", "helper"): "inactive", ("src/engine.c > include/engine.h", "start"): "conditional", ("src/engine.c > include/engine.h", "helper"): "conditional", ("src/pool.cpp > third_party/pool/pool.hpp", "pool::alloc"): "active"}
+
+
+def test_targets(spark):
+    from cairnwork.operators.target import Profile, decide
+
+    files = spark.createDataFrame([("src/a.c",), ("src/b.c",), ("port/x/p.c",), ("port/y/p.c",), ("heap/h1.c",), ("heap/h2.c",), ("old/z.c",), ("inc/a.h",)], "path string")
+    built = spark.createDataFrame([("src/a.c",), ("port/x/p.c",), ("heap/h1.c",)], "path string")
+    profile = Profile(inactive_prefixes=["old"], port_root="port", active_port="port/x", heap_root="heap", heap="heap/h1.c")
+    got = {r.path: (r.status, r.reason) for r in decide(files, profile, built).collect()}
+    assert got["src/b.c"] == ("inactive", "not_in_compile_commands") and got["port/y/p.c"] == ("inactive", "non_selected_port") and got["heap/h2.c"] == ("inactive", "non_selected_heap") and got["old/z.c"] == ("inactive", "inactive_path_prefix")
+    assert got["src/a.c"] == ("active", "compile_commands_entry") and got["inc/a.h"] == ("active", "default_active")
+
+
+def test_workflow(spark, tmp_path):
+    from cairnwork.operators import tables
+    from cairnwork.plans import workflow
+
+    facts = ingest.facts(sample.files(spark), ingest.macro_map(sample.MACROS))
+    report = workflow.diagnostics(facts, tables.manifest(sample.files(spark), "path", "text"))
+    assert {(r.kind, r.name): r.n for r in report.collect()}[("file_role", "vendor")] == 1
+    clean = spark.createDataFrame([("a", "clean")], "path string, state string")
+    assert workflow.preflight(workflow.warnings(report, clean)).first().level == "caution"
+    assert workflow.preflight(workflow.warnings(report, clean.selectExpr("path", "'stale' as state"))).first().level == "degraded"
+    texts = spark.createDataFrame([(1, "It always works."), (2, "fine"), (3, "I think so")], "k int, t string")
+    judged = spark.createDataFrame([(1, "contradicted"), (2, "supported"), (2, "supported")], "k int, verdict string")
+    got = {r.k: (r.safety, r.can_answer, r.must_not_send, r.allowed, r.violations) for r in workflow.contracts(judged, texts, "k", "t").collect()}
+    assert got == {1: ("unsafe", False, True, 0, 1), 2: ("safe", True, False, 2, 0), 3: ("needs_more_evidence", False, False, 0, 1)}
+    workflow.log_sessions(spark.createDataFrame([(1, "a"), (2, "b")], "at int, q string"), str(tmp_path / "log"))
+    workflow.log_sessions(spark.createDataFrame([(3, "c")], "at int, q string"), str(tmp_path / "log"))
+    assert [r.at for r in workflow.read_sessions(spark, str(tmp_path / "log"), "at", 2).collect()] == [3, 2]
+    measured = spark.createDataFrame([("c", "ms", 10), ("c", "facts", 5)], "case_id string, metric string, measured int")
+    budgets = spark.createDataFrame([("c", "ms", 9)], "case_id string, metric string, budget int")
+    assert [r.metric for r in workflow.over_budget(measured, budgets).collect()] == ["ms"]
