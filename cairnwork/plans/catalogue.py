@@ -631,3 +631,24 @@ def target_selection(spark, sf_dir):
 
     files = load(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://[^/]*/", "").alias("path"))
     return target.decide(files, target.Profile(active_prefixes=["en", "es", "fr"], inactive_prefixes=["fr/"])).select("page_id", "status", "reason")
+
+
+# --- unknowns, statuses --------------------------------------------------------------------------
+
+
+@query("""
+WITH t AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'unresolved_call' WHEN 'view' THEN 'conditional_build' END AS unknown_type, props AS label, min(event_id) AS pos, count(*) AS n FROM events WHERE event_type IN ('error', 'view') GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, unknown_type ORDER BY pos, label) AS i FROM t)
+SELECT user_id, unknown_type, CAST(sum(n) AS BIGINT) AS n, string_agg(label, ', ' ORDER BY pos, label) FILTER (i <= 20) AS affects, CASE unknown_type WHEN 'unresolved_call' THEN 'The call''s target is not known.' ELSE 'Qualify this by the build configuration.' END AS "constraint" FROM r GROUP BY user_id, unknown_type""")
+def unknowns_by_type(spark, sf_dir):
+    from ..operators import unknowns
+
+    kinds = [("unresolved_call", F.col("event_type") == "error"), ("conditional_build", F.col("event_type") == "view")]
+    return unknowns.unknowns(load(spark, sf_dir, "events"), kinds, unknowns.label(F.col("props")), F.col("event_id"), ["user_id"])
+
+
+@query("SELECT c_nationkey, CASE WHEN min(c_mktsegment) = max(c_mktsegment) THEN min(c_mktsegment) ELSE 'mixed' END AS build, CASE WHEN count(*) FILTER (c_acctbal < -900) = 0 THEN 'not_tracked' ELSE 'low' END AS semantic FROM customer GROUP BY 1")
+def status_rollup(spark, sf_dir):
+    from ..operators import unknowns
+
+    return load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(unknowns.rollup(F.col("c_mktsegment")).alias("build"), unknowns.rollup(F.when(F.col("c_acctbal") < -900, "low")).alias("semantic"))

@@ -105,3 +105,28 @@ def test_rules_and_search(spark):
     assert {r.predicate for r in rules.apply_rules(calls, pack, "callee").collect()} == {"opens_file", "closes_file"}
     docs = spark.createDataFrame([(1, "one two two"), (2, None), (3, "three")], "d int, t string")
     assert [r.d for r in search.bm25(docs, "d", "t", ["two", "nowhere"]).collect()] == [1]
+
+
+def test_lexical(spark):
+    from cairnwork.functions import lexical
+
+    one = spark.range(1)
+    types = {"const char *": "char", "static  const Foo&": "Foo", "std::vector< int >": "int", "struct node **": "node"}
+    got = one.select(*(lexical.bare_type(F.lit(t)).alias(str(i)) for i, t in enumerate(types))).first()
+    assert list(got) == list(types.values())
+    hints = {'"x"': "string", "L'c'": "char", "true": "bool", "NULL": "nullptr", "0x1Fu": "int", "1.5f": "float", "x + 1": None}
+    assert list(one.select(*(lexical.literal_hint(F.lit(t)).alias(str(i)) for i, t in enumerate(hints))).first()) == list(hints.values())
+    fits = [("int", "const char*", False), ("string", "const char*", True), ("nullptr", "void *", True), ("int", "uint8_t", True), (None, "Foo", True)]
+    assert list(one.select(*(lexical.fits_hint(F.lit(h).cast("string"), F.lit(p)).alias(str(i)) for i, (h, p, _) in enumerate(fits))).first()) == [f[2] for f in fits]
+    assert list(one.select(lexical.context_of(F.lit("xQueueSendFromISR")).alias("a"), lexical.context_of(F.lit("vIdleTask")).alias("b"), lexical.context_of(F.lit("main")).alias("c"), lexical.qualifiers(F.lit("static inline int")).alias("d")).first()) == ["isr", "task", None, ["inline", "static"]]
+
+
+def test_dataflow(spark):
+    from cairnwork.operators import dataflow
+
+    registered = spark.createDataFrame([("a.c", 3, "lib::on_event", "handler"), ("a.c", 9, "on_event", "handler"), ("b.c", 1, "on_event", "other")], "path string, line int, api string, callback string")
+    stored = spark.createDataFrame([("a.c", 20, "on_event", "cb")], "path string, line int, function string, field string")
+    invoked = spark.createDataFrame([("a.c", 30, "loop", "cb"), ("a.c", 31, "loop", "cb"), ("a.c", 40, "tick", "cb")], "path string, line int, function string, field string")
+    assert sorted(map(tuple, dataflow.dataflow(registered, stored, invoked).collect())) == [("a.c", "handler", "cb", "loop", 3, 20, 30), ("a.c", "handler", "cb", "tick", 3, 20, 40)]
+    names_ = spark.createDataFrame([("send",), ("sendFromISR",), ("recvFromISR",)], "n string")
+    assert [tuple(r) for r in dataflow.paired(names_, "n").collect()] == [("send", "sendFromISR")]
