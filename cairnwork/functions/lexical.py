@@ -36,7 +36,7 @@ def literal_hint(argument: Column) -> Column:
 def fits_hint(hint: Column, parameter: Column) -> Column:
     """Whether a literal of that kind can go to a parameter of that type; without a hint, all can."""
     t = F.lower(parameter)
-    number = t.rlike(r"\b(int|long|short|unsigned|size_t|u?int[0-9]+_t|char|bool|float|double)\b")
+    number = ~t.contains("*") & t.rlike(r"\b(int|long|short|unsigned|size_t|u?int[0-9]+_t|char|bool|float|double)\b")
     return (
         F.when(hint.isNull(), True).when(hint == "string", t.rlike(r"char|string|wchar|tchar")).when(hint == "nullptr", t.contains("*") | t.contains("ptr"))
         .when(hint == "bool", t.contains("bool") | t.rlike(r"\bint\b")).otherwise(number)
