@@ -109,14 +109,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", shrinkage: float = 0.05) -> Quadratic:
-    """Moments of the labelled rows that are not held out; rows without label or id teach nothing."""
+    """Moments of the labelled rows that are not held out; rows without label or id teach nothing.
+
+    A class of n rows gets a shrinkage of d / (n + d) for d statistics, and ``shrinkage`` at least.
+    """
     d = len(NAMES)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
     rows = measured.filter(~held_out(F.col("id"))).join(marked, "id")
     x = [F.get("x", i) for i in range(d)]
     sums = [F.sum(v) for v in x] + [F.sum(x[i] * x[j]) for i in range(d) for j in range(i + 1)]
     found = {r[0]: r[1:] for r in rows.groupBy("y").agg(F.count(F.lit(1)), *sums).collect()}
-    if any(found.get(y, (0,))[0] <= d for y in (0, 1)):
+    if any(found.get(y, (0,))[0] < 2 for y in (0, 1)):
         return Quadratic(None, None, None)
     means, factors, constants = [], [], []
     total = found[0][0] + found[1][0]
@@ -127,7 +130,8 @@ def fit(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
         second[np.tril_indices(d)] = values[d:] / n
         cov = second + np.tril(second, -1).T - np.outer(mean, mean)
         diagonal = np.diag(np.maximum(np.diag(cov), 0) + 1e-3)
-        lower = np.linalg.cholesky((1 - shrinkage) * cov + shrinkage * diagonal + 1e-4 * np.eye(d))
+        share = max(shrinkage, d / (n + d))
+        lower = np.linalg.cholesky((1 - share) * cov + share * diagonal + 1e-4 * np.eye(d))
         means.append(mean)
         factors.append(np.linalg.inv(lower))
         constants.append(math.log(n / total) - float(np.log(np.diag(lower)).sum()))
@@ -138,7 +142,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id
     """One row per document: id, held_out, score, predicted.
 
     Only the text goes into a score. Null texts count as empty and are scored like any. Without labels of
-    both classes (more rows of each than there are statistics) every score is 0.5. A null id is not held out.
+    both classes (two of each) every score is 0.5. A null id is not held out.
     """
     measured = cut(document_statistics(docs, id_col, text_col))
     model = fit(measured, labels, id_col, label_col)
