@@ -173,3 +173,28 @@ def test_workflow(spark, tmp_path):
     measured = spark.createDataFrame([("c", "ms", 10), ("c", "facts", 5)], "case_id string, metric string, measured int")
     budgets = spark.createDataFrame([("c", "ms", 9)], "case_id string, metric string, budget int")
     assert [r.metric for r in workflow.over_budget(measured, budgets).collect()] == ["ms"]
+
+
+def test_relations(spark):
+    from cairnwork.operators import packs
+    from cairnwork.plans import relations
+
+    text = """
+void worker(void) {
+    taskENTER_CRITICAL();
+    taskEXIT_CRITICAL();
+}
+void handler(void) {
+    xSemaphoreGiveFromISR(s, &w);
+#if 0
+    vTaskSuspendAll();
+#endif
+}
+void plain(void) { other(); }
+"""
+    facts = ingest.facts(spark.createDataFrame([("k.c", text)], "path string, text string"), ingest.macro_map({}))
+    found = relations.relations(facts, packs.rules(spark))
+    assert {(r.subject, r.predicate, r.context, r.build_status) for r in found.collect()} == {("worker", "enters_critical_section", "task", "active"), ("worker", "exits_critical_section", "task", "active"), ("handler", "gives_semaphore", "isr", "active"), ("handler", "suspends_scheduler", "task", "inactive")}
+    claims = [(1, "scheduler", "worker", "enters_critical_section", "", "supported"), (2, "scheduler", "worker", "suspends_scheduler", "", "contradicted"), (3, "kernel_object", "handler", "gives_semaphore", "semaphore", "conditional"), (4, "kernel_object", "handler", "takes_semaphore", None, "unknown"), (5, "scheduler", "handler", "suspends_scheduler", "", "unknown"), (6, "heap", "nobody", "frees_heap_memory", "", "unknown")]
+    got = {r.claim_id: r.verdict for r in relations.verify(spark.createDataFrame([c[:5] for c in claims], "claim_id int, pack string, subject string, predicate string, object string"), found).collect()}
+    assert got == {c[0]: c[5] for c in claims}
