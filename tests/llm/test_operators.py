@@ -327,7 +327,7 @@ def test_extract_keeps_copied_articles(spark):
 
 
 def test_url_filter(spark):
-    urls = ["https://WWW.Example.NET/en/1?x#y", "http://example.net/de/", "https://a.example.com/de/2", "https://b.org/fr", "https://b.org/fr/", "net", "http://net/", "http://notexample.net/en/", "ftp://casino-win.example.org/en/5", None, "", "https://www.gardens.example.org/en/5", "http://h?q=/en/", "x://y://z/p"]
+    urls = ["https://WWW.Example.NET/en/1?x#y", "http://example.net/de/", "https://a.example.com/de/2", "https://b.org/fr", "https://b.org/fr/", "net", "http://net/", "http://notexample.net/en/", "ftp://casino-win.example.org/en/5", None, "", "https://www.gardens.example.org/en/5", "http://h?q=/en/", "x://y://z/p", "http://h.net?to=http://i.net/en/", "a\nb://C\n/d\n?e"]
     rows = list(enumerate(urls))
     out = {r.page_id: r for r in urlfilter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), urlfilter.labelled_urls(spark)).collect()}
     assert len(out) == len(rows)
