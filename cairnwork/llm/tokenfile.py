@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,20 +29,31 @@ from .common import slices, utf8
 
 SLICE_BYTES = 1 << 20
 #: Distinct units whose ids a worker remembers in each of two generations; the older one is then dropped.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Unicode's White_Space characters, as a character class; letters of ASCII and Latin-1; ASCII marks.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER, _MARK = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-/:-@\[-`{-~"
 _UNIT = re.compile(f"[{_WHITE}]*[{_LETTER}]+(?=[{_WHITE}{_MARK}]|\\Z)|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 
 
+#: A unit that the pattern keeps whole.
+_WORD = re.compile(f" ?[{_LETTER}]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is visible, else the next one from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class ByteTokens:
     """A byte-level BPE of the tokenizers library that splits texts by its own pattern.
 
     That pattern joins neither a character that is not white space to white space after it, nor a letter
     to an ASCII mark after it, so a text may be cut there: the units' ids in a row are the ids of the whole
-    text. Units repeat, and their ids are remembered; new ones are encoded together, as one text that
-    falls apart at the same places. A tokenizer of another kind gets whole texts.
+    text. Units repeat, and their ids are remembered. Of new ones, words go straight to the library's model,
+    all else through its whole pipeline. A tokenizer of another kind gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -50,42 +62,33 @@ class ByteTokens:
         pre = self.lib.pre_tokenizer
         state = pre.__getstate__().decode() if pre is not None else ""
         self.cuts = self.lib.normalizer is None and '"ByteLevel"' in state and '"add_prefix_space":false' in state and '"use_regex":true' in state
-        # A byte-level token has a character for each of its bytes.
-        self.sizes = np.array([len(self.lib.id_to_token(i) or "") for i in range(self.lib.get_vocab_size())])
+        self.model, self.characters = self.lib.model, _byte_characters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, np.int32)
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
-    def _learn(self, units: set[str]) -> None:
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        young, old, fresh = self.young, self.old, []
-        for unit in units.difference(young):
-            ids = old.get(unit)
-            if ids is not None:
-                young[unit] = ids
-            elif unit[0] in " \n" and not unit[-1].isspace() and unit[-1] not in "\x1c\x1d\x1e\x1f":
-                fresh.append(unit)
+    def _learn(self, unit: str) -> bytes:
+        ids = self.young.get(unit) or self.old.get(unit)
+        if ids is None:
+            if _WORD.fullmatch(unit):
+                ids = array("i", [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.characters))]).tobytes()
             else:
-                young[unit] = self._ids(unit).tobytes()
-        if fresh:
-            ids = self._ids("".join(fresh))
-            raw = ids.tobytes()
-            stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(u.encode()) for u in fresh])) + 1
-            begin = 0
-            for unit, stop in zip(fresh, (stops * 4).tolist(), strict=True):
-                young[unit] = raw[begin:stop]
-                begin = stop
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+                ids = self._ids(unit)
+        self.young[unit] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
         if not self.cuts:
-            return [self._ids(t) for t in texts]
-        units = [_UNIT.findall(t) for t in texts]
-        self._learn(set().union(*units))
-        get = self.young.__getitem__
-        return [np.frombuffer(b"".join(map(get, u)), np.int32) for u in units]
+            return np.frombuffer(self._ids(text), np.int32)
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        units = _UNIT.findall(text)
+        found = list(map(self.young.get, units))
+        if None in found:
+            found = [self._learn(u) if ids is None else ids for u, ids in zip(units, found, strict=True)]
+        return np.frombuffer(b"".join(found), np.int32)
 
 
 @lru_cache(maxsize=4)
@@ -106,7 +109,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, f
         for batch in batches:
             texts = utf8(batch.column(1))
             for begin, stop in slices(texts, SLICE_BYTES):
-                ids = [np.append(x, np.int32(end_id)) for x in own.encode([t.decode("utf-8", "replace") for t in texts[begin:stop]])]
+                ids = [np.append(own.encode(t.decode("utf-8", "replace")), np.int32(end_id)) for t in texts[begin:stop]]
                 ends = np.cumsum([0, *map(len, ids)])
                 n = stop - begin
                 yield pa.RecordBatch.from_arrays(
