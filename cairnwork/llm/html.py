@@ -1,8 +1,9 @@
 """HTML extraction with site template removal.
 
 A page becomes a stream of text blocks, each with the hashes of the element subtrees that hold it. Spark
-counts every subtree once per article and host; subtrees that recur with ``min_pages`` articles of a host are
-that site's template and are deleted. What HTML itself marks as no main text (menus, scripts, forms,
+counts every subtree once per article and host (of a page without a main element, all its text is the article);
+subtrees that recur with ``min_pages`` articles of a host are that site's template and are deleted. Only a page that
+would have no text left keeps its large ones. What HTML itself marks as no main text (menus, scripts, forms,
 comments, ...) is deleted as well. Paragraphs and headings of an article are never template: an article may
 repeat on a site. If a page has an article (or main) element, only its text is taken.
 """
@@ -51,10 +52,10 @@ class _Node:
         self.digest, self.used = (hashlib.blake2b(tag.encode(), digest_size=8), False) if tag in HOLDERS else (None, False)
 
 
-def page_blocks(source: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[int]]:
-    """Blocks as (text, in a dropped element, in the main element, hashes of subtrees around it), and all hashes.
+def page_blocks(source: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[int], list[int]]:
+    """Blocks as (text, in a dropped element, in the main element, hashes of subtrees around it), all hashes, and large ones.
 
-    Subtrees that hold over ``LARGE`` of the page's main text are its content, and not named.
+    Large are the subtrees that hold over ``LARGE`` of the page's main text.
     Tags that never end run to the end of what holds them; a cut-off tag at the end of a page is no text.
     """
     stack: list[_Node] = []
@@ -151,9 +152,9 @@ def page_blocks(source: str) -> tuple[list[tuple[str, bool, bool, list[int]]], l
     for text, nodes in blocks:
         inner = max((i for i, n in enumerate(nodes) if n.main), default=-1)
         # Subtrees around an article are not deleted with it, nor what directly is its text.
-        around = [hashes[id(n)] for n in nodes[inner + 1 :] if n.digest is not None and id(n) not in content]
+        around = [hashes[id(n)] for n in nodes[inner + 1 :] if n.digest is not None]
         out.append((text, any(n.drop for n in nodes), inner >= 0, around))
-    return out, list(dict.fromkeys(hashes[id(n)] for n in order if id(n) not in content))
+    return out, list(dict.fromkeys(hashes[id(n)] for n in order)), list(dict.fromkeys(hashes[id(n)] for n in order if id(n) in content))
 
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -168,12 +169,18 @@ def _number(digest: bytes) -> int:
     return int.from_bytes(digest, "big", signed=True)
 
 
+def _main_text(blocks: list[tuple[str, bool, bool, list[int]]]) -> list[tuple[str, bool, bool, list[int]]]:
+    """The blocks that no element drops, of the main element if the page has one."""
+    has_main = any(b[2] for b in blocks if not b[1])
+    return [b for b in blocks if not b[1] and (b[2] or not has_main)]
+
+
 def _subtrees(pages: DataFrame) -> DataFrame:
     def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _pieces(batches):
-            main = ["\n".join(b[0] for b in blocks if b[2] and not b[1]).encode("utf-8", "replace") for blocks, _ in found]
+            main = ["\n".join(b[0] for b in _main_text(blocks)).encode("utf-8", "replace") for blocks, _, _ in found]
             articles = pa.array([_number(hashlib.blake2b(m, digest_size=8).digest()) for m in main], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), articles, pa.array([x for _, x in found], pa.list_(pa.int64()))], ["key", "host", "article", "subtrees"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), articles, pa.array([x for _, x, _ in found], pa.list_(pa.int64()))], ["key", "host", "article", "subtrees"])
 
     return pages.mapInArrow(hashes, "key long, host string, article long, subtrees array<long>").select("key", "host", "article", F.explode("subtrees").alias("subtree"))
 
@@ -183,13 +190,11 @@ def _parsed(pages: DataFrame, id_type: str) -> DataFrame:
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, found in _pieces(batches):
-            kept = []
-            for blocks, _ in found:
-                has_main = any(b[2] for b in blocks if not b[1])
-                kept.append([{"text": b[0], "around": b[3]} for b in blocks if not b[1] and (b[2] or not has_main)])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(kept, kind)], ["key", "id", "url", "blocks"])
+            kept = [[{"text": b[0], "around": b[3]} for b in _main_text(blocks)] for blocks, _, _ in found]
+            large = pa.array([x for _, _, x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(kept, kind), large], ["key", "id", "url", "blocks", "large"])
 
-    return pages.mapInArrow(parse, f"key long, id {id_type}, url string, blocks array<struct<text:string,around:array<long>>>")
+    return pages.mapInArrow(parse, f"key long, id {id_type}, url string, blocks array<struct<text:string,around:array<long>>>, large array<long>")
 
 
 def extract_text(pages: DataFrame, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -206,7 +211,11 @@ def extract_text(pages: DataFrame, min_pages: int = 5, id_col: str = "page_id",
     recurring = once.select("host", "subtree", "article").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages).select("host", "subtree")
     marked = once.join(recurring, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
     rows = _parsed(pages.select(key, F.col(id_col).alias("id"), F.col(url_col).alias("url"), html_col), id_type).join(marked, "key", "left")
-    template = F.coalesce("template", F.array().cast("array<bigint>"))
+    found = F.coalesce("template", F.array().cast("array<bigint>"))
+    # An article may repeat on a site with other things around it: where nothing else is left, it is the text.
+    bare = ~F.exists("blocks", lambda b: ~F.arrays_overlap(b["around"], found))
+    rows = rows.withColumn("template", F.when(bare, F.array_except(found, "large")).otherwise(found))
+    template = F.col("template")
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], template))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return rows.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size(template).cast("long").alias("n_template"))

@@ -326,6 +326,33 @@ def test_extract_keeps_copied_articles(spark):
     assert {r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Same\nCopied text of the article."}
 
 
+def extracted(spark, pages, url="https://c.example/"):
+    rows = [(i, url, p) for i, p in enumerate(pages)]
+    return {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("words", [200, 3])
+def test_extract_finds_the_template_of_pages_without_a_main_element(spark, words):
+    rng = random.Random(words)
+    bodies = [f"Page {i} {sentence(rng, words)}" for i in range(8)]
+    page = "<body><div class='x'><ul><li>Start<li>Products<li>Service</ul></div><div><div><p>{}</p></div></div><div class='y'>All rights are with the site</div></body>"
+    assert extracted(spark, [page.format(b) for b in bodies]) == dict(enumerate(bodies))
+    # Copies of a page are one page, and what recurs on fewer than five is its own.
+    few = {i: f"Start\nProducts\nService\n{bodies[i % 4]}\nAll rights are with the site" for i in range(40)}
+    assert extracted(spark, [page.format(bodies[i % 4]) for i in range(40)]) == few
+
+
+def test_extract_finds_a_large_template_in_short_articles(spark):
+    page = "<body><main><h1>Photo {}</h1><div><p>Follow us on every channel there is, each and every day.</p></div></main></body>"
+    assert extracted(spark, [page.format(i) for i in range(7)]) == {i: f"Photo {i}" for i in range(7)}
+
+
+def test_extract_leaves_no_page_bare(spark):
+    page = "<body><div class='x'>Site</div><div><p>A long text that stands on many pages of this host.</p></div><div>Day {}</div></body>"
+    pages = [page.format(i) for i in range(6)] + [page.replace("<div>Day {}</div>", "")]
+    assert extracted(spark, pages) == {i: f"Day {i}" for i in range(6)} | {6: "A long text that stands on many pages of this host."}
+
+
 def test_url_filter(spark):
     urls = ["https://WWW.Example.NET/en/1?x#y", "http://example.net/de/", "https://a.example.com/de/2", "https://b.org/fr", "https://b.org/fr/", "net", "http://net/", "http://notexample.net/en/", "ftp://casino-win.example.org/en/5", None, "", "https://www.gardens.example.org/en/5", "http://h?q=/en/", "x://y://z/p", "http://h.net?to=http://i.net/en/", "a\nb://C\n/d\n?e"]
     rows = list(enumerate(urls))
