@@ -33,6 +33,8 @@ HOLDERS = {"div", "section", "ul", "ol", "dl", "table", "nav", "aside", "header"
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "html", "td", "th"}
 ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|share|sharing|social|newsletter|subscribe|signup|login|pop-?up|modal|overlay|related|recommended|footer|masthead|site-?header|skip-?link|pagination|pager|toolbar|widget|reader-comments?|comment-list)(?:$|[\s_-])", re.I)
+#: Of these words, those that never name a wrapper of the page.
+TALK_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|related|recommended|ads?|advert\w*|sponsor\w*|cookies?|consent|gdpr|newsletter)(?:$|[\s_-])", re.I)
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -41,17 +43,56 @@ _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 
 
 LARGE = 0.3
+#: A wrapper is the page's layout if the text outside it is at most this part of that inside.
+BESIDE = 0.1
 SLICE_BYTES = 1 << 20
 
 
 class _Node:
-    __slots__ = ("tag", "drop", "main", "digest", "used")
+    __slots__ = ("tag", "drop", "main", "wraps", "digest", "used")
 
-    def __init__(self, tag: str, drop: bool, main: bool):
-        self.tag, self.drop, self.main = tag, drop, main
+    def __init__(self, tag: str, drop: bool, main: bool, wraps: bool):
+        self.tag, self.drop, self.main, self.wraps = tag, drop, main, wraps
         self.digest, self.used = (hashlib.blake2b(tag.encode(), digest_size=8), False) if tag in HOLDERS else (None, False)
 
 
+def _unwrap(blocks: list[tuple[str, list[_Node]]]) -> None:
+    """Let forms and elements dropped by class or id words be no longer dropped if they wrap the page.
+
+    They do if they hold the main element, and next to none stands outside them. An article there may also be a
+    teaser, so the text they hold must then outweigh the text outside. Without a main element below them, they do if
+    they hold next to all the text; so a page that is one form keeps its text.
+    """
+    # What other elements drop counts nowhere.
+    seen = [(len(t), nodes) for t, nodes in blocks if not any(n.drop and not n.wraps for n in nodes)]
+    wrappers: dict[int, list] = {}
+    for size, nodes in seen:
+        mains = [i for i, n in enumerate(nodes) if n.main]
+        sure = [i for i in mains if nodes[i].tag != "article"]
+        for i, node in enumerate(nodes):
+            if node.drop:
+                entry = wrappers.setdefault(id(node), [node, 0, 0, False, bool(mains and mains[0] < i)])
+                entry[1] += size
+                entry[2] += size if mains and mains[-1] > i else 0
+                entry[3] = entry[3] or bool(sure and sure[-1] > i)
+
+    def outside() -> tuple[int, int]:
+        free = [(size, any(n.main for n in nodes)) for size, nodes in seen if not any(n.drop for n in nodes)]
+        return sum(size for size, _ in free), sum(size for size, main in free if main)
+
+    if wrappers:
+        text, main = outside()
+    # The largest first, and what holds others before them.
+    for node, held, held_main, sure, inside in sorted(wrappers.values(), key=lambda e: -e[1]):
+        if held_main:
+            wraps = main <= BESIDE * held_main and (sure or text < held)
+        else:
+            wraps = (main if inside else text) <= BESIDE * held
+        if wraps:
+            node.drop = False
+            text, main = outside()
+
+
 def page_blocks(source: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[int], list[int]]:
     """Blocks as (text, in a dropped element, in the main element, hashes of subtrees around it), all hashes, and large ones.
 
@@ -131,16 +172,20 @@ def page_blocks(source: str) -> tuple[list[tuple[str, bool, bool, list[int]]], l
         inside = any(n.main for n in stack)
         role = attrs.get("role", "").lower()
         main = tag in ("article", "main") or role in ("main", "article")
-        drop = tag in DROP or role in ASIDE_ROLES or "hidden" in attrs or (tag in FRAME and not (tag == "header" and inside))
+        form = tag == "form" or role == "form"
+        drop = (tag in DROP and tag != "form") or (role in ASIDE_ROLES and role != "form") or "hidden" in attrs or (tag in FRAME and not (tag == "header" and inside))
         named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        if not drop and not main and tag not in ("html", "body") and named.strip() and ASIDE_WORDS.search(named):
-            drop = True
+        # Some wrap the whole page, which is seen when it has been read.
+        wraps = not drop and (form or (not main and tag not in ("html", "body") and bool(named.strip()) and bool(ASIDE_WORDS.search(named))))
+        drop = drop or wraps
+        wraps = wraps and not TALK_WORDS.search(named)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             at = end.start() if end else len(source)
-        stack.append(_Node(tag, drop, main))
+        stack.append(_Node(tag, drop, main, wraps))
     flush()
     close(0)
+    _unwrap(blocks)
     out = []
     share: dict[int, int] = {}
     has_main = any(n.main for _, nodes in blocks for n in nodes)

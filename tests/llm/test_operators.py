@@ -353,6 +353,24 @@ def test_extract_leaves_no_page_bare(spark):
     assert extracted(spark, pages) == {i: f"Day {i}" for i in range(6)} | {6: "A long text that stands on many pages of this host."}
 
 
+BODY = "<h1>Head</h1><p>A text that goes on for quite a while.</p>"
+
+
+@pytest.mark.parametrize("begin,end", [("<form id='aspnetForm'>", "</form>"), ("<div class='with-sidebar'>", "</div>"), ("<div class='layout has-menu'>", "</div>"), ("<div id='page-widget'>", "</div>"), ("<form><div class='with-sidebar'>", "</div></form>")])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div role='main'>{}</div>", "<div>{}</div>"])
+def test_extract_keeps_a_wrapped_page(begin, end, inner):
+    beside = "<nav>Menu</nav><div class='widget'>Tip</div><form><p>Search</p></form><div class='comments'>A long comment, it is longer than all of the text of the page itself.</div>"
+    for source in (f"<body>{begin}{beside}{inner.format(BODY)}{end}</body>", f"<body>{begin}{inner.format(BODY + '<form>Send</form>')}{end}<footer>f</footer></body>", f"<body>{beside}{begin}{inner.format(BODY)}{end}</body>"):
+        blocks = html._main_text(html.page_blocks(source)[0])
+        assert [b[0] for b in blocks] == ["Head", "A text that goes on for quite a while."], source
+
+
+def test_extract_still_drops_what_wraps_no_page():
+    beside = "<div class='widget'><article>Teaser one</article><article>Teaser two</article></div><form><p>Name and mail</p></form><div class='menu'>Start</div>"
+    for source in (f"<body><article>{BODY}</article>{beside}</body>", f"<body><div>{BODY}</div>{beside}</body>", f"<body><main>{BODY}{beside}<div class='comments'><article>{'Talk. ' * 99}</article></div></main></body>"):
+        assert [b[0] for b in html._main_text(html.page_blocks(source)[0])] == ["Head", "A text that goes on for quite a while."], source
+
+
 def test_url_filter(spark):
     urls = ["https://WWW.Example.NET/en/1?x#y", "http://example.net/de/", "https://a.example.com/de/2", "https://b.org/fr", "https://b.org/fr/", "net", "http://net/", "http://notexample.net/en/", "ftp://casino-win.example.org/en/5", None, "", "https://www.gardens.example.org/en/5", "http://h?q=/en/", "x://y://z/p", "http://h.net?to=http://i.net/en/", "a\nb://C\n/d\n?e"]
     rows = list(enumerate(urls))
