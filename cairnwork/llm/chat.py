@@ -2,12 +2,12 @@
 
 Messages are split into what their author wrote and what they quote (lines that begin with ``>``, as deep as
 there are such signs). Quoted passages are re-flowed, normalised and hashed sentence by sentence, and
-meet the sentences of earlier messages of the conversation. The message that most of the first-level
-passages come from is the one answered; a message that quotes nothing answers the one before it. The reply
+meet the sentences of all earlier messages of the conversation. The message that most of the first-level
+passages come from (of equals the last) is the one answered; a message that quotes nothing answers the one before it. The reply
 tree, walked in preorder, gives each message its place, and quotes are left out of the text.
 
-A conversation may hold a third of all rows: sentences meet in as-of windows over blocks of turns, and
-the walk is list ranking by pointer doubling, so no task holds a conversation.
+A conversation may hold a third of all rows: the messages of a sentence are dealt over tasks in blocks, the
+message before is found in windows over blocks of turns, and the walk is list ranking by pointer doubling, so no task holds a conversation.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def _sentences(lines: list[str]) -> list[int]:
     for paragraph in re.split(r"\n\s*\n", "\n".join(lines)):
         for sentence in _SENTENCE.findall(" ".join(paragraph.split())):
             words = _WORD.findall(sentence.lower())
-            if len(words) >= 2:
+            if words:
                 out.append(xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63))
     return out
 
@@ -114,10 +114,14 @@ def link_replies(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     parsed = cut(_parsed(rows))
     base = parsed.select("conv", "turn", "key", F.lit(0).alias("probe"))
     previous = _before(base, ["conv"], F.struct("turn", "key"), "previous").drop("probe")
-    written = parsed.select("conv", "turn", "key", F.explode(F.array_distinct("sentences")).alias("sentence"), F.lit(1).alias("probe"), F.lit(None).cast("int").alias("level"), F.lit(1).alias("weight"))
-    asked = parsed.select("conv", "turn", "key", F.inline("quotes")).groupBy("conv", "turn", "key", "level", "sentence").agg(F.count(F.lit(1)).alias("weight"))
-    asked = asked.select("conv", "turn", "key", "sentence", F.lit(0).alias("probe"), "level", F.col("weight").cast("int").alias("weight"))
-    met = _before(written.unionByName(asked), ["conv", "sentence"], F.when(F.col("probe") == 1, F.struct("turn", "key")), "source").filter("probe = 0 and level = 1 and source is not null")
+    written = parsed.select("conv", F.explode(F.array_distinct("sentences")).alias("sentence"), F.struct("turn", "key").alias("source"))
+    asked = parsed.select("conv", "turn", "key", F.inline("quotes")).filter("level = 1").groupBy("conv", "turn", "key", "sentence").agg(F.count(F.lit(1)).alias("weight"))
+    written = written.join(asked.select("conv", "sentence").distinct(), ["conv", "sentence"], "left_semi")
+    # Messages that have a common sentence are dealt over as many parts as BLOCK asks for.
+    parts = written.groupBy("conv", "sentence").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    written = written.join(parts, ["conv", "sentence"]).select("conv", "sentence", F.pmod(F.xxhash64("source"), "parts").cast("int").alias("part"), "source")
+    asked = asked.join(parts, ["conv", "sentence"]).select("conv", "turn", "key", "sentence", "weight", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = asked.join(written, ["conv", "sentence", "part"]).filter(F.col("source") < F.struct("turn", "key"))
     votes = met.groupBy("conv", "turn", "key", "source").agg(F.sum("weight").alias("votes"))
     linked = votes.groupBy("conv", "turn", "key").agg(F.max_by("source", F.struct("votes", "source")).alias("source"))
     at = ["conv", "turn", "key"]

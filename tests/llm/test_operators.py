@@ -460,6 +460,27 @@ def test_chat(spark, monkeypatch, block):
     assert [r.text for r in out if r.conv_id is None] == ["x y"]
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_chat_parent_has_most_of_the_quoted_sentences(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    rng = random.Random(12)
+    said = {0: ["Good day all.", "Kind regards, Kim.", "The plan is ready."], 1: ["Yes."], 2: ["Good day all.", "Kind regards, Kim."]}
+    asked = {3: said[0], 4: ["Yes."]}
+    stock = [f"Common phrase {i}." for i in range(6)] + ["No."]
+    for t in range(5, 60):
+        said[t] = [*rng.sample(stock, rng.randrange(1, 5)), f"Own {t}."]
+        asked[t] = [x for q in rng.choices(range(t), k=2) for x in said.get(q, []) if rng.random() < 0.7]
+    rows = [(1, t, "u", "".join(f"> {x}\n" for x in asked.get(t, [])) + " ".join(said.get(t, [f"Answer {t}."]))) for t in range(60)]
+    expected = {}
+    for t in range(60):
+        votes = {q: sum(x in said.get(q, []) for x in asked.get(t, [])) for q in range(t)}
+        best = max(votes, key=lambda q: (votes[q], q), default=None)
+        expected[t] = (best, True) if votes and votes[best] else (t - 1 if t else None, False)
+    assert expected[3] == (0, True) and expected[4] == (1, True)
+    out = chat.link_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: (r.parent and r.parent.turn, r.linked) for r in out} == expected
+
+
 def test_chat_long_thread_and_empty(spark):
     rng = random.Random(4)
     rows, parent = [], {}
