@@ -29,7 +29,7 @@ def op3_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
-    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_MODEL, end_id=2)
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, BYTE_MODEL, end_id=2, special_as_text=False)
     return tokenfile.read_tokens(spark, path).select("doc_id", "start", "n_tokens", tokenfile.ids_crc32("ids").alias("ids_crc32"))
 
 

@@ -54,14 +54,23 @@ class ByteTokens:
     to an ASCII mark after it, so a text may be cut there: the units' ids in a row are the ids of the whole
     text. Units repeat, and their ids are remembered. Of new ones, words go straight to the library's model,
     all else through its whole pipeline. A tokenizer of another kind gets whole texts.
+
+    Added tokens in a text get their own ids, and only what is between them is cut; with ``special_as_text``,
+    those that are special are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = special_as_text
+        added = {t.content: (i, t) for i, t in self.lib.get_added_tokens_decoder().items() if t.content and not (special_as_text and t.special)}
+        self.added = {content: np.int32(i).tobytes() for content, (i, _) in added.items()}
+        # The longest of those that begin at one place, as in the library.
+        self.split = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
         pre = self.lib.pre_tokenizer
         state = pre.__getstate__().decode() if pre is not None else ""
         self.cuts = self.lib.normalizer is None and '"ByteLevel"' in state and '"add_prefix_space":false' in state and '"use_regex":true' in state
+        # Tokens that take more than their own characters, or are sought in two passes, are left to the library.
+        self.cuts = self.cuts and not any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()) and len({t.normalized for _, t in added.values()}) < 2
         self.model, self.characters = self.lib.model, _byte_characters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -84,28 +93,36 @@ class ByteTokens:
             return np.frombuffer(self._ids(text), np.int32)
         if len(self.young) > REMEMBERED:
             self.young, self.old = {}, self.young
+        parts = self.split.split(text) if self.split else [text]
+        found = []
+        for i, part in enumerate(parts):
+            found += [self.added[part]] if i % 2 else self._cut(part)
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def _cut(self, text: str) -> list[bytes]:
         units = _UNIT.findall(text)
         found = list(map(self.young.get, units))
         if None in found:
             found = [self._learn(u) if ids is None else ids for u, ids in zip(units, found, strict=True)]
-        return np.frombuffer(b"".join(found), np.int32)
+        return found
 
 
 @lru_cache(maxsize=4)
-def tokens_of(path: str) -> ByteTokens:
-    return ByteTokens(path)
+def tokens_of(path: str, special_as_text: bool = False) -> ByteTokens:
+    return ByteTokens(path, special_as_text)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, files: int | None = None, row_group_bytes: int = 32 << 20, page_rows: int = 512, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, files: int | None = None, row_group_bytes: int = 32 << 20, page_rows: int = 512, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = True) -> None:
     """Encode every whole text (null: empty), append ``end_id``, and write the files to ``path``.
 
-    Rows with a null id come first; rows of one id are ordered by their text.
+    Rows with a null id come first; rows of one id are ordered by their text. ``special_as_text``: special tokens
+    in a text are ordinary text; if false, ids are those of the library with its own settings.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, done = tokens_of(tokenizer_path), TaskContext.get().partitionId(), 0
+        own, shard, done = tokens_of(tokenizer_path, special_as_text), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = utf8(batch.column(1))
             for begin, stop in slices(texts, SLICE_BYTES):

@@ -258,6 +258,23 @@ def test_token_files(spark, corpus, tmp_path):
     assert ("ids", "RLE_DICTIONARY") in seen and ("doc_id", "DELTA_BINARY_PACKED") in seen
 
 
+def test_token_ids_are_those_of_the_unchanged_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from cairnwork.llm import queries
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", " x<|endoftext|><|endoftext|>\n\ny ", "it<|endoftext|>'s <|endoftext| > no", "<|endoftext", "", None, "plain text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert 50256 in lib.encode(texts[0], add_special_tokens=False).ids
+    start = 0
+    for r, t in zip(queries.op4_tokenfile(spark, str(tmp_path)).orderBy("doc_id").collect(), texts, strict=True):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())), t
+        start += len(ids)
+
+
 def test_pieces(spark, corpus):
     import sentencepiece
 
