@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,23 +16,22 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def reach(edges: DataFrame, starts: DataFrame, most_hops: int = 10_000) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, hops, via: every node reachable from each start by the fewest hops.
 
     edges: src, dst. starts: start. ``via`` is the smallest predecessor at that distance (null for the start),
-    so routes read off it are the same in every run. Each round joins only the newest nodes.
+    so routes read off it are the same in every run. Each round joins only the newest nodes, until there are none.
     """
     edges = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     seen = _cut(starts.select("start").filter("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["src"].dataType).alias("via")))
     frontier = seen
-    for hop in range(1, most_hops + 1):
+    for hop in count(1):
         step = frontier.join(edges, F.col("node") == F.col("src")).groupBy("start", "dst").agg(F.min("src").alias("via"))
         fresh = step.select("start", F.col("dst").alias("node"), F.lit(hop).alias("hops"), "via").join(seen.select("start", "node"), ["start", "node"], "left_anti")
         frontier = _cut(fresh.select("start", "node", "hops", "via"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = _cut(seen.unionByName(frontier)) if hop % 8 == 0 else seen.unionByName(frontier)
-    return seen
 
 
 def routes(reached: DataFrame, goals: DataFrame, sep: str = " > ") -> DataFrame:
@@ -54,11 +54,12 @@ def routes(reached: DataFrame, goals: DataFrame, sep: str = " > ") -> DataFrame:
         at = step.select(F.col("s").alias("start"), "goal", "hops", F.concat(F.array("n"), F.col("route")).alias("route"), F.col("v").alias("via"))
 
 
-def alias_closure(pairs: DataFrame, name: str, target: str, most_steps: int = 64) -> DataFrame:
+def alias_closure(pairs: DataFrame, name: str, target: str) -> DataFrame:
     """name, final: where each alias ends, by pointer doubling; an alias in or into a cycle ends as null."""
     known = pairs.groupBy(name).agg(F.max(target).alias("to")).select(F.col(name).alias("name"), "to", F.lit(False).alias("lost"))
     state = known
-    for _ in range(most_steps.bit_length() + 1):
+    # A chain is no longer than there are names; what has not ended after as many steps is in or into a cycle.
+    for _ in range(known.count().bit_length()):
         ahead = state.select(F.col("name").alias("n"), F.col("to").alias("next"))
         state = _cut(state.join(ahead, F.col("to") == F.col("n"), "left").select("name", F.coalesce("next", "to").alias("to"), "lost"))
     looped = state.select(F.col("name").alias("n")).distinct()

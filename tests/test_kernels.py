@@ -77,6 +77,12 @@ def test_intervals(spark):
     assert got == {("k", 0): None, ("k", 1): 10, ("k", 4): 10, ("k", 5): 51, ("z", 9): None}
 
 
+def test_alias_chain_of_any_length(spark):
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(700)] + [("a", "b"), ("b", "c"), ("c", "b")]
+    out = {r.name: r.final for r in graph.alias_closure(spark.createDataFrame(pairs, "name string, target string"), "name", "target").collect()}
+    assert out == {f"n{i}": "n700" for i in range(700)} | {"a": None, "b": None, "c": None}
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), (None, "x"), ("b", "d")], "src string, dst string")
     got = {r.node: (r.hops, r.via) for r in graph.reach(edges, spark.createDataFrame([("a",), (None,)], "start string")).collect()}
