@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests on one machine) a temporary folder is made, and
-    it is then the session's folder from there on.
+    Only where the session names none and all tasks run in this process' machine (tests) a temporary folder is
+    made, and it is then the session's folder from there on. On a cluster that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="cairnwork-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -36,6 +40,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, read again: for what is read more than once."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``fresh_path`` that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,3 +95,22 @@ def groups_of(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]
             begin = end
     if held:
         yield pa.Table.from_batches(held)
+
+
+#: Keys that ``join_heavy`` broadcasts at most, and rows that a key has at least for that.
+MOST_HEAVY, HEAVY_ROWS = 20_000, 1_000
+
+
+def join_heavy(rows: DataFrame, keyed: DataFrame, on: list[str], n: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row per key and in ``n`` how many rows have it.
+
+    A key may hold a third of all rows: keys with over a ``MOST_HEAVY``-th of them (so at most that many keys)
+    are broadcast, the others are shuffled, none of which is large.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    least = max(HEAVY_ROWS, total // MOST_HEAVY)
+    heavy = cut(keyed.filter(F.col(n) > least))
+    if heavy.isEmpty():
+        return rows.join(keyed, on)
+    heavy = F.broadcast(heavy)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(keyed.filter(F.col(n) <= least), on))

@@ -17,13 +17,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, slices, utf8
 from .words import shingles, words_of
 
 SLICE_BYTES = 1 << 20
+#: Tasks over which the places of one shingle are dealt.
+SALTS = 8
 _WINDOWS = "item_id string, size int, words array<string>, shingle array<long>"
 
 
@@ -51,6 +53,12 @@ def benchmark_windows(items: DataFrame, window: int, k: int, id_col: str, text_c
     return items.select(F.col(id_col).cast("string"), text_col).mapInArrow(cut_items, _WINDOWS)
 
 
+def _body(text: Column) -> tuple[Column, Column]:
+    """A hash of the text and its size in bytes: with the id, they tell rows apart."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text).alias("body"), F.octet_length(text).alias("bytes")
+
+
 def _counts(docs: DataFrame, wanted: np.ndarray, sizes: list[int]) -> DataFrame:
     """In how many documents each wanted shingle is: shingle, docs (one row per task at most)."""
 
@@ -75,8 +83,11 @@ def _counts(docs: DataFrame, wanted: np.ndarray, sizes: list[int]) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame, id_type: str, wanted: np.ndarray, sizes: list[int], before: int, after: int) -> DataFrame:
-    """A row per document (at null), and one per place of a wanted shingle with the words around it."""
-    schema = f"doc {id_type}, n_words long, shingle long, at long, lead int, around array<string>"
+    """A row per row of ``docs`` (at null), and one per place of a wanted shingle with the words around it.
+
+    docs: id, the text, two numbers that tell texts of one id apart.
+    """
+    schema = f"doc {id_type}, body long, bytes int, n_words long, shingle long, at long, lead int, around array<string>"
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,19 +112,19 @@ def _occurrences(docs: DataFrame, id_type: str, wanted: np.ndarray, sizes: list[
                 # A document's own row takes a key of its own, so that these rows spread.
                 keys = np.concatenate((rows[:n].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + counts.view(np.uint64), np.asarray(hashes_at, np.uint64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(rows)), pa.array(counts[rows - begin]), pa.array(keys.view(np.int64)), pa.array([None] * n + places, pa.int64()), pa.array([None] * n + leads, pa.int32()), pa.array([None] * n + around, pa.list_(pa.string()))],
-                    ["doc", "n_words", "shingle", "at", "lead", "around"],
+                    [*(c.take(pa.array(rows)) for c in (ids, batch.column(2), batch.column(3))), pa.array(counts[rows - begin]), pa.array(keys.view(np.int64)), pa.array([None] * n + places, pa.int64()), pa.array([None] * n + leads, pa.int32()), pa.array([None] * n + around, pa.list_(pa.string()))],
+                    ["doc", "body", "bytes", "n_words", "shingle", "at", "lead", "around"],
                 )
 
     return docs.mapInArrow(find, schema)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = 1 << 20) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items (sorted), contaminated.
+def judge(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = 1 << 20) -> DataFrame:
+    """A row per id and text: doc, body, bytes (which tell texts apart), n_words, n_hit, n_items, items (sorted), contaminated, copies.
 
-    Texts are lower-cased (A-Z). Null and empty texts have no words and are never hit; items without
-    words have no windows; a null item_id is left out of ``items``, though its windows count. Rows that
-    repeat an id are taken as one document's parts: n_words and n_hit are sums. No items: nothing is hit.
+    Texts are lower-cased (A-Z). Null and empty texts have no words and are never hit; items without words have no
+    windows; a null item_id is left out of ``items``, though its windows count. ids may repeat or be null: each row
+    is judged by its own text; ``copies`` rows have that id and text. No items: nothing is hit.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     windows = cut(benchmark_windows(items, window, k, item_col, item_text_col))
@@ -143,29 +154,44 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     for b in range(blocks):
         part = needed.filter(F.pmod(F.xxhash64("shingle"), F.lit(blocks)) == b)
         wanted = np.sort(np.asarray(part.toArrow().column(0)).view(np.uint64))
-        met = _occurrences(docs.select(id_col, text_col), id_type, wanted, sizes, window - min(k, window), window)
+        met = _occurrences(docs.select(id_col, text_col, *_body(F.col(text_col))), id_type, wanted, sizes, window - min(k, window), window)
         out = met if out is None else out.unionByName(met.filter("at is not null"))
     begins = F.col("at") - F.col("lies")
     fits = (F.col("at") >= F.col("lies")) & (F.col("n_words") - F.col("at") >= F.col("size") - F.col("lies"))
     same = F.expr("slice(around, lead - lies + 1, size)") == F.col("words")
-    joined = (
-        out.join(prefixes.withColumnRenamed("shingle", "prefix"), F.col("shingle").eqNullSafe(F.col("prefix")) & fits & F.expr("lead >= lies") & same, "left")
-        .filter("at is null or words is not null")
-        .select("doc", F.when(F.col("at").isNull(), F.col("n_words")).alias("n_words"), "item_id", begins.alias("begin"), (begins + F.col("size")).alias("end"))
+    # A line that many documents share is one shingle: its places are dealt over SALTS tasks. A benchmark is small.
+    salted = prefixes.select(F.col("shingle").alias("prefix"), "item_id", "size", "words", "lies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    mine = (F.col("shingle") == F.col("prefix")) & (F.pmod(F.xxhash64("doc", "body", "at"), F.lit(SALTS)) == F.col("part"))
+    row = ["doc", "body", "bytes"]
+    hits = (
+        out.filter("at is not null").join(salted, mine & fits & F.expr("lead >= lies") & same)
+        .select(*row, "item_id", begins.alias("begin"), (begins + F.col("size")).alias("end"))
+        .groupBy(*row, "item_id", "begin", "end").agg(F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("copies"))
     )
+    none = F.lit(None)
+    own = out.filter("at is null").groupBy(*row, "n_words").agg(F.count(F.lit(1)).alias("copies")).select(*row, none.cast("string").alias("item_id"), none.cast("long").alias("begin"), none.cast("long").alias("end"), "n_words", "copies")
+    joined = own.unionByName(hits)
     # Words in any window: of each window, what lies beyond the farthest end so far. The windows of one
-    # document are as many as its words and items allow.
-    so_far = F.max("end").over(Window.partitionBy("doc").orderBy("begin", "end", "item_id").rowsBetween(Window.unboundedPreceding, -1))
+    # document are as many as its words and items allow; rows of equal id and text are one until the end.
+    so_far = F.max("end").over(Window.partitionBy(*row).orderBy("begin", "end", "item_id").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("end").isNotNull(), F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("begin"), F.coalesce(so_far, F.lit(0)))))
-    return (
+    judged = (
         joined.withColumn("fresh", fresh)
-        .groupBy("doc")
-        .agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
-        .select(F.col("doc").alias(id_col), F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+        .groupBy(*row)
+        .agg(F.max("n_words").alias("n_words"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"), F.max("copies").alias("copies"))
+        .select(*row, F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "copies")
     )
+    return judged
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """One row per row of ``docs``: id, n_words, n_hit, n_items, items (sorted), contaminated. See ``judge``."""
+    judged = judge(docs, items, id_col=id_col, **how).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return judged.select(F.col("doc").alias(id_col), "n_words", "n_hit", "n_items", "items", "contaminated")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
-    """The rows of ``docs`` in which no window occurs, all columns; rows with a null id are judged together."""
-    hit = decontaminate(docs, items, window, k, id_col, text_col, **columns).filter("contaminated").select(F.col(id_col).alias("__hit"))
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__hit")), "left_anti")
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, all columns. Rows are matched by id and text."""
+    body, size = _body(F.col(text_col))
+    hit = judge(docs, items, id_col=id_col, text_col=text_col, **how).filter("contaminated").select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), F.col("bytes").alias("__bytes"))
+    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__doc")) & (body == F.col("__body")) & (size == F.col("__bytes")), "left_anti")

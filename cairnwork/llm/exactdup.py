@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_heavy
 
 #: The white space that counts, as a character class.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -43,24 +43,44 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
-    An empty table gives no rows. Rows that repeat id and text get equal rows. Further columns of
-    ``docs`` are neither read nor returned, so their names can't clash.
+    An empty table gives no rows. Of rows that repeat id and text one is kept. Further columns of ``docs`` are
+    neither read nor returned, so their names can't clash.
     """
     groups = copy_groups(docs, id_col, text_col)
     text = normalised(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("hash"), F.sha2(text, 256).alias("text_sha256"), text.alias("body"))
-    alone = groups.filter("text is null")
-    found = rows.drop("body").join(alone, F.col("hash") == F.col("content_hash"))
-    if not groups.filter("text is not null").isEmpty():
-        collided = groups.filter("text is not null")
-        found = found.unionByName(rows.join(collided, (F.col("hash") == F.col("content_hash")) & (F.col("body") == F.col("text"))).drop("body"))
-    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    each = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("content_hash"), F.sha2(text, 256).alias("text_sha256"), text.alias("body"))
+    # Rows that repeat are one, with their number.
+    rows = each.groupBy("id", "content_hash", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    alone = groups.filter("text is null").select("content_hash", "keep_id", "group_size")
+    found = join_heavy(rows, alone, ["content_hash"], "group_size").select("id", "text_sha256", "n", "keep_id", "group_size")
+    collided = groups.filter("text is not null")
+    if not collided.isEmpty():
+        apart = each.join(collided.withColumnRenamed("content_hash", "h"), (F.col("content_hash") == F.col("h")) & (F.col("body") == F.col("text")))
+        found = found.unionByName(apart.groupBy("id", "text_sha256", "keep_id", "group_size").agg(F.count(F.lit(1)).alias("n")).select(*found.columns))
+    # The first of them stays, if that id does.
+    copies = found.select("id", "text_sha256", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    return copies.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns: one for each text.
 
-    Rows whose ids are null stay only if their text has no row with an id.
+    Rows are matched by id and content, so ids may repeat. Rows whose ids are null stay only if their text has no
+    row with an id.
     """
-    kept = copy_groups(docs, id_col, text_col).select(F.col("keep_id").alias("__keep_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__keep_id")), "left_semi")
+    text = normalised(F.col(text_col))
+    groups = copy_groups(docs, id_col, text_col)
+    # Rows of the id that stays, by text: more than one if rows repeat.
+    first = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("content_hash")).groupBy("id", "content_hash").agg(F.count(F.lit(1)).alias("__n"))
+    kept = cut(groups.filter("text is null").join(first, (groups["content_hash"] == first["content_hash"]) & groups["keep_id"].eqNullSafe(first["id"])).select(first["content_hash"].alias("__hash"), F.col("keep_id").alias("__id"), "__n"))
+    same = (F.md5(text) == F.col("__hash")) & docs[id_col].eqNullSafe(F.col("__id"))
+    out = docs.join(kept.filter("__n = 1").select("__hash", "__id"), same, "left_semi")
+    if not kept.filter("__n > 1").isEmpty():
+        repeated = docs.join(kept.filter("__n > 1").select("__hash", "__id"), same, "left_semi")
+        out = out.unionByName(repeated.withColumn("__hash", F.md5(text)).dropDuplicates([id_col, "__hash"]).drop("__hash"))
+    collided = groups.filter("text is not null")
+    if not collided.isEmpty():
+        apart = collided.select(F.col("text").alias("__text"), F.col("keep_id").alias("__id"))
+        met = docs.withColumn("__body", text).join(apart, (F.col("__body") == F.col("__text")) & docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+        out = out.unionByName(met.dropDuplicates([id_col, "__body"]).drop("__body"))
+    return out

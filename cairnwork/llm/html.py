@@ -1,266 +1,412 @@
 """HTML extraction with site template removal.
 
-A page becomes a stream of text blocks, each with the hashes of the element subtrees that hold it. Spark
-counts every subtree once per article and host (of a page without a main element, all its text is the article);
-subtrees that recur with ``min_pages`` articles of a host are that site's template and are deleted. Only a page that
-would have no text left keeps its large ones. What HTML itself marks as no main text (menus, scripts, forms,
-comments, ...) is deleted as well. Paragraphs and headings of an article are never template: an article may
-repeat on a site. If a page has an article (or main) element, only its text is taken.
+A page is read once into a tree of elements and a row of text blocks. Every block-level element gets the hash of its
+subtree (its tag, its text, the hashes of the elements in it, in order), combined from the inside out. Spark counts
+the subtrees per host, once for each article they stand beside (of a page without a main element, all its text is
+the article), so copies of one page teach nothing; what recurs beside ``min_pages`` articles of a host is that
+site's template, and is deleted, whatever its share of a page. Only of a page that would have no text left the
+longest such subtree stays.
+
+What HTML or a name marks as no main text (menus, scripts, forms, reader comments, ...) is deleted as well: reader
+comments, and adverts that change from page to page, recur nowhere. If a page has an article or main element, only its
+text is taken, and in it only what holds other elements (a list, a section, ...) can be template: its paragraphs and
+headings are the article's own. All work on a page is linear in its length, however its elements are nested.
 """
 
 from __future__ import annotations
 
-import hashlib
+import heapq
 import html
 import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, utf8
+from .common import join_heavy, slices, utf8, written
 from .urlfilter import host_of
 
 #: Elements by what they mean for the main text.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"}
-DROP = {"script", "style", "head", "title", "nav", "aside", "form", "noscript", "template", "iframe", "object", "embed", "svg", "math", "canvas", "button", "select", "textarea", "input", "menu", "dialog", "noembed", "noframes", "xmp", "audio", "video", "map"}
+NO_TEXT = {"script", "style", "head", "title", "template"}
+DROP = NO_TEXT | {"nav", "aside", "noscript", "iframe", "object", "embed", "svg", "math", "canvas", "button", "select", "textarea", "input", "menu", "dialog", "noembed", "noframes", "xmp", "audio", "video", "map"}
 FRAME = {"header", "footer"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+#: What can be template inside a main element.
 HOLDERS = {"div", "section", "ul", "ol", "dl", "table", "nav", "aside", "header", "footer", "form", "address", "center", "figure", "details"}
-#: An opening tag of the left ends open elements of the right.
+#: An opening tag of the left ends the innermost open elements of the right.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-STOPS = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "html", "td", "th"}
-ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|comments?|disqus|replies|share|sharing|social|newsletter|subscribe|signup|login|pop-?up|modal|overlay|related|recommended|footer|masthead|site-?header|skip-?link|pagination|pager|toolbar|widget|reader-comments?|comment-list)(?:$|[\s_-])", re.I)
-#: Of these words, those that never name a wrapper of the page.
-TALK_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|related|recommended|ads?|advert\w*|sponsor\w*|cookies?|consent|gdpr|newsletter)(?:$|[\s_-])", re.I)
+ITEMS, LISTS = {"li", "dt", "dd", "tr", "td", "th", "option"}, {"ul", "ol", "dl", "table", "select"}
+STOPS = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "html", "td", "th", "main", "form", "center"}
 ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Class and id names of what is beside an article, of elements that hold others. A name of several words
+#: (by - or _) counts if one of WORDS is among them, or as a whole. TALK never names a wrapper of the page.
+TALK = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "sponsor", "sponsored", "cookie", "cookies", "consent", "gdpr", "comment", "comments", "commentlist", "disqus", "newsletter"}
+WORDS = TALK | {"sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "popup", "modal", "pagination", "pager", "toolbar", "widget"}
+WHOLE_TALK = {"related", "related-posts", "related-articles", "related-links", "related-stories", "recommended", "replies", "respond", "subscribe", "share", "sharing", "share-buttons", "social", "social-share"}
+WHOLE = WHOLE_TALK | {"notice", "notices", "site-notice", "banner", "promo", "side-bar", "pop-up", "overlay", "site-header", "page-header", "skip-link", "login", "signup"}
+NAMED = {"div", "section", "ul", "ol", "dl", "table", "center", "figure", "details", "span", "fieldset", "address", "p"}
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 
-
-LARGE = 0.3
 #: A wrapper is the page's layout if the text outside it is at most this part of that inside.
 BESIDE = 0.1
 SLICE_BYTES = 1 << 20
 
 
-class _Node:
-    __slots__ = ("tag", "drop", "main", "wraps", "digest", "used")
-
-    def __init__(self, tag: str, drop: bool, main: bool, wraps: bool):
-        self.tag, self.drop, self.main, self.wraps = tag, drop, main, wraps
-        self.digest, self.used = (hashlib.blake2b(tag.encode(), digest_size=8), False) if tag in HOLDERS else (None, False)
-
+class _Tags:
+    """Where tags end: at the first ``>`` outside quotes. In a page with a tag that never ends so, at the first ``>``."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.quotes, self.unclosed = True, set()
+
+    def end(self, at: int) -> int:
+        """The place after the tag whose attributes begin at ``at``; -1 if none ends it."""
+        if at > self.last:
+            return -1
+        i = at
+        while self.quotes:
+            i = _PLAIN.match(self.source, i).end()
+            if i >= len(self.source):
+                self.quotes = False
+                break
+            sign = self.source[i]
+            if sign == ">":
+                return i + 1
+            close = -1 if sign in self.unclosed else self.source.find(sign, i + 1)
+            if close < 0:
+                self.unclosed.add(sign)
+            i = max(i, close) + 1
+        return self.source.find(">", at) + 1
 
-def _unwrap(blocks: list[tuple[str, list[_Node]]]) -> None:
-    """Let forms and elements dropped by class or id words be no longer dropped if they wrap the page.
 
-    They do if they hold the main element, and next to none stands outside them. An article there may also be a
-    teaser, so the text they hold must then outweigh the text outside. Without a main element below them, they do if
-    they hold next to all the text; so a page that is one form keeps its text.
-    """
-    # What other elements drop counts nowhere.
-    seen = [(len(t), nodes) for t, nodes in blocks if not any(n.drop and not n.wraps for n in nodes)]
-    wrappers: dict[int, list] = {}
-    for size, nodes in seen:
-        mains = [i for i, n in enumerate(nodes) if n.main]
-        sure = [i for i in mains if nodes[i].tag != "article"]
-        for i, node in enumerate(nodes):
-            if node.drop:
-                entry = wrappers.setdefault(id(node), [node, 0, 0, False, bool(mains and mains[0] < i)])
-                entry[1] += size
-                entry[2] += size if mains and mains[-1] > i else 0
-                entry[3] = entry[3] or bool(sure and sure[-1] > i)
-
-    def outside() -> tuple[int, int]:
-        free = [(size, any(n.main for n in nodes)) for size, nodes in seen if not any(n.drop for n in nodes)]
-        return sum(size for size, _ in free), sum(size for size, main in free if main)
-
-    if wrappers:
-        text, main = outside()
-    # The largest first, and what holds others before them.
-    for node, held, held_main, sure, inside in sorted(wrappers.values(), key=lambda e: -e[1]):
-        if held_main:
-            wraps = main <= BESIDE * held_main and (sure or text < held)
-        else:
-            wraps = (main if inside else text) <= BESIDE * held
-        if wraps:
-            node.drop = False
-            text, main = outside()
+class _Node:
+    """An open or closed element. near: the innermost block-level element at or above it, by whose hash it is known."""
+
+    __slots__ = ("tag", "up", "block", "hard", "soft", "main", "inside", "holds", "near", "hasher", "hash", "bound", "p", "item", "dropped", "size", "main_size", "sure", "place")
+
+    def __init__(self, tag: str, up: _Node | None, block: bool):
+        self.tag, self.up, self.block = tag, up, block
+        self.hard = self.soft = self.main = self.inside = self.holds = self.dropped = self.sure = False
+        self.hasher, self.hash, self.place = (xxhash.xxh3_64(tag) if block else None), None, None
+        self.near = self if block else up and up.near
+        self.bound = self.p = self.item = -1
+        self.size = self.main_size = 0
+
+
+def _named(tag: str, attrs: dict[str, str]) -> tuple[bool, bool]:
+    """Whether class or id say that the element is beside the article, and whether it can never be a wrapper."""
+    if tag not in NAMED:
+        return False, False
+    beside = never = False
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        if tag == "p" and name not in TALK:
+            continue
+        parts = set(re.split("[-_]", name))
+        beside = beside or name in WHOLE or bool(parts & WORDS)
+        never = never or name in WHOLE_TALK or bool(parts & TALK)
+    return beside, never
 
 
-def page_blocks(source: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[int], list[int]]:
-    """Blocks as (text, in a dropped element, in the main element, hashes of subtrees around it), all hashes, and large ones.
+def _read(source: str, markup: bool) -> tuple[list[_Node], list[tuple[str, _Node]]]:
+    """All elements in the order they open, and (text, element around it) of all blocks.
 
-    Large are the subtrees that hold over ``LARGE`` of the page's main text.
     Tags that never end run to the end of what holds them; a cut-off tag at the end of a page is no text.
     """
-    stack: list[_Node] = []
-    blocks: list[tuple[str, list[_Node]]] = []
-    words: list[str] = []
-    hashes: dict[int, int] = {}
-    order: list[_Node] = []
+    tags = _Tags(source)
+    root = _Node("", None, True)
+    nodes, stack, blocks, words = [root], [root], [], []
+    open_at: dict[str, list[int]] = {}
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
         words.clear()
         if text:
-            for node in stack:
-                if node.digest is not None:
-                    node.digest.update(text.encode("utf-8", "replace") + b"\n")
-                    node.used = True
-            blocks.append((text, stack.copy()))
+            stack[-1].near.hasher.update(b"\0" + text.encode("utf-8", "replace"))
+            blocks.append((text, stack[-1]))
 
     def close(to: int) -> None:
-        for node in stack[to:]:
-            if node.digest is not None and node.used:
-                hashes[id(node)] = int.from_bytes(node.digest.digest(), "big", signed=True)
-                order.append(node)
-        del stack[to:]
+        while len(stack) > to:
+            node = stack.pop()
+            open_at[node.tag].pop()
+            if node.block:
+                digest = node.hasher.digest()
+                node.hash = int.from_bytes(digest, "big", signed=True)
+                node.up.near.hasher.update(b"\1" + digest)
 
     at = 0
     while True:
-        found = _TOKEN.search(source, at)
-        text = source[at : found.start() if found else len(source)]
-        if found is None and (cut := text.rfind("<")) >= 0 and re.match(r"<[/!a-zA-Z]", text[cut:]):
-            text = text[:cut]
-        if text:
-            words.append(text)
-        if found is None:
+        found = source.find("<", at)
+        if found < 0:
+            words.append(source[at:])
             break
-        at = found.end()
-        if found[2] is None:
+        sign = source[found + 1 : found + 2]
+        if not (sign in ("/", "!", "?") or (sign.isascii() and sign.isalpha())):
+            words.append(source[at : found + 1])
+            at = found + 1
             continue
-        tag = found[2].lower()
-        if found[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    if tag in BLOCK or tag in DROP:
-                        flush()
-                    close(i)
-                    break
-                if stack[i].tag in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                    break
+        words.append(source[at:found])
+        if sign in ("!", "?"):
+            mark = "-->" if source.startswith("<!--", found) else ">"
+            stop = source.find(mark, found + (4 if mark == "-->" else 2))
+            if stop < 0:
+                break
+            at = stop + len(mark)
+            continue
+        named = _NAME.match(source, found + (2 if sign == "/" else 1))
+        stop = tags.end(named.end() if named else found + 1)
+        if stop <= 0:
+            break
+        if named is None:
+            at = stop
+            continue
+        tag, at = named[0].lower(), stop
+        if sign == "/":
+            places = open_at.get(tag)
+            if places and (places[-1] > stack[-1].bound or tag in ("article", "main", "body", "html") or places[-1] == stack[-1].bound):
+                if stack[places[-1]].block:
+                    flush()
+                close(places[-1])
             continue
         if tag in ("br", "img", "wbr"):
             if tag != "wbr":
                 words.append(" ")
             continue
-        if tag in BLOCK or tag in DROP:
+        body = source[named.end() : stop - 1]
+        attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(body)} if body.strip() else {}
+        up = stack[-1]
+        inside = up.inside or up.main
+        role = attrs.get("role", "").lower()
+        main = tag in ("article", "main") or role in ("main", "article")
+        form = tag == "form" or role == "form"
+        beside, never = (False, False) if main or tag in ("html", "body") else _named(tag, attrs)
+        hard = tag in DROP or (role in ASIDE_ROLES and role != "form") or "hidden" in attrs or (tag in FRAME and not (tag == "header" and inside)) or (beside and never)
+        block = tag in BLOCK or tag in DROP or hard or form or beside or main
+        if block:
             flush()
-            if tag in BLOCK:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == "p":
-                        close(i)
-                        break
-                    if stack[i].tag in STOPS:
-                        break
+        if tag in BLOCK and up.p > 0:
+            close(up.p)
         if tag in ENDS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in ENDS[tag]:
-                    close(i)
-                    break
-                if stack[i].tag in ("ul", "ol", "dl", "table"):
-                    break
+            place = stack[-1].item
+            if tag == "tr":
+                while place > 0 and stack[place].tag != "tr" and stack[place - 1].item > 0:
+                    place = stack[place - 1].item
+            if place > 0 and stack[place].tag in ENDS[tag]:
+                close(place)
         if tag in VOID:
             continue
-        attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(found[3])} if found[3].strip() else {}
-        inside = any(n.main for n in stack)
-        role = attrs.get("role", "").lower()
-        main = tag in ("article", "main") or role in ("main", "article")
-        form = tag == "form" or role == "form"
-        drop = (tag in DROP and tag != "form") or (role in ASIDE_ROLES and role != "form") or "hidden" in attrs or (tag in FRAME and not (tag == "header" and inside))
-        named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+        up = stack[-1]
+        node = _Node(tag, up, block)
+        place = len(stack)
+        node.hard, node.main, node.inside = (hard if markup else tag in NO_TEXT), main, up.inside or up.main
         # Some wrap the whole page, which is seen when it has been read.
-        wraps = not drop and (form or (not main and tag not in ("html", "body") and bool(named.strip()) and bool(ASIDE_WORDS.search(named))))
-        drop = drop or wraps
-        wraps = wraps and not TALK_WORDS.search(named)
+        node.soft = markup and not hard and (form or beside)
+        node.bound = place if tag in ("article", "main", "body") else up.bound
+        node.p = place if tag == "p" else -1 if tag in STOPS else up.p
+        node.item = place if tag in ITEMS else -1 if tag in LISTS else up.item
+        if main:
+            above = up
+            while above is not None and not above.holds:
+                above.holds, above = True, above.up
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
+            end = _RAW_END[tag].search(source, at)
             at = end.start() if end else len(source)
-        stack.append(_Node(tag, drop, main, wraps))
+        open_at.setdefault(tag, []).append(place)
+        nodes.append(node)
+        stack.append(node)
     flush()
-    close(0)
-    _unwrap(blocks)
-    out = []
-    share: dict[int, int] = {}
-    has_main = any(n.main for _, nodes in blocks for n in nodes)
-    mine = [(t, nodes) for t, nodes in blocks if not any(n.drop for n in nodes) and (not has_main or any(n.main for n in nodes))]
-    for text, nodes in mine:
-        for node in nodes:
-            share[id(node)] = share.get(id(node), 0) + len(text)
-    content = {i for i, n in share.items() if n > LARGE * sum(len(t) for t, _ in mine)}
-    for text, nodes in blocks:
-        inner = max((i for i, n in enumerate(nodes) if n.main), default=-1)
-        # Subtrees around an article are not deleted with it, nor what directly is its text.
-        around = [hashes[id(n)] for n in nodes[inner + 1 :] if n.digest is not None]
-        out.append((text, any(n.drop for n in nodes), inner >= 0, around))
-    return out, list(dict.fromkeys(hashes[id(n)] for n in order)), list(dict.fromkeys(hashes[id(n)] for n in order if id(n) in content))
-
-
-def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Runs of a few MB of pages, with what ``page_blocks`` finds in their last column."""
+    close(1)
+    return nodes, blocks
+
+
+def _unwrap(nodes: list[_Node], blocks: list[tuple[str, _Node]]) -> None:
+    """Let forms and named elements be no longer dropped if they wrap the page.
+
+    They do if they hold the main element, and next to none stands outside them. An article there may also be a
+    teaser, so the text they hold must then outweigh the text outside. Without a main element below them, they do if
+    they hold next to all the text; so a page that is one form keeps its text. The largest are judged first, what
+    holds others before them, each once.
+    """
+    soft = [n for n in nodes if n.soft]
+    if not soft:
+        return
+    for node in nodes[1:]:
+        node.dropped = node.hard or node.up.dropped
+    for text, node in blocks:
+        if not node.dropped:
+            node.size += len(text)
+            node.main_size += len(text) if node.main or node.inside else 0
+    for node in reversed(nodes[1:]):
+        node.up.size += node.size
+        node.up.main_size += node.main_size
+        node.up.sure = node.up.sure or node.sure or (node.main and node.tag != "article" and not node.dropped)
+    below: dict[int, list[_Node]] = {}
+    outer: dict[int, _Node | None] = {id(nodes[0]): None}
+    for node in nodes[1:]:
+        outer[id(node)] = node if node.soft else outer[id(node.up)]
+        if node.soft:
+            above = outer[id(node.up)]
+            below.setdefault(id(above) if above else 0, []).append(node)
+    ready = below.get(0, [])
+    text = nodes[0].size - sum(n.size for n in ready)
+    main = nodes[0].main_size - sum(n.main_size for n in ready)
+    heap = [(-n.size, i, n) for i, n in enumerate(ready)]
+    heapq.heapify(heap)
+    count = len(heap)
+    while heap:
+        _, _, node = heapq.heappop(heap)
+        held_main = 0 if node.inside else node.main_size
+        if held_main:
+            wraps = main <= BESIDE * held_main and (node.sure or text < node.size)
+        else:
+            wraps = (main if node.inside else text) <= BESIDE * node.size
+        if wraps:
+            node.soft = False
+            inner = below.get(id(node), [])
+            text += node.size - sum(n.size for n in inner)
+            main += node.main_size - sum(n.main_size for n in inner)
+            for n in inner:
+                heapq.heappush(heap, (-n.size, count, n))
+                count += 1
+
+
+class Page:
+    """blocks: (text, element) of the main text. What may be template: ``countable``."""
+
+    def __init__(self, source: str, markup: bool = True):
+        self.nodes, self.found = _read(source, markup)
+        _unwrap(self.nodes, self.found)
+        for node in self.nodes[1:]:
+            node.dropped = node.hard or node.soft or node.up.dropped
+        left = [b for b in self.found if not b[1].dropped]
+        self.has_main = markup and any(n.main or n.inside for _, n in left)
+        self.blocks = [b for b in left if b[1].main or b[1].inside] if self.has_main else left
+
+    def countable(self, node: _Node) -> bool:
+        """Not what holds a main element, and in one only what can hold others."""
+        if not node.block or node.up is None or node.tag in ("html", "body", "head", "script", "style", "title"):
+            return False
+        return not self.has_main or not (node.holds or node.main) and (not node.inside or node.tag in HOLDERS)
+
+    def article(self) -> int:
+        return xxhash.xxh3_64_intdigest("\n".join(t for t, _ in self.blocks).encode("utf-8", "replace")) - (1 << 63)
+
+    def subtrees(self) -> list[int]:
+        """The hashes of all that may be template and has text, each once."""
+        some, out = {id(n) for _, n in self.found}, {}
+        for node in reversed(self.nodes[1:]):
+            if id(node) in some:
+                some.add(id(node.up))
+                if self.countable(node):
+                    out[node.hash] = True
+        return list(out)
+
+    def compact(self) -> tuple[list[str], list[int], list[int], list[int]]:
+        """Texts, the place of the innermost countable element of each (-1: none), and of these what is above and their hashes."""
+        up, hashes = [], []
+
+        def place(node: _Node) -> int:
+            chain = []
+            while node.up is not None and node.place is None:
+                chain.append(node)
+                node = node.up
+            last = -1 if node.up is None else node.place
+            for node in reversed(chain):
+                if self.countable(node):
+                    up.append(last)
+                    hashes.append(node.hash)
+                    last = len(up) - 1
+                node.place = last
+            return last
+
+        at = [place(n) for _, n in self.blocks]
+        return [t for t, _ in self.blocks], at, up, hashes
+
+
+def main_text(source: str) -> list[str]:
+    """The blocks of the main text of one page, as far as the page alone tells."""
+    return [t for t, _ in Page(source).blocks]
+
+
+def kept_texts(texts: list[str], at: list[int], up: list[int], hashes: list[int], template: set[int]) -> list[str]:
+    """The texts outside template; if none is, those of the longest subtree that is."""
+    top: list[int] = []
+    for i, hashed in enumerate(hashes):
+        above = top[up[i]] if up[i] >= 0 else -1
+        top.append(above if above >= 0 else i if hashed in template else -1)
+    held = [top[a] if a >= 0 else -1 for a in at]
+    if -1 not in held and texts:
+        sizes: dict[int, int] = {}
+        for text, h in zip(texts, held, strict=True):
+            sizes[h] = sizes.get(h, 0) + len(text)
+        largest = max(sizes, key=lambda h: (sizes[h], -h))
+        held = [-1 if h == largest else h for h in held]
+    return [t for t, h in zip(texts, held, strict=True) if h < 0]
+
+
+def _pages(batches: Iterable[pa.RecordBatch], markup: bool) -> Iterator[tuple[pa.RecordBatch, list[Page]]]:
+    """Runs of a MB of pages, read from the last column."""
     for batch in batches:
         raw = utf8(batch.column(batch.num_columns - 1))
         for begin, end in slices(raw, SLICE_BYTES):
-            yield batch.slice(begin, end - begin), [page_blocks(t.decode("utf-8", "replace")) for t in raw[begin:end]]
+            yield batch.slice(begin, end - begin), [Page(t.decode("utf-8", "replace"), markup) for t in raw[begin:end]]
 
 
-def _number(digest: bytes) -> int:
-    return int.from_bytes(digest, "big", signed=True)
+def page_subtrees(pages: DataFrame, markup: bool = True) -> DataFrame:
+    """page, article, subtree of pages (key, host, html): a row per subtree; host goes into the subtree's hash."""
 
+    def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _pages(batches, markup):
+            hosts = part.column(1).to_pylist()
+            rows = [(i, page.article(), s) for i, page in enumerate(found) for s in page.subtrees()]
+            at, articles, subtrees = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([hosts[i] for i in at], pa.string()), pa.array(articles, pa.int64()), pa.array(subtrees, pa.int64())], ["page", "host", "article", "subtree"])
 
-def _main_text(blocks: list[tuple[str, bool, bool, list[int]]]) -> list[tuple[str, bool, bool, list[int]]]:
-    """The blocks that no element drops, of the main element if the page has one."""
-    has_main = any(b[2] for b in blocks if not b[1])
-    return [b for b in blocks if not b[1] and (b[2] or not has_main)]
+    return pages.mapInArrow(hashes, "page long, host string, article long, subtree long").select("page", "article", F.xxhash64("host", "subtree").alias("site_subtree"), "subtree")
 
 
-def _subtrees(pages: DataFrame) -> DataFrame:
-    def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _pieces(batches):
-            main = ["\n".join(b[0] for b in _main_text(blocks)).encode("utf-8", "replace") for blocks, _, _ in found]
-            articles = pa.array([_number(hashlib.blake2b(m, digest_size=8).digest()) for m in main], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), articles, pa.array([x for _, x, _ in found], pa.list_(pa.int64()))], ["key", "host", "article", "subtrees"])
+def _parsed(pages: DataFrame, id_type: str, markup: bool) -> DataFrame:
+    ints = pa.list_(pa.int32())
 
-    return pages.mapInArrow(hashes, "key long, host string, article long, subtrees array<long>").select("key", "host", "article", F.explode("subtrees").alias("subtree"))
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _pages(batches, markup):
+            texts, at, up, hashes = zip(*(p.compact() for p in found), strict=True)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.list_(pa.string())), pa.array(at, ints), pa.array(up, ints), pa.array(hashes, pa.list_(pa.int64()))], ["page", "id", "url", "texts", "at", "up", "hashes"])
 
+    return pages.mapInArrow(parse, f"page long, id {id_type}, url string, texts array<string>, at array<int>, up array<int>, hashes array<long>")
 
-def _parsed(pages: DataFrame, id_type: str) -> DataFrame:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
 
-    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _pieces(batches):
-            kept = [[{"text": b[0], "around": b[3]} for b in _main_text(blocks)] for blocks, _, _ in found]
-            large = pa.array([x for _, _, x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(kept, kind), large], ["key", "id", "url", "blocks", "large"])
+def _stripped(rows: DataFrame, id_type: str) -> DataFrame:
+    def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(2, 7)]
+            out = ["\n".join(kept_texts(t, a, u, h, set(x)) if x else t) for t, a, u, h, x in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x or ()) for x in columns[4]], pa.int64())], ["id", "url", "text", "n_template"])
 
-    return pages.mapInArrow(parse, f"key long, id {id_type}, url string, blocks array<struct<text:string,around:array<long>>>, large array<long>")
+    return rows.select("id", "url", "texts", "at", "up", "hashes", "template").mapInArrow(strip, f"id {id_type}, url string, text string, n_template long")
 
 
-def extract_text(pages: DataFrame, min_pages: int = 5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per input row: id, url, text (blocks joined by line ends), n_chars, n_template (subtrees deleted).
+def extract_text(pages: DataFrame, min_pages: int = 5, markup: bool = True, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per input row: id, url, text (blocks joined by line ends), n_chars, n_template (subtrees that recur).
 
     Null and empty pages have the empty text. A null url has the empty host, a site like any other. Rows that
-    repeat get equal rows. An empty table gives no rows.
+    repeat get equal rows. An empty table gives no rows. ``markup`` false: names, roles and main elements say
+    nothing, and template removal alone decides.
     """
     id_type = pages.schema[id_col].dataType.simpleString()
-    key = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col)).alias("key")
-    # Read twice below: parsed once.
-    once = cut(_subtrees(pages.select(key, host_of(F.col(url_col)).alias("host"), html_col)))
-    # Pages of one article count once: what recurs with it is its own.
-    recurring = once.select("host", "subtree", "article").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages).select("host", "subtree")
-    marked = once.join(recurring, ["host", "subtree"]).groupBy("key").agg(F.collect_set("subtree").alias("template"))
-    rows = _parsed(pages.select(key, F.col(id_col).alias("id"), F.col(url_col).alias("url"), html_col), id_type).join(marked, "key", "left")
-    found = F.coalesce("template", F.array().cast("array<bigint>"))
-    # An article may repeat on a site with other things around it: where nothing else is left, it is the text.
-    bare = ~F.exists("blocks", lambda b: ~F.arrays_overlap(b["around"], found))
-    rows = rows.withColumn("template", F.when(bare, F.array_except(found, "large")).otherwise(found))
-    template = F.col("template")
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], template))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return rows.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.size(template).cast("long").alias("n_template"))
+    page = F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col)).alias("page")
+    # Read twice below; a few numbers of each page. Texts are parsed again rather than stored.
+    once = written(page_subtrees(pages.select(page, host_of(F.col(url_col)).alias("host"), html_col), markup), "subtrees")
+    articles = once.select("site_subtree", "article").distinct().groupBy("site_subtree").agg(F.count(F.lit(1)).alias("pages"))
+    recurring = written(articles.filter(F.col("pages") >= min_pages), "template")
+    marked = join_heavy(once.select("page", "site_subtree", "subtree"), recurring, ["site_subtree"], "pages").groupBy("page").agg(F.collect_set("subtree").alias("template"))
+    rows = _parsed(pages.select(page, F.col(id_col).alias("id"), F.col(url_col).alias("url"), html_col), id_type, markup).join(marked, "page", "left")
+    return _stripped(rows, id_type).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_template")

@@ -65,17 +65,17 @@ QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_urlfilter, op3_interle
 
 ORACLE_SQL = {
     "op1_decontaminate": r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i + 1 : i + least(len(w), 10)], ' ') AS win FROM b, unnest(range(0, greatest(len(w) - 9, least(len(w), 1)))) AS t(i)),
 sizes AS (SELECT DISTINCT size FROM bw),
-dw AS (SELECT doc_id, size, i AS pos, array_to_string(w[i + 1 : i + size], ' ') AS win FROM d, sizes, unnest(range(0, len(w) - size + 1)) AS t(i)),
-m AS (SELECT doc_id, item_id, pos, bw.size FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
-h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM m, unnest(range(pos, pos + size)) AS t(p) GROUP BY 1),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1)
+dw AS (SELECT rid, size, i AS pos, array_to_string(w[i + 1 : i + size], ' ') AS win FROM d, sizes, unnest(range(0, len(w) - size + 1)) AS t(i)),
+m AS (SELECT rid, item_id, pos, bw.size FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM m, unnest(range(pos, pos + size)) AS t(p) GROUP BY 1),
+i AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid)""",
     "op7_exactdup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
-SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM n WINDOW w AS (PARTITION BY t)""",
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n WINDOW w AS (PARTITION BY t)""",
 }

@@ -378,14 +378,13 @@ BODY = "<h1>Head</h1><p>A text that goes on for quite a while.</p>"
 def test_extract_keeps_a_wrapped_page(begin, end, inner):
     beside = "<nav>Menu</nav><div class='widget'>Tip</div><form><p>Search</p></form><div class='comments'>A long comment, it is longer than all of the text of the page itself.</div>"
     for source in (f"<body>{begin}{beside}{inner.format(BODY)}{end}</body>", f"<body>{begin}{inner.format(BODY + '<form>Send</form>')}{end}<footer>f</footer></body>", f"<body>{beside}{begin}{inner.format(BODY)}{end}</body>"):
-        blocks = html._main_text(html.page_blocks(source)[0])
-        assert [b[0] for b in blocks] == ["Head", "A text that goes on for quite a while."], source
+        assert html.main_text(source) == ["Head", "A text that goes on for quite a while."], source
 
 
 def test_extract_still_drops_what_wraps_no_page():
     beside = "<div class='widget'><article>Teaser one</article><article>Teaser two</article></div><form><p>Name and mail</p></form><div class='menu'>Start</div>"
     for source in (f"<body><article>{BODY}</article>{beside}</body>", f"<body><div>{BODY}</div>{beside}</body>", f"<body><main>{BODY}{beside}<div class='comments'><article>{'Talk. ' * 99}</article></div></main></body>"):
-        assert [b[0] for b in html._main_text(html.page_blocks(source)[0])] == ["Head", "A text that goes on for quite a while."], source
+        assert html.main_text(source) == ["Head", "A text that goes on for quite a while."], source
 
 
 def test_url_filter(spark):
@@ -516,3 +515,44 @@ def test_chat_long_thread_and_empty(spark):
         todo = [t for t in sorted(parent) if parent[t] == x] + todo
     assert [r.turn for r in sorted(out, key=lambda r: r.position)] == order
     assert chat.format_chat(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_rows_with_repeated_and_null_ids_are_judged_one_by_one(spark):
+    docs = spark.createDataFrame([(1, "some bad words here"), (1, "fine"), (1, "fine"), (None, "bad words"), (None, "fine text"), (None, None), (5, "ok")], "doc_id long, text string")
+    items = spark.createDataFrame([(3, "bad words")], "item_id long, text string")
+    got = sorted((tuple(r) for r in decontam.decontaminate(docs, items).select("doc_id", "n_words", "n_hit").collect()), key=str)
+    assert got == sorted([(1, 4, 2), (1, 1, 0), (1, 1, 0), (None, 2, 2), (None, 2, 0), (None, 0, 0), (5, 1, 0)], key=str)
+    kept = sorted((tuple(r) for r in decontam.keep_clean(docs.withColumn("body", F.lit(1)).withColumn("doc", F.lit(2)), items).select("doc_id", "text").collect()), key=str)
+    assert kept == sorted([(1, "fine"), (1, "fine"), (None, "fine text"), (None, None), (5, "ok")], key=str)
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_exact_dedup_keeps_one_row_of_each_text(spark, monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(exactdup.F, "md5", lambda c: F.substring(F.sha2(c, 256), 1, 1))
+    rows = [(1, "a"), (2, "a"), (2, "b"), (3, "b"), (7, "z"), (7, "z"), (None, "a"), (None, "n"), (None, "n"), (9, None), (8, "")]
+    rows += [(100 + i, f"t{i}") for i in range(20 if collide else 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__n", F.lit(1)).withColumn("keep_id", F.lit(0))
+    expected = [(1, "a"), (2, "b"), (7, "z"), (None, "n"), (8, "")] + rows[11:]
+    got = [(r.doc_id, r.text) for r in exactdup.keep_first(docs.drop("__n")).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    out = exactdup.exact_dedup(docs).collect()
+    assert len(out) == len(rows) and sorted((r.doc_id for r in out if r.kept), key=str) == sorted((i for i, _ in expected), key=str)
+
+
+def test_queries_equal_their_sql_with_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    from cairnwork.llm import queries
+
+    rows = [(1, "rare words here and there"), (1, "nothing"), (1, "nothing"), (2, "  nothing"), (None, "rare WORDS here"), (None, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, "words here"), (5, "rare words here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name in ("op1_decontaminate", "op7_exactdup"):
+        found = queries.QUERIES[name](spark, str(tmp_path))
+        theirs = con.execute(queries.ORACLE_SQL[name])
+        columns = [c[0] for c in theirs.description]
+        assert sorted(map(repr, map(tuple, found.select(*columns).collect()))) == sorted(map(repr, theirs.fetchall())), name
