@@ -176,7 +176,39 @@ def test_near_classes_repeats_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (5, None), (None, None)], "doc_id long, text string")
     assert sorted(map(tuple, pathjoin.near_classes(docs).collect()), key=str) == sorted([(1, 1, 2), (1, 1, 2), (None, 1, 2), (5, 5, 0), (None, None, 0)], key=str)
     assert pathjoin.near_classes(docs.limit(0)).count() == 0
-    assert pathjoin.runs_for(0.8, 0.9999) >= pathjoin.runs_for(0.8, 0.9)
+    kept = [(r.doc_id, r.text) for r in pathjoin.keep_one(docs.unionByName(docs.sparkSession.createDataFrame([(5, "q r s t u"), (None, "x y z x y z"), (None, "X y z x y z"), (None, "")], docs.schema))).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a b c d e f"), (5, None), (None, None), (5, "q r s t u"), (None, "x y z x y z"), (None, "")], key=str) or sorted(kept, key=str) == sorted([(1, "a b c d e f"), (5, None), (None, None), (5, "q r s t u"), (None, "X y z x y z"), (None, "")], key=str)
+
+
+def test_runs_reach_the_recall_that_they_promise():
+    """The bound against draws of whole trees: pairs with a token in common at each coordinate with probability 0.8."""
+    assert pathjoin.recall_of(0.8, pathjoin.runs_for(0.8, 0.9997)) >= 0.9997
+    rng = np.random.default_rng(6)
+    runs, depth, trials = 1, 4, 4000
+
+    def together(equal, left):
+        if not left:
+            return True
+        a, b = rng.choice(pathjoin.COORDS, 2, replace=False)
+        return any(equal[i] and together(equal, left - 1) for i in (a, b))
+
+    met = sum(any(together(equal, depth) for _ in range(runs)) for equal in rng.random((trials, pathjoin.COORDS)) < 0.8)
+    assert abs(met / trials - pathjoin.recall_of(0.8, runs, depth)) < 0.012
+
+
+def test_recall_at_the_threshold(spark):
+    """2,000 pairs of similarity 0.8 to 0.82, most of which must be found."""
+    rng = random.Random(21)
+    docs = []
+    for i in range(2000):
+        w = [f"u{rng.randrange(10**9)}" for _ in range(104)]
+        v = list(w)
+        for at in rng.sample(range(8, 96), 2):
+            v[at] = f"x{rng.randrange(10**9)}"
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    out = {r.doc_id: r.class_id for r in pathjoin.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    near = [(a, b) for a, b in zip(range(0, 4000, 2), range(1, 4000, 2), strict=True) for x, y in [({tuple(docs[j][1].split()[p : p + 5]) for p in range(100)} for j in (a, b))] if len(x & y) >= 0.8 * len(x | y)]
+    assert len(near) >= 1500 and sum(out[a] == out[b] for a, b in near) >= 0.9985 * len(near)
 
 
 def test_components(spark):
