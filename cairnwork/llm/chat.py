@@ -1,13 +1,15 @@
 """Chat formatting by quotation linking.
 
 Messages are split into what their author wrote and what they quote (lines that begin with ``>``, as deep as
-there are such signs). Quoted passages are re-flowed, normalised and hashed sentence by sentence, and
-meet the sentences of all earlier messages of the conversation. The message that most of the first-level
-passages come from (of equals the last) is the one answered; a message that quotes nothing answers the one before it. The reply
-tree, walked in preorder, gives each message its place, and quotes are left out of the text.
+there are such signs). Quoted passages of every level are re-flowed, normalised and hashed sentence by sentence, and
+meet the sentences of all earlier messages of the conversation. At each level, the message that most of the passages
+come from (of equals the last) is their origin; that of the outermost level with an origin is the one answered. A
+message without one answers the one before it. The reply tree, walked in preorder, gives each message its place, and
+quotes are left out of the text.
 
 A conversation may hold a third of all rows: the messages of a sentence are dealt over tasks in blocks, the
-message before is found in windows over blocks of turns, and the walk is list ranking by pointer doubling, so no task holds a conversation.
+message before is found in windows over blocks of turns, and the walk is list ranking by pointer doubling, so no task
+holds a conversation. Texts are written once as they are parsed, and joined once, to the finished places.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, join_heavy, utf8, written
 
 #: Turns per block of the windows.
 BLOCK = 1024
+#: What stands for a null turn, before all others.
+LEAST = -(1 << 62)
 _QUOTE = re.compile(r"^[ \t]{0,3}((?:>[ \t]?)+)(.*)$")
 #: How lines that announce a quote end.
 _ANNOUNCES = re.compile(r"(?:\bwrote|\bwrites|\bsaid|\bschrieb|\ba écrit|\bescribió)\s*:\s*$", re.I)
@@ -73,17 +77,26 @@ def parse_message(text: str) -> tuple[str, list[int], list[tuple[int, int]]]:
     return kept, _sentences(own), quoted
 
 
-def _parsed(messages: DataFrame) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.drop("text").schema) + ", own string, sentences array<long>, quotes array<struct<level:int,sentence:long>>"
-    names = messages.drop("text").columns
+def _parsed(messages: DataFrame, conv_type: str) -> DataFrame:
+    """conv, c (conversation), at (turn), key, turn, role, own, sentences, quotes of every row."""
+    names = ["conv", "c", "at", "key", "turn", "role", "own", "sentences", "quotes"]
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("sentence", pa.int64())]))
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse_message(t.decode("utf-8", "replace")) for t in utf8(batch.column(batch.num_columns - 1))]
-            kind = pa.list_(pa.struct([("level", pa.int32()), ("sentence", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([[{"level": a, "sentence": b} for a, b in x[2]] for x in found], kind)], [*names, "own", "sentences", "quotes"])
+            found = [parse_message(t.decode("utf-8", "replace")) for t in utf8(batch.column(6))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([[{"level": a, "sentence": b} for a, b in x[2]] for x in found], kind)], names)
 
-    return messages.select(*names, "text").mapInArrow(parse, schema)
+    return messages.mapInArrow(parse, f"conv {conv_type}, c long, at long, key long, turn long, role string, own string, sentences array<long>, quotes array<struct<level:int,sentence:long>>")
+
+
+def messages_of(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """The parsed rows as a table in the shared folder. Null turns come first, null conversations are one."""
+    conv, turn, text = F.col(conv_col), F.col(turn_col).cast("long"), F.col(text_col)
+    role = F.col(role_col).cast("string")
+    c = F.xxhash64(conv.cast("string"), conv.isNull())
+    rows = messages.select(conv.alias("conv"), c.alias("c"), F.coalesce(turn, F.lit(LEAST)).alias("at"), F.xxhash64(turn, role, text, F.lit(1)).alias("key"), turn.alias("turn"), role.alias("role"), text.alias("text"))
+    return written(_parsed(rows, messages.schema[conv_col].dataType.simpleString()), "messages")
 
 
 def _before(rows: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
@@ -91,7 +104,7 @@ def _before(rows: DataFrame, keys: list[str], value: Column, out: str) -> DataFr
 
     Windows span a block of turns; a block that has none before takes it from the blocks before.
     """
-    rows = rows.withColumn("__block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)).withColumn("__value", value)
+    rows = rows.withColumn("__block", F.floor(F.col("turn") / BLOCK)).withColumn("__value", value)
     near = Window.partitionBy(*keys, "__block").orderBy("turn", "key", "probe").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(*keys, "__block").agg(F.max(F.when(F.col("__value").isNotNull(), F.struct("turn", "key", "__value"))).alias("__last"))
     far = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,84 +113,100 @@ def _before(rows: DataFrame, keys: list[str], value: Column, out: str) -> DataFr
     return joined.withColumn(out, F.coalesce("__near", "__far")).drop("__near", "__far", "__value", "__block")
 
 
+def _linked(parsed: DataFrame) -> DataFrame:
+    """A row per distinct message: c, turn, key, n_rows, parent, linked, origins."""
+    base = cut(parsed.groupBy("c", F.col("at").alias("turn"), "key").agg(F.count(F.lit(1)).alias("n_rows")))
+    previous = _before(base.withColumn("probe", F.lit(0)), ["c"], F.struct("turn", "key"), "previous").drop("probe")
+    asked = parsed.select("c", F.col("at").alias("turn"), "key", F.inline(F.array_distinct(F.transform("quotes", lambda q: F.struct(q["level"].alias("level"), q["sentence"].alias("sentence"), F.size(F.filter("quotes", lambda r: r == q)).alias("weight"))))))
+    asked = cut(asked.distinct())
+    at = ["c", "turn", "key"]
+    if asked.isEmpty():
+        none = F.array().cast("array<struct<level:int,turn:bigint,passages:bigint>>")
+        return previous.select(*at, "n_rows", F.col("previous").alias("parent"), F.lit(False).alias("linked"), none.alias("origins"))
+    written_ = parsed.select("c", F.explode(F.array_distinct("sentences")).alias("sentence"), F.struct(F.col("at").alias("turn"), "key").alias("source"))
+    written_ = cut(written_.join(asked.select("c", "sentence").distinct(), ["c", "sentence"], "left_semi").distinct())
+    # Messages that have a common sentence are dealt over as many parts as BLOCK asks for.
+    parts = written_.groupBy("c", "sentence").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    dealt = written_.join(parts, ["c", "sentence"]).select("c", "sentence", F.pmod(F.xxhash64("source"), "parts").cast("int").alias("part"), "source")
+    asked = asked.join(parts, ["c", "sentence"]).select(*at, "level", "sentence", "weight", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    met = asked.join(dealt, ["c", "sentence", "part"]).filter(F.col("source") < F.struct("turn", "key"))
+    votes = met.groupBy(*at, "level", "source").agg(F.sum("weight").alias("votes"))
+    levels = votes.groupBy(*at, "level").agg(F.max(F.struct("votes", "source")).alias("best"))
+    linked = levels.groupBy(*at).agg(F.min_by("best", "level")["source"].alias("source"), F.array_sort(F.collect_list(F.struct("level", F.nullif(F.col("best.source.turn"), F.lit(LEAST)).alias("turn"), F.col("best.votes").alias("passages")))).alias("origins"))
+    none = F.array().cast(linked.schema["origins"].dataType)
+    return previous.join(cut(linked), at, "left").select(*at, "n_rows", F.coalesce("source", "previous").alias("parent"), F.col("source").isNotNull().alias("linked"), F.coalesce("origins", none).alias("origins"))
+
+
 def link_replies(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per distinct message: conv, turn, role, text (as written), key, parent, linked, n_quotes, n_rows.
+    """One row per distinct message: c (a hash of the conversation), turn, key, n_rows, parent, linked, origins.
 
     ``parent`` is struct(turn, key) of the message answered (null for a conversation's first), ``linked``
-    whether a quotation says so. Rows that repeat whole are one message, ``n_rows`` of them. Null texts are
-    empty and quote nothing; null turns come first; null conversations are one conversation.
+    whether a quotation says so; ``origins`` has level, turn and passages for each level of quotes that was found.
+    Rows that repeat whole are one message, ``n_rows`` of them. Null texts are empty and quote nothing.
     """
-    conv, turn = F.col(conv_col).cast("string"), F.col(turn_col).cast("long")
-    rows = messages.select(conv.alias("conv"), turn.alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("text"))
-    rows = rows.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n_rows"))
-    rows = rows.select(F.coalesce("conv", F.lit("\0null")).alias("conv"), F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), "role", F.xxhash64("conv", "turn", "role", "text").alias("key"), "n_rows", "text")
-    parsed = cut(_parsed(rows))
-    base = parsed.select("conv", "turn", "key", F.lit(0).alias("probe"))
-    previous = _before(base, ["conv"], F.struct("turn", "key"), "previous").drop("probe")
-    written = parsed.select("conv", F.explode(F.array_distinct("sentences")).alias("sentence"), F.struct("turn", "key").alias("source"))
-    asked = parsed.select("conv", "turn", "key", F.inline("quotes")).filter("level = 1").groupBy("conv", "turn", "key", "sentence").agg(F.count(F.lit(1)).alias("weight"))
-    written = written.join(asked.select("conv", "sentence").distinct(), ["conv", "sentence"], "left_semi")
-    # Messages that have a common sentence are dealt over as many parts as BLOCK asks for.
-    parts = written.groupBy("conv", "sentence").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    written = written.join(parts, ["conv", "sentence"]).select("conv", "sentence", F.pmod(F.xxhash64("source"), "parts").cast("int").alias("part"), "source")
-    asked = asked.join(parts, ["conv", "sentence"]).select("conv", "turn", "key", "sentence", "weight", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    met = asked.join(written, ["conv", "sentence", "part"]).filter(F.col("source") < F.struct("turn", "key"))
-    votes = met.groupBy("conv", "turn", "key", "source").agg(F.sum("weight").alias("votes"))
-    linked = votes.groupBy("conv", "turn", "key").agg(F.max_by("source", F.struct("votes", "source")).alias("source"))
-    at = ["conv", "turn", "key"]
-    return (
-        parsed.join(previous, at).join(linked, at, "left")
-        .select("conv", "turn", "key", "role", F.col("own").alias("text"), F.coalesce("source", "previous").alias("parent"), F.col("source").isNotNull().alias("linked"), F.size("quotes").alias("n_quotes"), "n_rows")
-    )
+    return _linked(messages_of(messages, conv_col, turn_col, role_col, text_col))
 
 
 def _jump(state: DataFrame, done: str, most_rounds: int = 64) -> DataFrame:
-    """Follow ``to`` of nodes that are not ``done`` until each is: value is that of where it ends.
+    """Follow ``to`` of nodes until each is done: value is that of where it ends.
 
-    state: conv, key, to (key or null), value, steps. A node is done when ``to`` is null.
+    state: c, key, to (key or null), value, steps. A node is done when ``to`` is null.
     """
-    settled, unsettled = [state.filter("to is null")], state.filter("to is not null")
+    names = ["c", "key", "to", "value", "steps"]
+    state = cut(state.select(*names))
+    settled, moving = [state.filter("to is null")], state.filter("to is not null")
     for _ in range(most_rounds):
-        if unsettled.isEmpty():
+        if moving.isEmpty():
             return reduce(DataFrame.unionByName, settled)
         # Only nodes that are still under way are joined, with where they are now.
-        places = reduce(DataFrame.unionByName, settled, unsettled)
-        ahead = places.select("conv", F.col("key").alias("to"), F.col("to").alias("to2"), F.col("value").alias("value2"), F.col("steps").alias("steps2"))
-        moved = cut(unsettled.join(ahead, ["conv", "to"], "left").select("conv", "key", F.col("to2").alias("to"), F.coalesce("value2", "value").alias("value"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
+        places = reduce(DataFrame.unionByName, settled, moving)
+        ahead = places.select("c", F.col("key").alias("to"), F.col("to").alias("to2"), F.col("value").alias("value2"), F.col("steps").alias("steps2"))
+        moved = cut(moving.join(ahead, ["c", "to"], "left").select("c", "key", F.col("to2").alias("to"), F.coalesce("value2", "value").alias("value"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")))
         settled.append(moved.filter("to is null"))
-        unsettled = moved.filter("to is not null")
+        if len(settled) == 5:  # so that plans stay small
+            settled = [cut(reduce(DataFrame.unionByName, settled))]
+        moving = moved.filter("to is not null")
     raise RuntimeError(f"{done}: not settled after {most_rounds} rounds")
 
 
 def reply_order(linked: DataFrame) -> DataFrame:
     """``linked`` with ``position``: the place, from 0, in the preorder walk of the conversation's reply tree."""
     linked = cut(linked)
-    nodes = linked.select("conv", "turn", "key", F.col("parent.key").alias("parent"))
-    first = nodes.filter("parent is not null").groupBy("conv", "parent").agg(F.min(F.struct("turn", "key"))["key"].alias("child"))
+    nodes = linked.select("c", "turn", "key", F.col("parent.key").alias("parent"))
+    replies = nodes.filter("parent is not null")
+    first = replies.groupBy("c", "parent").agg(F.min(F.struct("turn", "key"))["key"].alias("child"))
     # The next sibling is the one before in the reversed order.
-    back = nodes.filter("parent is not null").select("conv", "parent", (-F.col("turn")).alias("turn"), "key", F.lit(0).alias("probe"))
-    back = back.withColumn("real", F.col("key")).withColumn("key", F.bitwise_not("key"))
-    sibling = _before(back, ["conv", "parent"], F.col("real"), "sibling").select("conv", F.col("real").alias("key"), "sibling")
-    known = nodes.join(first.withColumnRenamed("parent", "key"), ["conv", "key"], "left").join(sibling, ["conv", "key"], "left")
-    known = cut(known)
+    back = replies.select("c", "parent", (-F.col("turn")).alias("turn"), F.bitwise_not("key").alias("key"), F.lit(0).alias("probe"), F.col("key").alias("real"))
+    sibling = _before(back, ["c", "parent"], F.col("real"), "sibling").select("c", F.col("real").alias("key"), "sibling")
+    known = cut(nodes.join(first.withColumnRenamed("parent", "key"), ["c", "key"], "left").join(sibling, ["c", "key"], "left"))
     # Beyond its subtree, a node goes on to its next sibling, or to where its parent goes on.
-    beyond = _jump(known.select("conv", "key", F.when(F.col("sibling").isNull(), F.col("parent")).alias("to"), F.col("sibling").alias("value"), F.lit(0).alias("steps")), "reply_order")
-    onward = known.join(beyond.select("conv", "key", "value"), ["conv", "key"]).select("conv", "key", F.coalesce("child", "value").alias("to"), F.lit(None).cast("long").alias("value"), F.lit(1).alias("steps"))
-    ranks = _jump(cut(onward), "reply_order").select("conv", "key", "steps")
-    total = ranks.groupBy("conv").agg(F.max("steps").alias("total"))
-    return linked.join(ranks, ["conv", "key"]).join(total, "conv").withColumn("position", (F.col("total") - F.col("steps")).cast("long")).drop("steps", "total")
+    beyond = _jump(known.select("c", "key", F.when(F.col("sibling").isNull(), F.col("parent")).alias("to"), F.col("sibling").alias("value"), F.lit(0).alias("steps")), "reply_order")
+    onward = known.join(beyond.select("c", "key", "value"), ["c", "key"]).select("c", "key", F.coalesce("child", "value").alias("to"), F.lit(None).cast("long").alias("value"), F.lit(1).alias("steps"))
+    ranks = cut(_jump(onward, "reply_order").select("c", "key", "steps"))
+    total = ranks.groupBy("c").agg(F.max("steps").alias("total"), F.count(F.lit(1)).alias("n"))
+    placed = join_heavy(ranks, total, ["c"], "n").select("c", "key", (F.col("total") - F.col("steps")).cast("long").alias("position"))
+    return linked.join(placed, ["c", "key"])
 
 
 def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per distinct message: conv, turn, role, text, parent_turn, linked, position, n_quotes, n_rows, chat.
+    """One row per distinct message: conv, turn, role, text, parent_turn, linked, origins, position, n_quotes, n_rows, chat.
 
     A conversation's text is ``chat`` of its messages by position. A null role is written ``unknown``.
     """
-    conv_type, turn_type = messages.schema[conv_col].dataType, messages.schema[turn_col].dataType
-    rows = reply_order(link_replies(messages, conv_col, turn_col, role_col, text_col))
-    least = -(1 << 62)
+    turn_type = messages.schema[turn_col].dataType
+    parsed = messages_of(messages, conv_col, turn_col, role_col, text_col)
+    placed = reply_order(_linked(parsed)).drop("turn")
+    # Rows that repeat are one message; they are where the join has brought them.
+    rows = parsed.join(placed, ["c", "key"]).dropDuplicates(["c", "key"])
     return rows.select(
-        F.when(F.col("conv") != "\0null", F.col("conv")).cast(conv_type).alias(conv_col), F.when(F.col("turn") != least, F.col("turn")).cast(turn_type).alias(turn_col),
-        F.col("role").alias(role_col), F.col("text").alias(text_col), F.when(F.col("parent.turn") != least, F.col("parent.turn")).cast(turn_type).alias("parent_turn"), "linked", "position", "n_quotes", "n_rows",
-        F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "text", F.lit("\n<|end|>\n")).alias("chat"),
+        F.col("conv").alias(conv_col), F.col("turn").cast(turn_type).alias(turn_col), F.col("role").alias(role_col), F.col("own").alias(text_col),
+        F.nullif(F.col("parent.turn"), F.lit(LEAST)).cast(turn_type).alias("parent_turn"), "linked", "origins", "position", F.size("quotes").alias("n_quotes"), "n_rows",
+        F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "own", F.lit("\n<|end|>\n")).alias("chat"),
     )
+
+
+def conversations(chats: DataFrame, most: int = 512, conv_col: str = "conv_id") -> DataFrame:
+    """conv, part, text: the conversations in reply order, ``most`` messages a part, so that none is gathered whole."""
+    part = F.floor(F.col("position") / most).alias("part")
+    listed = chats.groupBy(conv_col, part).agg(F.array_sort(F.collect_list(F.struct("position", "chat"))).alias("x"))
+    return listed.select(conv_col, "part", F.array_join(F.transform("x", lambda m: m["chat"]), "").alias("text"))

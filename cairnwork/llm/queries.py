@@ -61,7 +61,29 @@ def op10_pathjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pathjoin.near_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_urlfilter, op3_interleave, op4_tokenfile, op5_pieces, op6_extract, op7_exactdup, op8_quality, op9_quotelink, op10_pathjoin)}
+def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as threads with quotes: message t quotes a remark of message t / 2, and in it that of t / 4."""
+    told = table(spark, sf_dir, "conversations")
+    body = F.trim(F.regexp_replace("text", "[\\x00-\\x20]+", " "))
+    quote = lambda mark, part: F.when(F.col("turn") >= part, F.concat(F.lit(mark + " Remark "), F.expr(f"turn div {part}"), F.lit(" of this thread.\n"))).otherwise("")
+    threads = told.select("conv_id", "turn", "role", F.concat(quote(">>", 4), quote(">", 2), F.lit("Remark "), "turn", F.lit(" of this thread. "), body).alias("text"))
+    out = chat.format_chat(threads)
+    origin = lambda level: F.get(F.filter("origins", lambda o: o["level"] == level), 0)["turn"]
+    return out.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"), "parent_turn", "linked", origin(1).alias("level1"), origin(2).alias("level2"), "position", F.col("n_quotes").cast("long").alias("n_quotes"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 reads off each url before the model has its say."""
+    judged = urlfilter.filter_urls(table(spark, sf_dir, "pages"), urlfilter.labelled_urls(spark))
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's places, without what SQL has no function for."""
+    return sharding.interleave(table(spark, sf_dir, "documents"), shards=8).select("doc_id", "size", "shard", "slot")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_urlfilter, op3_interleave, op4_tokenfile, op5_pieces, op6_extract, op7_exactdup, op8_quality, op9_quotelink, op10_pathjoin, quoted_threads, url_rules, shard_slots)}
 
 ORACLE_SQL = {
     "op1_decontaminate": r"""
@@ -78,4 +100,22 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN i USING (rid)""",
     "op7_exactdup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n WINDOW w AS (PARTITION BY t)""",
+    "quoted_threads": r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, 'Remark ' || turn || ' of this thread. ' || trim(regexp_replace(text, '[\x00-\x20]+', ' ', 'g')) AS own, CASE WHEN turn > 0 THEN turn // 2 END AS parent,
+CASE WHEN turn >= 2 THEN turn // 2 END AS level1, CASE WHEN turn >= 4 THEN turn // 4 END AS level2 FROM conversations),
+w AS (SELECT conv_id, turn, [turn] AS path FROM m WHERE parent IS NULL UNION ALL SELECT m.conv_id, m.turn, list_append(w.path, m.turn) FROM m JOIN w ON m.conv_id = w.conv_id AND m.parent = w.turn)
+SELECT m.conv_id, m.turn, role, sha256(own) AS text_sha256, parent AS parent_turn, level1 IS NOT NULL AS linked, level1, level2, row_number() OVER (PARTITION BY m.conv_id ORDER BY path) - 1 AS position,
+CAST((level1 IS NOT NULL)::INT + (level2 IS NOT NULL)::INT AS BIGINT) AS n_quotes FROM m JOIN w USING (conv_id, turn)""",
+    "url_rules": r"""
+WITH s AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS h, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*((?:/[^?#]*)?)', 1) AS path FROM pages),
+p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM s),
+r(rule, rule_verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict FROM (SELECT DISTINCT page_id, host, path FROM p) JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY 1)
+SELECT page_id, host, path, rule, rule_verdict FROM p LEFT JOIN f USING (page_id)""",
+    "shard_slots": r"""
+WITH d AS (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, md5('0/' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw, coalesce('=' || source, '') AS stratum FROM documents),
+f AS (SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY draw, doc_id) - 1) / (2 * count(*) OVER (PARTITION BY stratum)) AS fraction FROM d),
+o AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, draw, doc_id) - 1 AS place, count(*) OVER () AS n FROM f),
+s AS (SELECT doc_id, size, CAST(place * 8 // n AS INTEGER) AS shard, place, n FROM o)
+SELECT doc_id, size, shard, CAST(place - (shard * n + 7) // 8 AS BIGINT) AS slot FROM s""",
 }

@@ -503,6 +503,9 @@ def test_chat(spark, monkeypatch, block):
     assert [r.turn for r in sorted(mail.values(), key=lambda r: r.position)] == [0, 1, 2, 5, 3, 4]
     assert mail[1].text == "Yes, Monday is good for me." and mail[2].text == "Then I book the room."
     other = sorted((r for r in out if r.conv_id == 8), key=lambda r: r.position)
+    assert [list(map(tuple, mail[t].origins)) for t in (1, 2, 4)] == [[(1, 0, 2)], [(1, 1, 1), (2, 0, 2)], []]
+    parts = {(r.conv_id, r.part): r.text for r in chat.conversations(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), most=4).collect()}
+    assert set(parts) == {(7, 0), (7, 1), (8, 0), (None, 0)} and parts[(7, 0)] + parts[(7, 1)] == "".join(mail[t].chat for t in (0, 1, 2, 5, 3, 4))
     assert [(r.turn, r.parent_turn, r.n_rows, r.text) for r in other] == [(0, None, 2, "Hello there friend."), (3, 0, 1, ""), (5, 3, 1, "ok")]
     assert other[0].chat == "<|unknown|>\nHello there friend.\n<|end|>\n"
     assert [r.text for r in out if r.conv_id is None] == ["x y"]
@@ -588,3 +591,28 @@ def test_queries_equal_their_sql_with_repeated_ids(spark, tmp_path):
         theirs = con.execute(queries.ORACLE_SQL[name])
         columns = [c[0] for c in theirs.description]
         assert sorted(map(repr, map(tuple, found.select(*columns).collect()))) == sorted(map(repr, theirs.fetchall())), name
+
+
+@pytest.mark.parametrize("name", ["quoted_threads", "url_rules", "shard_slots", "op1_decontaminate", "op7_exactdup"])
+def test_queries_equal_their_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from cairnwork.llm import queries
+
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    found, theirs = queries.QUERIES[name](spark, data), con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in theirs.description]
+    assert sorted(found.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, found.select(*columns).collect()))) == sorted(map(repr, theirs.fetchall()))
+
+
+def test_chat_links_quotes_of_one_word_and_of_deeper_levels_alone(spark):
+    rows = [(1, 0, "u", "Yes."), (1, 1, "u", "No."), (1, 2, "u", "Maybe so."), (1, 3, "u", ">> Yes.\nwell"), (1, 4, "u", "> No.\n>> Maybe so.\nfine"), (1, None, "u", "Before all.")]
+    out = {r.turn: r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: (r.parent_turn, r.linked) for t, r in out.items()} == {None: (None, False), 0: (None, False), 1: (0, False), 2: (1, False), 3: (0, True), 4: (1, True)}
+    assert list(map(tuple, out[4].origins)) == [(1, 1, 1), (2, 2, 1)] and out[3].text == "well"
