@@ -110,8 +110,10 @@ class Encoder:
             pieces = self.lib.encode(text.decode("utf-8", "replace"), out_type=str)
             sizes[: len(pieces)] = [len(p.encode()) if i == self.unknown else s for p, i, s in zip(pieces, ids.tolist(), sizes.tolist(), strict=False)]
         origin = self.normalise(text)[1]
-        ends = np.minimum(np.cumsum(sizes), len(origin) - 1)
-        return origin[np.maximum(ends - sizes, 0)], origin[ends]
+        ends = np.cumsum(sizes)
+        if len(ends) and ends[-1] != len(origin) - 1:
+            raise ValueError("the pieces do not cover the normalised text: this model normalises in a way that spans can't follow")
+        return origin[ends - sizes], origin[ends]
 
 
 @lru_cache(maxsize=4)

@@ -4,8 +4,8 @@ One row per document in ascending id order: doc_id, shard, local_start, n_tokens
 dictionary encoded (a chunk has few distinct ids beside its length); the other numbers are delta encoded
 (writer version 2, dictionary off). Row groups and pages are of bounded size and Parquet's page index is
 written, so readers can fetch single columns, row groups or pages. Files are range partitioned and sorted
-by id; ``start`` over the whole corpus is a shard's offset plus local_start, and the offsets are sums of
-n_tokens, one row per shard.
+by id; ``start`` over the whole corpus is a shard's offset plus local_start. The offsets, one row per shard, lie in
+``_offsets`` beside the files, so that a read of some ids reads no other counts.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from tokenizers import Tokenizer
 from .common import slices, utf8
 
 SLICE_BYTES = 1 << 20
-#: Distinct units whose ids a worker remembers in each of two generations; the older one is then dropped.
-REMEMBERED = 400_000
+#: Bytes of units and ids that a worker remembers in each of two generations (the older one is then dropped), bytes
+#: that an entry takes besides, and the longest unit that is remembered: text without spaces is one unit.
+REMEMBERED, ENTRY, LONGEST = 64 << 20, 160, 64
 #: Unicode's White_Space characters, as a character class; letters of ASCII and Latin-1; ASCII marks.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER, _MARK = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff", r"!-/:-@\[-`{-~"
@@ -74,6 +75,7 @@ class ByteTokens:
         self.model, self.characters = self.lib.model, _byte_characters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.lib.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
@@ -85,14 +87,14 @@ class ByteTokens:
                 ids = array("i", [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.characters))]).tobytes()
             else:
                 ids = self._ids(unit)
-        self.young[unit] = ids
+        if len(unit) <= LONGEST:
+            self.young[unit] = ids
+            self.held += ENTRY + 4 * len(unit) + len(ids)
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         if not self.cuts:
             return np.frombuffer(self._ids(text), np.int32)
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
         parts = self.split.split(text) if self.split else [text]
         found = []
         for i, part in enumerate(parts):
@@ -100,6 +102,8 @@ class ByteTokens:
         return np.frombuffer(b"".join(found), np.int32)
 
     def _cut(self, text: str) -> list[bytes]:
+        if self.held > REMEMBERED:
+            self.young, self.old, self.held = {}, self.young, 0
         units = _UNIT.findall(text)
         found = list(map(self.young.get, units))
         if None in found:
@@ -142,15 +146,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, f
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "parquet.dictionary.page.size": str(1 << 20),
     }
     writer.options(**options).parquet(path)
+    # One row per file: a window over them is a small one.
+    held = docs.sparkSession.read.parquet(path).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    held.select("shard", before.alias("offset")).coalesce(1).write.parquet(f"{path}/_offsets")
+
 
+def read_tokens(spark: SparkSession, path: str, low=None, high=None) -> DataFrame:
+    """doc_id, start, n_tokens, ids of the files; only the columns asked for are read.
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids of the files; only the columns asked for are read."""
+    ``low`` and ``high`` (either may be None) bound the ids: only row groups and pages that may have such are read.
+    """
     rows = spark.read.parquet(path)
-    held = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    # One row per file, and a file per write task.
-    offsets = F.broadcast(held.select("shard", before.alias("offset")))
+    rows = rows if low is None else rows.filter(F.col("doc_id") >= low)
+    rows = rows if high is None else rows.filter(F.col("doc_id") <= high)
+    # As many rows as files; Spark broadcasts them if they are small.
+    offsets = spark.read.parquet(f"{path}/_offsets")
     return rows.join(offsets, "shard").select("doc_id", (F.col("offset") + F.col("local_start")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
