@@ -51,9 +51,12 @@ WHOLE = WHOLE_TALK | {"notice", "notices", "site-notice", "banner", "promo", "si
 NAMED = {"div", "section", "ul", "ol", "dl", "table", "center", "figure", "details", "span", "fieldset", "address", "p"}
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: A tag with nothing odd in it; it gives nothing back, so a failed match costs no more than the tag's length.
+_FAST = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'=<]*+)((?:[^<>\"']|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
 _PLAIN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SEPARATOR = re.compile(r"[\x1c-\x1f]")
 _RAW_END = {tag: re.compile(rf"</{tag}[\s/>]", re.I) for tag in RAW}
 
 #: A wrapper is the page's layout if the text outside it is at most this part of that inside.
@@ -127,7 +130,11 @@ def _read(source: str, markup: bool) -> tuple[list[_Node], list[tuple[str, _Node
     open_at: dict[str, list[int]] = {}
 
     def flush() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
+        if not words:
+            return
+        text = html.unescape("".join(words))
+        # Python splits at four more characters than those of white space.
+        text = _SPACE.sub(" ", text).strip() if _SEPARATOR.search(text) else " ".join(text.split())
         words.clear()
         if text:
             stack[-1].near.hasher.update(b"\0" + text.encode("utf-8", "replace"))
@@ -148,28 +155,33 @@ def _read(source: str, markup: bool) -> tuple[list[_Node], list[tuple[str, _Node
         if found < 0:
             words.append(source[at:])
             break
-        sign = source[found + 1 : found + 2]
-        if not (sign in ("/", "!", "?") or (sign.isascii() and sign.isalpha())):
-            words.append(source[at : found + 1])
-            at = found + 1
-            continue
-        words.append(source[at:found])
-        if sign in ("!", "?"):
-            mark = "-->" if source.startswith("<!--", found) else ">"
-            stop = source.find(mark, found + (4 if mark == "-->" else 2))
-            if stop < 0:
+        if found > at:
+            words.append(source[at:found])
+        whole = _FAST.match(source, found)
+        if whole:
+            shut, tag, body = whole[1], whole[2].lower(), whole[3]
+            at = whole.end()
+        else:
+            sign = source[found + 1 : found + 2]
+            if not (sign in ("/", "!", "?") or (sign.isascii() and sign.isalpha())):
+                words.append("<")
+                at = found + 1
+                continue
+            if sign in ("!", "?"):
+                mark = "-->" if source.startswith("<!--", found) else ">"
+                stop = source.find(mark, found + (4 if mark == "-->" else 2))
+                if stop < 0:
+                    break
+                at = stop + len(mark)
+                continue
+            named = _NAME.match(source, found + (2 if sign == "/" else 1))
+            at = tags.end(named.end() if named else found + 1)
+            if at <= 0:
                 break
-            at = stop + len(mark)
-            continue
-        named = _NAME.match(source, found + (2 if sign == "/" else 1))
-        stop = tags.end(named.end() if named else found + 1)
-        if stop <= 0:
-            break
-        if named is None:
-            at = stop
-            continue
-        tag, at = named[0].lower(), stop
-        if sign == "/":
+            if named is None:
+                continue
+            shut, tag, body = sign == "/", named[0].lower(), source[named.end() : at - 1]
+        if shut:
             places = open_at.get(tag)
             if places and (places[-1] > stack[-1].bound or tag in ("article", "main", "body", "html") or places[-1] == stack[-1].bound):
                 if stack[places[-1]].block:
@@ -180,7 +192,6 @@ def _read(source: str, markup: bool) -> tuple[list[_Node], list[tuple[str, _Node
             if tag != "wbr":
                 words.append(" ")
             continue
-        body = source[named.end() : stop - 1]
         attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(body)} if body.strip() else {}
         up = stack[-1]
         inside = up.inside or up.main
