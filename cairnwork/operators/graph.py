@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairnwork-"))
-    return df.checkpoint(eager=True)
+from .tables import cut
 
 
 def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -23,15 +17,15 @@ def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
     so routes read off it are the same in every run. Each round joins only the newest nodes, until there are none.
     """
     edges = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    seen = _cut(starts.select("start").filter("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["src"].dataType).alias("via")))
+    seen = cut(starts.select("start").filter("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast(edges.schema["src"].dataType).alias("via")))
     frontier = seen
     for hop in count(1):
         step = frontier.join(edges, F.col("node") == F.col("src")).groupBy("start", "dst").agg(F.min("src").alias("via"))
         fresh = step.select("start", F.col("dst").alias("node"), F.lit(hop).alias("hops"), "via").join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = _cut(fresh.select("start", "node", "hops", "via"))
+        frontier = cut(fresh.select("start", "node", "hops", "via"))
         if frontier.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(frontier)) if hop % 8 == 0 else seen.unionByName(frontier)
+        seen = cut(seen.unionByName(frontier)) if hop % 8 == 0 else seen.unionByName(frontier)
 
 
 def routes(reached: DataFrame, goals: DataFrame, sep: str = " > ") -> DataFrame:
@@ -39,12 +33,12 @@ def routes(reached: DataFrame, goals: DataFrame, sep: str = " > ") -> DataFrame:
 
     Walks ``via`` back from all goals together, one join a hop.
     """
-    back = _cut(reached.select(F.col("start").alias("s"), F.col("node").alias("n"), F.col("hops").alias("h"), F.col("via").alias("v")))
+    back = cut(reached.select(F.col("start").alias("s"), F.col("node").alias("n"), F.col("hops").alias("h"), F.col("via").alias("v")))
     first = goals.select(F.col("from").alias("start"), "goal").join(back, (F.col("start") == F.col("s")) & (F.col("goal") == F.col("n")))
     at = first.select(F.col("s").alias("start"), F.col("n").alias("goal"), F.col("h").alias("hops"), F.array("n").alias("route"), F.col("v").alias("via"))
     done = None
     while True:
-        at = _cut(at)
+        at = cut(at)
         ended = at.filter("via is null").select("start", "goal", "hops", F.array_join("route", sep).alias("route"))
         done = ended if done is None else done.unionByName(ended)
         if at.filter("via is not null").isEmpty():
@@ -61,6 +55,6 @@ def alias_closure(pairs: DataFrame, name: str, target: str) -> DataFrame:
     # A chain is no longer than there are names; what has not ended after as many steps is in or into a cycle.
     for _ in range(known.count().bit_length()):
         ahead = state.select(F.col("name").alias("n"), F.col("to").alias("next"))
-        state = _cut(state.join(ahead, F.col("to") == F.col("n"), "left").select("name", F.coalesce("next", "to").alias("to"), "lost"))
+        state = cut(state.join(ahead, F.col("to") == F.col("n"), "left").select("name", F.coalesce("next", "to").alias("to"), "lost"))
     looped = state.select(F.col("name").alias("n")).distinct()
     return state.join(looped, F.col("to") == F.col("n"), "left").select(F.col("name"), F.when(F.col("n").isNull(), F.col("to")).alias("final"))

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_LIMIT, MOST_LIMIT = 100, 500
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the folder that ``spark.checkpoint.dir`` names, and cut its lineage.
+
+    Where the session names none and all tasks run on this machine (tests), a temporary folder is made; on a cluster
+    that is an error, as executors would not see it.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairnwork-"))
+    return df.checkpoint(eager=True)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``new`` rows replace ``old`` rows of equal keys (null keys are equal)."""
     fresh = new.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import graph, resolve, rules, verdicts
+from ..operators import graph, receivers, resolve, rules, tables, verdicts
 from . import ingest
 
 #: Words of a question that tell what is asked, tried in this order.
@@ -16,10 +16,26 @@ INTENTS = [("callers", ["who calls", "caller", "called by"]), ("callees", ["what
 
 
 def edges(facts: DataFrame) -> DataFrame:
-    """caller, callee, resolved, candidates, status, build_status of every call, resolved against all symbols."""
-    symbols = facts.filter("fact_type = 'symbol' and build_status <> 'inactive'").groupBy(F.col("subject").alias("qualified_name"), F.col("detail").cast("int").alias("argc")).agg(F.max(F.col("predicate") == "definition").alias("is_definition"))
-    calls = facts.filter("fact_type = 'call'").select(F.sha1(F.concat_ws("\0", "path", "line", "subject", "object")).alias("call_id"), F.col("detail").alias("caller_ns"), F.col("object").alias("callee"), F.lit(None).cast("int").alias("argc"), F.col("subject").alias("caller"), "path", "line", "build_status").dropDuplicates(["call_id"])
-    return resolve.call_resolution(calls, symbols).select("caller", "callee", "resolved", "candidates", "status", "build_status", "path", "line")
+    """caller, callee, resolved, candidates, status, build_status, path, line of every call, against all symbols.
+
+    A call on a receiver of a known type is that type's method; if classes below the type have it too, it may be any of them.
+    """
+    facts = tables.cut(facts)  # read in many places below
+    symbols = facts.filter("fact_type = 'symbol' and build_status <> 'inactive'").groupBy(F.col("subject").alias("qualified_name"), "argc").agg(F.max(F.col("predicate") == "definition").alias("is_definition"))
+    calls = facts.filter("fact_type = 'call'").select(F.col("detail").alias("caller_ns"), F.col("object").alias("callee"), "argc", F.col("subject").alias("caller"), "path", "line", "build_status", "receiver").distinct()
+    typed = receivers.receiver_types(facts).filter("type is not null").select(F.col("path").alias("p"), F.col("line").alias("n"), F.col("subject").alias("s"), F.col("receiver").alias("r"), F.col("object").alias("o"), F.col("argc").alias("a"), "type")
+    same = (F.col("path") == F.col("p")) & (F.col("line") == F.col("n")) & (F.col("caller") == F.col("s")) & (F.col("receiver") == F.col("r")) & (F.col("callee") == F.col("o")) & F.col("argc").eqNullSafe(F.col("a"))
+    asked = calls.join(typed, same, "left").drop("p", "n", "s", "r", "o", "a").withColumnRenamed("callee", "name")
+    asked = asked.withColumn("callee", F.concat_ws("::", "type", "name")).withColumn("call_id", F.sha1(F.concat_ws("\0", "path", "line", "caller", "receiver", "callee", "argc")))
+    out = resolve.call_resolution(asked, symbols)
+    virtual = receivers.overriders(facts).groupBy("base", "method").agg(F.array_sort(F.collect_set("candidate")).alias("also"))
+    out = out.join(virtual, (F.col("type") == F.col("base")) & (F.col("name") == F.col("method")), "left")
+    every = F.array_join(F.array_sort(F.array_distinct(F.concat(F.coalesce(F.split("candidates", ","), F.array().cast("array<string>")), "also"))), ",")
+    open_ = F.col("also").isNotNull()
+    return out.select(
+        "caller", F.col("name").alias("callee"), F.when(~open_, F.col("resolved")).alias("resolved"), F.when(open_, every).otherwise(F.col("candidates")).alias("candidates"),
+        F.when(open_, "candidate_set").otherwise(F.col("status")).alias("status"), "build_status", "path", "line",
+    )
 
 
 def _by_name(claims: DataFrame, column: str, facts: DataFrame, name: str) -> DataFrame:
@@ -42,8 +58,9 @@ def verify(claims: DataFrame, facts: DataFrame) -> DataFrame:
     subject's includes are known and do not name the object. definition_exists and build_active: contradicted
     if the only evidence is inactive.
     """
+    facts = tables.cut(facts)
     settled = (F.col("status") == "resolved") & (F.col("build_status") == "active")
-    call = edges(facts)
+    call = tables.cut(edges(facts))
     live = call.filter("build_status <> 'inactive'")
     asked = claims.filter("claim_type = 'calls'")
     out = _by_name(asked, "subject", live, "caller")

@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import guards
+from ..functions import statements as stmt
 from ..operators import tables
 
-#: Words before ``(`` that are no calls.
-CONTROL = ["if", "for", "while", "switch", "return", "sizeof", "catch", "defined", "alignof", "decltype", "static_assert", "else", "do", "new", "delete", "throw"]
-_NOISE = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
-_HEAD = r"^\s*(?!#)(?:[A-Za-z_][\w:]*(?:<[^;{}()]*>)?[\s*&]+)+~?([A-Za-z_~][\w:~]*)\s*\(([^;{}]*)\)\s*(?:const|noexcept|override|final|\s)*(\{|;|$)"
-_CALL = r"(?<![\w.:>])([A-Za-z_][\w:]*)\s*\("
+#: Comments, raw strings, strings and characters.
+_NOISE = re.compile(r"//[^\n]*|R\"([^\s()\\]{0,16})\(.*?(?:\)\1\"|\Z)|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+_DIRECTIVES = re.compile(r"^[ \t]*#[^\n]*(?:\\\n[^\n]*)*", re.M)
 _DIRECTIVE = r"^\s*#\s*(ifdef|ifndef|if|elif|else|endif)\b\s*(.*?)\s*$"
 
 
@@ -26,11 +25,16 @@ def blank(text: str) -> str:
     return _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
+def code_only(text: str) -> str:
+    """``blank`` text without directives and the lines that continue them."""
+    return _DIRECTIVES.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), blank(text))
+
+
 @lru_cache(maxsize=1)
-def _blank():
+def _code_only():
     @F.pandas_udf(T.StringType())
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: blank(t) if t else "")
+        return text.map(lambda t: code_only(t) if t else "")
 
     return run
 
@@ -70,48 +74,95 @@ def line_status(lines: DataFrame, found: DataFrame) -> DataFrame:
     return lines.join(worst, ["path", "line_no"], "left").select("path", "line_no", "line", status.alias("build_status"))
 
 
-def _code(files: DataFrame) -> DataFrame:
-    return tables.lines(files.select("path", _blank()(F.col("text")).alias("text")), "path", "text")
+#: Namespaces and classes within one another that are told apart; deeper ones count as blocks of code.
+NESTED = 12
 
 
-def facts(files: DataFrame, macros: Column | None) -> DataFrame:
-    """fact_type, path, line, subject, predicate, object, build_status of files (path, text) under a map of macros (None: column macros of each file).
+def statements(files: DataFrame) -> DataFrame:
+    """path, seq, text, base (line where the text begins), line (of its first word), before and after (brace depth).
+
+    A statement ends after ``{``, ``}`` or ``;``, wherever lines do; comments, literals and directives are blank.
+    """
+    code = files.select("path", _code_only()(F.col("text")).alias("text"))
+    cut = code.select("path", F.posexplode(F.split("text", r"(?<=[{};])")).alias("seq", "text"))
+    order = Window.partitionBy("path").orderBy("seq")
+    delta = F.when(F.endswith("text", F.lit("{")), 1).when(F.endswith("text", F.lit("}")), -1).otherwise(0)
+    lines = F.regexp_count("text", F.lit("\n"))
+    rows = cut.withColumn("after", F.sum(delta).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("after") - delta)
+    rows = rows.withColumn("base", F.sum(lines).over(order.rowsBetween(Window.unboundedPreceding, 0)) - lines + 1)
+    return rows.withColumn("line", F.col("base") + F.regexp_count(F.regexp_extract("text", r"^\s*", 0), F.lit("\n")))
+
 
-    include: path includes target. symbol: qualified name, definition or declaration, argument count.
-    call: caller calls callee, argument text is not kept. build_guard: branch lines and their status.
+def scoped(rows: DataFrame) -> DataFrame:
+    """``statements`` with ``scopes`` (names of the open namespaces and classes, outermost first) and ``code``.
+
+    At each depth the last statement that opened a scope there holds until one goes back to that depth. ``code``:
+    some brace around the statement is no scope's, so it lies in a function or an initialiser.
+    """
+    order = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.regexp_extract("text", r"(?s)^\s*(?:(?:public|private|protected)\s*:\s*)*(?:template\s*<[^{}]*>\s*)?(?:typedef\s+)?(?:inline\s+)?(?:extern|(?:namespace|class|struct|union)\b(?:\s+[A-Z_]+(?=\s+\w))?)\s*([\w:]*)[^(){};=]*\{$", 1), F.lit(""))
+    is_scope = F.col("text").rlike(r"(?s)^\s*(?:(?:public|private|protected)\s*:\s*)*(?:template\s*<[^{}]*>\s*)?(?:typedef\s+)?(?:inline\s+)?(?:extern|namespace|class|struct|union)\b[^(){};=]*\{$")
+    marked = rows.withColumn("opens", F.when(is_scope, opens))
+    open_at = [F.last(F.when(F.col("opens").isNotNull() & (F.col("before") == d), F.col("opens")).when(F.col("after") <= d, F.lit("\0")), ignorenulls=True).over(order) for d in range(NESTED)]
+    held = F.slice(F.array(*(F.coalesce(o, F.lit("\0")) for o in open_at)), F.lit(1), F.greatest(F.col("before"), F.lit(0)))
+    out = marked.withColumn("held", held)
+    return out.withColumn("code", (F.col("before") > NESTED) | F.exists("held", lambda x: x == "\0")).withColumn("scopes", F.filter("held", lambda x: (x != "") & (x != "\0"))).drop("held", "opens")
+
+
+def facts(files: DataFrame, macros: Column | None) -> DataFrame:
+    """Facts of files (path, text) under a map of macros (None: column macros of each file).
+
+    Columns fact_type, path, line, subject, predicate, object, build_status, detail, kind, receiver, argc, type:
+    include: path includes target. symbol: a function, its definition or declaration, its return type.
+    call: caller calls callee (detail: the caller's scope; kind and receiver as ``statements.calls_of`` has them).
+    type: a class defines its kind; inherits: a class and each base. field: a class and a member of a type. alias: a name
+    and what it stands for. binding: a function and a parameter or local variable of a type.
+    build_guard: branch lines and their status.
     """
     raw = tables.lines(files, "path", "text")
-    guard = branches(raw if macros is not None else raw.join(files.select("path", "macros"), "path"), macros)
-    code = line_status(_code(files), guard)
-    plain = code.filter(~F.col("line").rlike(r"^\s*#"))
-    include = line_status(raw, guard).withColumn("target", F.regexp_extract("line", r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]", 1)).filter("target <> ''")
-    order = Window.partitionBy("path").orderBy("line_no")
-    opened, shut = F.regexp_count("line", F.lit(r"\{")), F.regexp_count("line", F.lit(r"\}"))
-    space = F.regexp_extract("line", r"^\s*(?:namespace|class|struct)\s+([A-Za-z_]\w*)[^;]*(?:\{|$)", 1)
-    deep = plain.withColumn("after", F.sum(opened - shut).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("after") - opened + shut).withColumn("space", F.nullif(space, F.lit("")))
-    # Names of the scopes that are open: those of the last scope line at each depth are kept by depth.
-    scope = F.last(F.when(F.col("space").isNotNull(), F.struct("space", F.col("before").alias("at"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    deep = deep.withColumn("scope", scope).withColumn("ns", F.when(F.col("scope.at") < F.col("before"), F.col("scope.space")))
-    level = F.when(F.col("ns").isNotNull(), F.col("scope.at") + 1).otherwise(0)
-    name, args, tail = (F.regexp_extract("line", _HEAD, i) for i in (1, 2, 3))
-    brace_next = F.lead("line").over(order).rlike(r"^\s*\{")
-    heads = deep.withColumn("name", name).withColumn("is_head", (F.col("name") != "") & ~F.col("name").isin(CONTROL) & (F.col("before") == level) & ~F.col("line").rlike(r"^\s*(return|else|typedef|using)\b"))
-    kind = F.when(~F.col("is_head"), None).when(tail == "{", "definition").when((tail == "") & brace_next, "definition").when(tail == ";", "declaration")
-    argc = F.when(F.trim(args).isin("", "void"), 0).otherwise(F.size(F.split(args, ",")))
-    qualified = F.concat_ws("::", "ns", "name")
-    heads = heads.withColumn("kind", kind).withColumn("qualified", F.when(F.col("kind").isNotNull(), qualified)).withColumn("argc", argc)
-    # The function around a line is the last definition before it, while the depth is above that one's.
-    inside = F.last(F.when(F.col("kind") == "definition", F.struct("qualified", F.col("before").alias("at"), F.col("line_no").alias("start"), "ns")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    body = heads.withColumn("fn", inside).filter((F.col("before") > F.col("fn.at")) | (F.col("line_no") == F.col("fn.start")))
-    text = F.when(F.col("line_no") == F.col("fn.start"), F.regexp_extract("line", r"\{(.*)$", 1)).otherwise(F.col("line"))
-    called = body.select("path", "line_no", "build_status", "fn", F.explode(F.regexp_extract_all(text, F.lit(_CALL), F.lit(1))).alias("callee")).filter(~F.col("callee").isin(CONTROL))
-    row = lambda kind, subject, predicate, obj, extra: [F.lit(kind).alias("fact_type"), "path", F.col("line_no").cast("long").alias("line"), subject.alias("subject"), predicate.alias("predicate"), obj.alias("object"), "build_status", extra.alias("detail")]
-    none = F.lit(None).cast("string")
-    symbols = heads.filter("kind is not null").select(*row("symbol", F.col("qualified"), F.col("kind"), F.lit("function"), F.col("argc").cast("string")))
-    calls = called.select(*row("call", F.col("fn.qualified"), F.lit("calls"), F.col("callee"), F.col("fn.ns")))
-    includes = include.select(*row("include", F.col("path"), F.lit("includes"), F.col("target"), none))
-    guard_rows = guard.withColumn("line_no", F.col("line")).withColumn("build_status", F.col("status")).select(*row("build_guard", F.concat_ws(" ", "directive", "expression"), F.lit("guards"), F.concat_ws("-", "first", "last"), F.col("reason")))
-    return symbols.unionByName(calls).unionByName(includes).unionByName(guard_rows)
+    # Read three times below.
+    guard = tables.cut(branches(raw if macros is not None else raw.join(files.select("path", "macros"), "path"), macros))
+    status = line_status(raw, guard)
+    include = status.withColumn("target", F.regexp_extract("line", r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]", 1)).filter("target <> ''")
+    state = status.select(F.col("path").alias("p"), F.col("line_no").alias("n"), "build_status")
+
+    rows = scoped(statements(files)).withColumn("ns", F.array_join("scopes", "::")).withColumn("owner", F.get("scopes", F.size("scopes") - 1))
+    found = F.when(~F.col("code") | F.col("text").rlike(r"^[\s\w:<>,*&]+[\s*&>]\w+\s*(\[[^\]]*\]\s*)*(=|;$)"), stmt.declared(F.col("text"), F.col("owner")))
+    rows = rows.withColumn("head", found).withColumn("what", F.when(F.col("code") & (F.col("head.what") != "variable"), None).otherwise(F.col("head.what")))
+    qualified = F.concat_ws("::", F.nullif("ns", F.lit("")), F.col("head.name"))
+    rows = rows.withColumn("qualified", qualified)
+    order = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    # The function around a statement is the last definition before it, while the depth is above that one's.
+    around = F.last(F.when((F.col("what") == "function") & (F.col("head.kind") == "definition"), F.struct("qualified", F.col("before").alias("at"), "ns")), ignorenulls=True).over(order)
+    rows = rows.withColumn("fn", around).withColumn("fn", F.when(F.col("fn.at") < F.col("before"), F.col("fn")))
+
+    head, c = F.col("head"), {"fact_type": "string", "line": "bigint", "subject": "string", "predicate": "string", "object": "string", "detail": "string", "kind": "string", "receiver": "string", "argc": "int", "type": "string"}
+
+    def fact(of_kind: str, subject: Column, predicate: str | Column, obj: Column, **more: Column) -> Column:
+        known = {"fact_type": F.lit(of_kind), "line": F.col("line"), "subject": subject, "predicate": F.lit(predicate) if isinstance(predicate, str) else predicate, "object": obj, **more}
+        return F.struct(*(known.get(name, F.lit(None)).cast(of).alias(name) for name, of in c.items()))
+
+    def only(condition: Column, found: Column) -> Column:
+        return F.when(condition, found).otherwise(F.array())
+
+    # All that a statement says, in one row; then a row for each.
+    arity = F.size(head["params"])
+    said = [
+        only(F.col("what") == "function", F.array(fact("symbol", F.col("qualified"), head["kind"], F.lit("function"), detail=arity, kind=head["kind"], argc=arity, type=head["type"]))),
+        only((F.col("what") == "function") & (head["kind"] == "definition"), F.transform(F.filter(head["params"], lambda x: x["name"].isNotNull()), lambda x: fact("binding", F.col("qualified"), "declares", x["name"], type=x["type"]))),
+        only(F.col("what") == "type", F.array(fact("type", F.col("qualified"), "defines", head["kind"]))),
+        only((F.col("what") == "type") & head["type"].isNotNull(), F.transform(F.split(head["type"], ","), lambda x: fact("inherits", F.col("qualified"), "inherits", x))),
+        only(F.col("what") == "alias", F.array(fact("alias", F.col("qualified"), "aliases", head["type"]))),
+        only((F.col("what") == "variable") & ~F.col("code") & (F.col("ns") != ""), F.array(fact("field", F.col("ns"), "has_field", head["name"], type=head["type"]))),
+        only((F.col("what") == "variable") & F.col("code") & F.col("fn").isNotNull(), F.array(fact("binding", F.col("fn.qualified"), "declares", head["name"], type=head["type"]))),
+        only(F.col("fn").isNotNull(), F.transform(stmt.calls(F.col("text")), lambda x: fact("call", F.col("fn.qualified"), "calls", x["name"], line=F.col("base") + x["skip"], detail=F.nullif(F.col("fn.ns"), F.lit("")), kind=x["kind"], receiver=x["receiver"], argc=x["argc"]))),
+    ]
+    told = rows.select("path", F.explode(F.flatten(F.array(*said))).alias("f")).select("path", "f.*")
+    told = told.join(state, (F.col("path") == F.col("p")) & (F.col("line") == F.col("n")), "left").drop("p", "n").withColumn("build_status", F.coalesce("build_status", F.lit("active")))
+    blank_ = [F.lit(None).cast(of).alias(name) for name, of in list(c.items())[6:]]
+    includes = include.select(F.lit("include").alias("fact_type"), "path", F.col("line_no").cast("long").alias("line"), F.col("path").alias("subject"), F.lit("includes").alias("predicate"), F.col("target").alias("object"), "build_status", F.lit(None).cast("string").alias("detail"), *blank_)
+    guards_ = guard.select(F.lit("build_guard").alias("fact_type"), "path", F.col("line").cast("long").alias("line"), F.concat_ws(" ", "directive", "expression").alias("subject"), F.lit("guards").alias("predicate"), F.concat_ws("-", "first", "last").alias("object"), F.col("status").alias("build_status"), F.col("reason").alias("detail"), *blank_)
+    return told.select(*guards_.columns).unionByName(includes).unionByName(guards_)
 
 
 def macro_map(values: dict[str, str]) -> Column:
