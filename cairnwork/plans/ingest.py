@@ -46,7 +46,7 @@ def branches(lines: DataFrame, macros: Column | None) -> DataFrame:
     conditional, later ones are so at most. Groups without ``#endif`` run to the end of the file. ``macros``
     None: each line brings its own, in column macros.
     """
-    parts = F.regexp_extract("line", _DIRECTIVE, 1).alias("directive"), F.regexp_extract("line", _DIRECTIVE, 2).alias("expression")
+    parts = F.regexp_extract("line", _DIRECTIVE, 1).alias("directive"), F.trim(F.regexp_replace(F.regexp_extract("line", _DIRECTIVE, 2), r"//.*$|/\*.*?(\*/|$)", " ")).alias("expression")
     at = Window.partitionBy("path").orderBy("line_no")
     macros = F.col("macros") if macros is None else macros
     rows = lines.select("path", "line_no", macros.alias("macros"), *parts, F.max("line_no").over(Window.partitionBy("path")).alias("end")).filter("directive <> ''")
@@ -90,7 +90,7 @@ def statements(files: DataFrame) -> DataFrame:
     lines = F.regexp_count("text", F.lit("\n"))
     rows = cut.withColumn("after", F.sum(delta).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("after") - delta)
     rows = rows.withColumn("base", F.sum(lines).over(order.rowsBetween(Window.unboundedPreceding, 0)) - lines + 1)
-    return rows.withColumn("line", F.col("base") + F.regexp_count(F.regexp_extract("text", r"^\s*", 0), F.lit("\n")))
+    return rows.withColumn("line", F.col("base") + F.regexp_count(F.regexp_extract("text", r"^\s*(?:(?:public|private|protected)\s*:\s*)*", 0), F.lit("\n")))
 
 
 def scoped(rows: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def scoped(rows: DataFrame) -> DataFrame:
     open_at = [F.last(F.when(F.col("opens").isNotNull() & (F.col("before") == d), F.col("opens")).when(F.col("after") <= d, F.lit("\0")), ignorenulls=True).over(order) for d in range(NESTED)]
     held = F.slice(F.array(*(F.coalesce(o, F.lit("\0")) for o in open_at)), F.lit(1), F.greatest(F.col("before"), F.lit(0)))
     out = marked.withColumn("held", held)
-    return out.withColumn("code", (F.col("before") > NESTED) | F.exists("held", lambda x: x == "\0")).withColumn("scopes", F.filter("held", lambda x: (x != "") & (x != "\0"))).drop("held", "opens")
+    return out.withColumn("code", (F.col("before") > NESTED) | F.exists("held", lambda x: x == "\0")).withColumn("scopes", F.filter("held", lambda x: (x != "") & (x != "\0"))).withColumn("is_scope", F.col("opens").isNotNull()).drop("held", "opens")
 
 
 def facts(files: DataFrame, macros: Column | None) -> DataFrame:
@@ -132,9 +132,11 @@ def facts(files: DataFrame, macros: Column | None) -> DataFrame:
     qualified = F.concat_ws("::", F.nullif("ns", F.lit("")), F.col("head.name"))
     rows = rows.withColumn("qualified", qualified)
     order = Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    # The function around a statement is the last definition before it, while the depth is above that one's.
-    around = F.last(F.when((F.col("what") == "function") & (F.col("head.kind") == "definition"), F.struct("qualified", F.col("before").alias("at"), "ns")), ignorenulls=True).over(order)
-    rows = rows.withColumn("fn", around).withColumn("fn", F.when(F.col("fn.at") < F.col("before"), F.col("fn")))
+    # The function around a statement is what opened the last block of code, if that was a function.
+    defined = (F.col("what") == "function") & (F.col("head.kind") == "definition")
+    block = F.struct(F.when(F.coalesce(defined, F.lit(False)), F.col("qualified")).alias("qualified"), "ns")
+    around = F.last(F.when(~F.col("code") & ~F.col("is_scope") & F.endswith("text", F.lit("{")), block), ignorenulls=True).over(order)
+    rows = rows.withColumn("fn", around).withColumn("fn", F.when(F.col("code") & F.col("fn.qualified").isNotNull(), F.col("fn")))
 
     head, c = F.col("head"), {"fact_type": "string", "line": "bigint", "subject": "string", "predicate": "string", "object": "string", "detail": "string", "kind": "string", "receiver": "string", "argc": "int", "type": "string"}
 
