@@ -163,14 +163,13 @@ def judge(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_co
     salted = prefixes.select(F.col("shingle").alias("prefix"), "item_id", "size", "words", "lies", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     mine = (F.col("shingle") == F.col("prefix")) & (F.pmod(F.xxhash64("doc", "body", "at"), F.lit(SALTS)) == F.col("part"))
     row = ["doc", "body", "bytes"]
-    hits = (
-        out.filter("at is not null").join(salted, mine & fits & F.expr("lead >= lies") & same)
-        .select(*row, "item_id", begins.alias("begin"), (begins + F.col("size")).alias("end"))
-        .groupBy(*row, "item_id", "begin", "end").agg(F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("copies"))
+    # One pass over the texts gives both: rows of documents, which meet nothing, and the places that hold a window.
+    joined = (
+        out.join(salted, mine & fits & F.expr("lead >= lies") & same, "left")
+        .filter("at is null or words is not null")
+        .groupBy(*row, "item_id", F.when(F.col("at").isNotNull(), begins).alias("begin"), F.when(F.col("at").isNotNull(), begins + F.col("size")).alias("end"))
+        .agg(F.max("n_words").alias("n_words"), F.count_if(F.col("at").isNull()).alias("copies"))
     )
-    none = F.lit(None)
-    own = out.filter("at is null").groupBy(*row, "n_words").agg(F.count(F.lit(1)).alias("copies")).select(*row, none.cast("string").alias("item_id"), none.cast("long").alias("begin"), none.cast("long").alias("end"), "n_words", "copies")
-    joined = own.unionByName(hits)
     # Words in any window: of each window, what lies beyond the farthest end so far. The windows of one
     # document are as many as its words and items allow; rows of equal id and text are one until the end.
     so_far = F.max("end").over(Window.partitionBy(*row).orderBy("begin", "end", "item_id").rowsBetween(Window.unboundedPreceding, -1))
@@ -193,5 +192,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **h
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, all columns. Rows are matched by id and text."""
     body, size = _body(F.col(text_col))
-    hit = judge(docs, items, id_col=id_col, text_col=text_col, **how).filter("contaminated").select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), F.col("bytes").alias("__bytes"))
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__doc")) & (body == F.col("__body")) & (size == F.col("__bytes")), "left_anti")
+    hit = judge(docs, items, id_col=id_col, text_col=text_col, **how).filter("contaminated").select(F.col("doc").alias("__doc"), F.col("body").alias("__b"), F.col("bytes").alias("__s"))
+    # As columns, so that each text is hashed once.
+    keyed = docs.withColumns({"__body": body, "__bytes": size})
+    return keyed.join(hit, keyed[id_col].eqNullSafe(F.col("__doc")) & (F.col("__body") == F.col("__b")) & (F.col("__bytes") == F.col("__s")), "left_anti").drop("__body", "__bytes")

@@ -70,14 +70,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = normalised(F.col(text_col))
     groups = copy_groups(docs, id_col, text_col)
+    # As a column, so that each text is hashed once.
+    keyed = docs.withColumn("__key", F.md5(text))
     # Rows of the id that stays, by text: more than one if rows repeat.
-    first = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("content_hash")).groupBy("id", "content_hash").agg(F.count(F.lit(1)).alias("__n"))
+    first = keyed.select(F.col(id_col).alias("id"), F.col("__key").alias("content_hash")).groupBy("id", "content_hash").agg(F.count(F.lit(1)).alias("__n"))
     kept = cut(groups.filter("text is null").join(first, (groups["content_hash"] == first["content_hash"]) & groups["keep_id"].eqNullSafe(first["id"])).select(first["content_hash"].alias("__hash"), F.col("keep_id").alias("__id"), "__n"))
-    same = (F.md5(text) == F.col("__hash")) & docs[id_col].eqNullSafe(F.col("__id"))
-    out = docs.join(kept.filter("__n = 1").select("__hash", "__id"), same, "left_semi")
+    same = (F.col("__key") == F.col("__hash")) & keyed[id_col].eqNullSafe(F.col("__id"))
+    out = keyed.join(kept.filter("__n = 1").select("__hash", "__id"), same, "left_semi").drop("__key")
     if not kept.filter("__n > 1").isEmpty():
-        repeated = docs.join(kept.filter("__n > 1").select("__hash", "__id"), same, "left_semi")
-        out = out.unionByName(repeated.withColumn("__hash", F.md5(text)).dropDuplicates([id_col, "__hash"]).drop("__hash"))
+        repeated = keyed.join(kept.filter("__n > 1").select("__hash", "__id"), same, "left_semi")
+        out = out.unionByName(repeated.dropDuplicates([id_col, "__key"]).drop("__key"))
     collided = groups.filter("text is not null")
     if not collided.isEmpty():
         apart = collided.select(F.col("text").alias("__text"), F.col("keep_id").alias("__id"))

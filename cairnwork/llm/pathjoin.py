@@ -265,8 +265,10 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float
     # How many rows have that id and text: mostly one.
     counted = first.groupBy("id", "body").agg(F.count(F.lit(1)).alias("n")).join(one.withColumnsRenamed({"id": "i", "body": "b"}), F.col("id").eqNullSafe(F.col("i")) & (F.col("body") == F.col("b"))).drop("i", "b")
     kept = cut(counted.unionByName(bare.distinct())).withColumnsRenamed({"id": "__id", "body": "__body", "n": "__n"})
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__body"))
+    # As a column, so that each text is hashed once.
+    docs = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__body"))
     out = docs.join(kept.filter("__n = 1").drop("__n"), same, "left_semi")
     if not kept.filter("__n > 1").isEmpty():
-        out = out.unionByName(docs.join(kept.filter("__n > 1").drop("__n"), same, "left_semi").dropDuplicates([id_col, text_col]))
-    return out
+        out = out.unionByName(docs.join(kept.filter("__n > 1").drop("__n"), same, "left_semi").dropDuplicates([id_col, "__key"]))
+    return out.drop("__key")
