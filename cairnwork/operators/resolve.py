@@ -38,6 +38,12 @@ def bind_to_definition(symbols: DataFrame, keys: list[str], path: str, order: st
     return symbols.join(last, same).filter(F.col("__d.p") != F.col(path)).select(*symbols.columns, F.col("__d.p").alias("definition"))
 
 
+def strong_for(symbols: DataFrame, name: str, weak: str, site: str) -> DataFrame:
+    """Weak defaults (``weak`` true) with the first strong definition of their name at another site, in ``strong``."""
+    firm = symbols.filter(~F.col(weak)).groupBy(F.col(name).alias("__name")).agg(F.min(site).alias("strong"))
+    return symbols.filter(F.col(weak)).join(firm, F.col(name) == F.col("__name")).filter(F.col(site) != F.col("strong")).drop("__name")
+
+
 def unique_aliases(aliases: DataFrame, name: str, target: str) -> DataFrame:
     """Aliases that stand for one target only."""
     return aliases.groupBy(name).agg(F.min(target).alias(target), F.max(target).alias("__x")).filter(F.col(target) == F.col("__x")).drop("__x")

@@ -48,6 +48,11 @@ def unchanged(facts: DataFrame, states: DataFrame, key: str) -> DataFrame:
     return facts.join(states.filter("state = 'clean'").select(key), key, "left_semi")
 
 
+def active(rows: DataFrame, status: str, inactive: str = "inactive") -> DataFrame:
+    """Rows whose status is not inactive; without a status, they are active."""
+    return rows.filter(F.coalesce(status, F.lit("active")) != inactive)
+
+
 def page_bounds(limit: int | None = None, offset: int = 0) -> tuple[int, int]:
     """Validated limit (default 100, 500 at most) and offset."""
     limit = DEFAULT_LIMIT if limit is None else limit

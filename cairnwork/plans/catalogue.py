@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import guards, names
-from ..operators import graph, intervals, resolve, rules, search, tables, verdicts
+from ..operators import dataflow, graph, intervals, resolve, rules, search, tables, verdicts
+from . import evidence
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,7 +40,7 @@ def _values(spark: SparkSession, text: str, columns: str) -> DataFrame:
 @query("SELECT event_id, event_type, json_extract_string(props, '$.k') AS k FROM events WHERE coalesce(json_extract_string(props, '$.k'), 'active') <> '13'")
 def active_facts(spark, sf_dir):
     k = F.get_json_object("props", "$.k")
-    return load(spark, sf_dir, "events").select("event_id", "event_type", k.alias("k")).filter(F.coalesce("k", F.lit("active")) != "13")
+    return tables.active(load(spark, sf_dir, "events").select("event_id", "event_type", k.alias("k")), "k", inactive="13")
 
 
 _HOSTS = "('example.com'), ('example.net'), ('tionsh.example.net'), ('org'), ('ample.org')"
@@ -88,16 +89,28 @@ def find_callers(spark, sf_dir):
     return _edges(spark, sf_dir).filter(names.matches_name(F.col("callee"), F.lit("1-URGENT"))).groupBy("caller").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT callee, count(*) AS n, count(DISTINCT caller) AS callers FROM {_EDGES} WHERE starts_with(caller, 'shop::') GROUP BY callee")
+_ASKED = "(SELECT o_orderkey, 'shop::c' || o_custkey AS caller, c_mktsegment || '::p' || o_orderpriority[1] AS callee FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F')"
+
+
+def _call_facts(spark, sf_dir) -> DataFrame:
+    """Orders as call facts: customers call priorities of their segment; finished ones are inactive."""
+    joined = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return joined.select(
+        F.lit("call").alias("fact_type"), "o_orderkey", F.concat(F.lit("shop::c"), "o_custkey").alias("subject"), F.lit("calls").alias("predicate"),
+        F.concat("c_mktsegment", F.lit("::p"), F.substring("o_orderpriority", 1, 1)).alias("object"), F.when(F.col("o_orderstatus") == "F", "inactive").otherwise("active").alias("build_status"),
+    )
+
+
+@query(f"SELECT o_orderkey, callee FROM {_ASKED} WHERE caller IN ('shop::c7', 'shop::c8')")
 def find_callees(spark, sf_dir):
-    return _edges(spark, sf_dir).filter(F.startswith("caller", F.lit("shop::"))).groupBy("callee").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("caller").alias("callers"))
+    """What two callers call, one of them named by its short name."""
+    return evidence.collect(_call_facts(spark, sf_dir), "What does `shop::c7` call, and `c8`?").select("o_orderkey", F.col("object").alias("callee"))
 
 
-@query("SELECT o_orderkey, CAST(c_name AS VARCHAR) AS c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND (c_name = 'Customer#000000007' OR ends_with(c_name, '0007'))")
+@query(f"SELECT o_orderkey, caller, callee FROM {_ASKED} WHERE callee = 'BUILDING::p1' OR caller = 'shop::c11'")
 def find_references(spark, sf_dir):
-    orders, customers = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
-    wanted = customers.filter((F.col("c_name") == "Customer#000000007") | F.endswith("c_name", F.lit("0007")))
-    return orders.filter("o_orderstatus = 'F'").join(wanted, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    """Active facts that name a symbol on either side."""
+    return evidence.collect(_call_facts(spark, sf_dir), "Tell me about `BUILDING::p1` and `shop::c11`").select("o_orderkey", F.col("subject").alias("caller"), F.col("object").alias("callee"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE starts_with(p_name, 'a') OR starts_with(p_name, 'part a') OR starts_with(p_name, 'b')")
@@ -314,8 +327,7 @@ SELECT x.source, x.doc_id AS weak, s.strong FROM x JOIN s ON x.source = s.source
 def weak_strong_override(spark, sf_dir):
     """Weak defaults with the implementation that overrides them."""
     rows = load(spark, sf_dir, "labels").select("doc_id", "quality").join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    strong = rows.filter("quality = 1").groupBy("source").agg(F.min("doc_id").alias("strong"))
-    return rows.filter("quality = 0").join(strong, "source").filter("doc_id <> strong").select("source", F.col("doc_id").alias("weak"), "strong")
+    return resolve.strong_for(rows.withColumn("weak", F.col("quality") == 0), "source", "weak", "doc_id").select("source", F.col("doc_id").alias("weak"), "strong")
 
 
 @query("""
@@ -328,9 +340,10 @@ def overload_narrowing(spark, sf_dir):
     return resolve.resolution(resolve.narrow(rows, ["p_brand"], [F.col("p_size") >= 25, F.col("p_retailprice") > 1500]), ["p_brand"], "p_type")
 
 
-@query("SELECT p_name, min(p_type) AS p_type FROM part GROUP BY p_name HAVING count(DISTINCT p_type) = 1")
+@query("SELECT p_brand || '/' || p_size AS name, min(p_type) AS p_type FROM part GROUP BY 1 HAVING count(DISTINCT p_type) = 1")
 def unique_alias(spark, sf_dir):
-    return resolve.unique_aliases(load(spark, sf_dir, "part"), "p_name", "p_type").select("p_name", "p_type")
+    named = load(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("name"), "p_type")
+    return resolve.unique_aliases(named, "name", "p_type").select("name", "p_type")
 
 
 _ALIASES = "('a', 'b'), ('b', 'c'), ('c', 'int'), ('d', 'e'), ('e', 'd'), ('f', 'd'), ('g', 'long'), ('self', 'self')"
@@ -341,12 +354,17 @@ def alias_chain(spark, sf_dir):
     return graph.alias_closure(_values(spark, _ALIASES, "name, target"), "name", "target")
 
 
-@query("SELECT p_brand, o_orderpriority, count(*) AS flows, count(DISTINCT o_custkey) AS callers FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
+@query("""
+WITH r AS (SELECT o_orderpriority AS path, o_orderstatus AS fn, c_mktsegment AS callback, min(o_orderkey) AS register_line FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+s AS (SELECT o_orderpriority AS path, o_orderstatus AS fn, l_returnflag AS field, min(l_orderkey) AS store_line FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 7 GROUP BY ALL),
+i AS (SELECT o_orderpriority AS path, l_returnflag AS field, l_linestatus AS invoker, min(l_orderkey) AS invoke_line FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT path, callback, field, invoker, register_line, store_line, invoke_line FROM r JOIN s USING (path, fn) JOIN i USING (path, field)""")
 def callback_dataflow(spark, sf_dir):
-    """Registration, storage and invocation joined, then counted."""
-    orders, lines, parts = (load(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
-    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy("p_brand", "o_orderpriority").agg(F.count(F.lit(1)).alias("flows"), F.countDistinct("o_custkey").alias("callers"))
+    """Callbacks (segments) handed to functions (statuses), stored in fields (flags), invoked; a priority is a file."""
+    orders, lines = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    registered = orders.join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("line"), F.concat(F.lit("lib::"), "o_orderstatus").alias("api"), F.col("c_mktsegment").alias("callback"))
+    used = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("path"), F.col("l_orderkey").alias("line"), "o_orderstatus", "l_linestatus", F.col("l_returnflag").alias("field"), "l_linenumber")
+    return dataflow.dataflow(registered, used.filter("l_linenumber = 7").withColumn("function", F.col("o_orderstatus")), used.withColumn("function", F.col("l_linestatus")))
 
 
 @query("SELECT r_name, n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
@@ -357,10 +375,10 @@ def receiver_chain(spark, sf_dir):
     return walked.groupBy("r_name", "n_name").agg(F.sum("c").alias("n"))
 
 
-@query("SELECT l_partkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS candidates, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY l_partkey")
+@query("SELECT l_partkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN CAST(min(l_suppkey) AS VARCHAR) END AS resolved, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS candidates, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM lineitem GROUP BY l_partkey")
 def candidate_set(spark, sf_dir):
-    rows = load(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("s")).distinct()
-    return rows.groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_list("s")), ",").alias("candidates"), F.count(F.lit(1)).alias("n"))
+    rows = load(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").cast("string").alias("s"))
+    return resolve.resolution(rows, ["l_partkey"], "s")
 
 
 # --- graphs --------------------------------------------------------------------------------------
