@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import receivers
-from . import evidence, headers, ingest
+from ..operators import receivers, tables
+from . import evidence, headers, ingest, workflow
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -148,3 +148,19 @@ def code_claims(spark, sf_dir):
     rows = names.join(head, "path").select(F.inline(F.array(*(F.struct(F.lit(t).alias("claim_type"), s.alias("subject"), o.alias("object")) for t, s, o in (("calls", F.col("subject"), F.lit("charge")), ("definition_exists", F.col("subject"), F.lit("")), ("reaches", F.col("subject"), F.lit("Account::charge")), ("includes", F.col("path"), F.col("header")), ("includes", F.col("path"), F.lit("other.h")))))))
     claims = rows.withColumn("claim_id", F.sha1(F.concat_ws("\0", "claim_type", "subject", "object")))
     return evidence.verify(claims.select("claim_id", "claim_type", "subject", "object"), facts).select("subject", "object", "claim_type", "verdict")
+
+
+@query("""SELECT c_custkey, 'contradicted' AS overall, CAST(5 AS BIGINT) AS claims, 'unsafe' AS safety FROM customer""")
+def code_answers(spark, sf_dir):
+    """An answer about every customer's class: what it calls, derives from and does not do, and one thing that is wrong."""
+    prose = "pay of Customer{c}: Customer{c}::pay calls charge and note. Customer{c} derives from Segment{s}. Customer{c}::pay does not call account_of. src/c{c}.cpp includes nothing.h"
+    texts = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.replace(F.replace(F.lit(prose), F.lit("{c}"), F.col("c_custkey").cast("string")), F.lit("{s}"), F.col("c_mktsegment")).alias("body"))
+    return evidence.verify_text(texts, "c_custkey", "body", _facts(spark, sf_dir))
+
+
+@query("SELECT kind, name, n FROM (SELECT 'fact_type' AS kind, 'inherits' AS name, count(*) AS n FROM customer UNION ALL SELECT 'fact_type', 'include', count(*) FROM customer UNION ALL SELECT 'file_role', 'project', (SELECT count(*) FROM customer) + (SELECT count(DISTINCT c_mktsegment) FROM customer) + 1 UNION ALL SELECT 'total', 'files', (SELECT count(*) FROM customer) + (SELECT count(DISTINCT c_mktsegment) FROM customer) + 1)")
+def code_diagnostics(spark, sf_dir):
+    """Counts of facts and files."""
+    files = sources(spark, sf_dir)
+    report = workflow.diagnostics(ingest.facts(files, ingest.macro_map({"NDEBUG": ""})), tables.manifest(files, "path", "text"))
+    return report.filter("name in ('inherits', 'include', 'project', 'files')")

@@ -56,7 +56,7 @@ def verify(claims: DataFrame, facts: DataFrame) -> DataFrame:
     calls: contradicted only if all outgoing calls of the subject are settled and none is the object.
     reaches: supported over settled edges, conditional over any, never contradicted. includes: contradicted if the
     subject's includes are known and do not name the object. definition_exists and build_active: contradicted
-    if the only evidence is inactive.
+    if the only evidence is inactive. inherits: over any number of steps; contradicted if the class is known without it.
     """
     facts = tables.cut(facts)
     settled = (F.col("status") == "resolved") & (F.col("build_status") == "active")
@@ -91,14 +91,22 @@ def verify(claims: DataFrame, facts: DataFrame) -> DataFrame:
         rows = known.filter("predicate = 'definition'") if kind == "definition_exists" else known
         counted = _by_name(claims.filter(F.col("claim_type") == kind), "subject", rows, "name").groupBy("claim_id").agg(*(F.count_if(F.col("build_status") == s).alias(s) for s in ("active", "conditional", "inactive")))
         result = result.unionByName(_verdict(claims, kind, counted, F.when(F.col("active") > 0, "supported").when(F.col("conditional") > 0, "conditional").when(F.col("inactive") > 0, "contradicted").otherwise("unknown")))
-    other = claims.filter(~F.col("claim_type").isin("calls", "reaches", "includes", "definition_exists", "build_active") | F.col("claim_type").isNull())
+    below = facts.filter("fact_type = 'inherits' and build_status <> 'inactive'").select(names.short_name(F.col("subject")).alias("src"), names.short_name(F.col("object")).alias("dst"), "build_status").distinct()
+    asked = claims.filter("claim_type = 'inherits'").withColumns({"__src": names.short_name(F.col("subject")), "__dst": names.short_name(F.col("object"))})
+    above = graph.reach(below, asked.select(F.col("__src").alias("start"))).filter("hops > 0").select(F.col("start").alias("s"), F.col("node").alias("d"))
+    known_class = facts.filter("fact_type = 'type'").select(names.short_name(F.col("subject")).alias("s2")).distinct()
+    met = asked.join(above, (F.col("__src") == F.col("s")) & (F.col("__dst") == F.col("d")), "left").join(known_class, F.col("__src") == F.col("s2"), "left")
+    counted = met.groupBy("claim_id").agg(F.count("d").alias("hits"), F.count("s2").alias("seen"))
+    result = result.unionByName(_verdict(claims, "inherits", counted, F.when(F.col("hits") > 0, "supported").when(F.col("seen") > 0, "contradicted").otherwise("unknown")))
+    other = claims.filter(~F.col("claim_type").isin("calls", "reaches", "includes", "inherits", "definition_exists", "build_active") | F.col("claim_type").isNull())
     return result.unionByName(other.withColumn("verdict", F.lit("unknown")))
 
 
 def verify_text(texts: DataFrame, key: str, text: str, facts: DataFrame) -> DataFrame:
     """key, overall, safety, claims (how many): prose judged by the claims in it; without claims, unknown."""
     found = rules.claims_of(texts, key, text).withColumn("claim_id", F.sha1(F.concat_ws("\0", key, "place", "subject", "object")))
-    judged = verify(found.select(key, "claim_id", "claim_type", "subject", "object"), facts)
+    judged = verify(found.select(key, "claim_id", "claim_type", "subject", "object", "polarity"), facts)
+    judged = judged.withColumn("verdict", F.when(F.col("polarity") == "negative", verdicts.negate(F.col("verdict"))).otherwise(F.col("verdict")))
     rolled = judged.groupBy(F.col(key).alias("__k")).agg(verdicts.overall(F.col("verdict")).alias("overall"), F.count(F.lit(1)).alias("claims"))
     joined = texts.select(key).join(rolled, F.col(key) == F.col("__k"), "left")
     return joined.select(key, F.coalesce("overall", F.lit("unknown")).alias("overall"), F.coalesce("claims", F.lit(0)).alias("claims")).withColumn("safety", verdicts.safety(F.col("overall")))

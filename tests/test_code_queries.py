@@ -49,3 +49,11 @@ def test_scopes_are_a_stack(spark):
     assert sorted(r.subject for r in facts if r.fact_type == "symbol") == ["S::I::m", "S::n", "a::b::g", "a::e", "a::f", "hidden", "last"]
     assert {(r.subject, r.object) for r in facts if r.fact_type == "call"} == {("a::b::g", "h"), ("a::f", "h2"), ("S::I::m", "k"), ("hidden", "inner"), ("hidden", "outer")}
     assert {(r.subject, r.object, r.type) for r in facts if r.fact_type == "field"} == {("S", "v", "int")}
+
+
+def test_claims_in_prose():
+    from cairnwork.operators import rules
+
+    found = [c[:4] for c in rules.claims_in("`a()` calls b, c and d::e. f does not call g, and h reaches i. x is called by y. A derives from B; src/a.c does not include b.h. k is not defined, l is defined.")]
+    assert found == [("calls", "positive", "a", "b"), ("calls", "positive", "a", "c"), ("calls", "positive", "a", "d::e"), ("calls", "negative", "f", "g"), ("reaches", "positive", "h", "i"), ("calls", "positive", "y", "x"), ("inherits", "positive", "A", "B"), ("includes", "negative", "src/a.c", "b.h"), ("definition_exists", "negative", "k", ""), ("definition_exists", "positive", "l", "")]
+    assert rules.claims_in("") == [] and [c[4:] for c in rules.claims_in("so a calls b")] == [(3, 12)]
