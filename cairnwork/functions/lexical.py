@@ -46,3 +46,9 @@ def fits_hint(hint: Column, parameter: Column) -> Column:
 def context_of(name: Column) -> Column:
     """isr or task by how a function is called, else null."""
     return F.when(name.rlike(r"(FromISR|_isr|_ISR|_IRQHandler|ISR_Handler|_irq)$"), "isr").when(name.rlike(r"(Task|_task|TaskFunction|_thread)$"), "task")
+
+
+def api_context(name: Column) -> Column:
+    """isr or task by the names that a kernel's API and interrupt handlers have, else null: narrower than ``context_of``."""
+    special = name.contains("FromISR") | name.rlike(r"(?:ISR|IRQHandler|SysTickHandler|PendSVHandler|SVCHandler)$")
+    return F.when(special, "isr").when(name.rlike(r"^(?:xQueue|vQueue|xTimer|vTimer)|^(?:xTaskCreate|vTaskStartScheduler)$"), "task")

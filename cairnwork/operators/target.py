@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.corpus import SOURCES
@@ -59,3 +59,18 @@ def decide(files: DataFrame, profile: Profile, built: DataFrame | None = None, p
     kept = F.when(_any(p, profile.active_prefixes), "active_path_prefix").when(known, "compile_commands_entry").otherwise("default_active")
     out = rows.withColumn("__r", reason)
     return out.select(*files.columns, F.when(F.col("__r").isNull(), "active").otherwise("inactive").alias("status"), F.coalesce("__r", kept).alias("reason"))
+
+
+#: Macros that switch a way of allocation.
+ALLOCATION = {"dynamic_allocation": "configSUPPORT_DYNAMIC_ALLOCATION", "static_allocation": "configSUPPORT_STATIC_ALLOCATION"}
+
+
+def settings(spark: SparkSession, name: str, profile: Profile, macros: dict[str, str], include_dirs: list[str] | None = None, **more: str) -> DataFrame:
+    """subject, predicate, object of all that a target sets, a row for each value; empty values are left out."""
+    rows = [("name", "selected_profile", name or "default")]
+    rows += [("include_dir", "target_artifact", d) for d in include_dirs or []]
+    rows += [("active_path_prefix", "target_file_selection", p) for p in profile.active_prefixes] + [("inactive_path_prefix", "target_file_selection", p) for p in profile.inactive_prefixes]
+    rows += [(k, "target_attribute", v) for k, v in {"active_port": profile.active_port, "heap": profile.heap, **more}.items()]
+    rows += [(way, "allocation_setting", {"0": "disabled", "1": "enabled"}.get(macros.get(macro, "").strip(), "")) for way, macro in ALLOCATION.items()]
+    rows += [(k, "macro_value", v or "1") for k, v in sorted(macros.items())]
+    return spark.createDataFrame([r for r in rows if r[2]], "subject string, predicate string, object string")

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import receivers, tables
-from . import evidence, headers, ingest, workflow
+from ..operators import receivers, tables, target
+from . import callbacks, claims, evidence, headers, ingest, workflow
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,102 @@ def code_diagnostics(spark, sf_dir):
     files = sources(spark, sf_dir)
     report = workflow.diagnostics(ingest.facts(files, ingest.macro_map({"NDEBUG": ""})), tables.manifest(files, "path", "text"))
     return report.filter("name in ('inherits', 'include', 'project', 'files')")
+
+
+def wiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text of a C file for every supplier: a table of callbacks, one kept and called, a task's entry on its way, contexts."""
+    text = """static const Ops ops{k}[] = { .open = on_open{k}, on_close };
+void init{k}(Timer *t, Callback onFire) {
+    t->fireCallback = onFire;
+}
+void run{k}(Timer *t) {
+    t->fireCallback(t, {k}); // t->lostCallback(t)
+}
+void setup{k}(void) {
+    init{k}(&timer, onFire);
+{guarded}}
+static void prvInit{k}(TaskFunction_t entry, void *p) {
+    tcb->pxTaskCode = entry;
+    pxPortInitialiseStack(top, entry, p);
+}
+static void prvCreate{k}(TaskFunction_t entry) {
+    prvInit{k}(entry, 0);
+}
+int xTaskCreate{k}(TaskFunction_t entry) {
+    return prvCreate{k}(entry);
+}
+void Timer{k}_IRQHandler(void) { xQueueSendFromISR(queue, {k}); }
+int xQueueDrain{k}(void) { return {k}; }
+"""
+    line = "    bus_registerHandler(&on_fire{k});\n"
+    guarded = F.when(F.col("s_nationkey") % 2 == 0, F.lit("#ifdef WIRED\n" + line + "#endif\n")).otherwise(F.lit(line))
+    body = F.replace(F.replace(F.lit(text), F.lit("{guarded}"), guarded), F.lit("{k}"), F.col("s_suppkey").cast("string"))
+    path = F.concat(F.lit("dev/n"), "s_nationkey", F.lit("/s"), "s_suppkey", F.lit(".c"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(path.alias("path"), body.alias("text"))
+
+
+def _wired(spark, sf_dir) -> DataFrame:
+    return ingest.facts(wiring(spark, sf_dir), ingest.macro_map({"NDEBUG": ""})).checkpoint()
+
+
+_W = "w AS (SELECT s_suppkey AS k, 'dev/n' || s_nationkey || '/s' || s_suppkey || '.c' AS path, CASE s_nationkey % 2 WHEN 0 THEN 'conditional' ELSE 'active' END AS st FROM supplier)"
+
+
+@query(f"""WITH {_W}
+SELECT path, 'bus_registerHandler' AS subject, 'registers_callback' AS predicate, 'on_fire' || k AS object, NULL AS field, 'setup' || k AS place, st AS build_status FROM w
+UNION ALL SELECT path, 'fireCallback', 'registers_callback', 't', NULL, 'run' || k, 'active' FROM w
+UNION ALL SELECT path, 'init' || k, 'stores_callback', 'onFire', 'fireCallback', 't->fireCallback', 'active' FROM w
+UNION ALL SELECT path, 'run' || k, 'invokes_callback', 'fireCallback', 'fireCallback', 't.fireCallback', 'active' FROM w
+UNION ALL SELECT path, 'ops' || k || '.open', 'callback_candidate', 'on_open' || k, 'open', 'ops' || k, 'active' FROM w
+UNION ALL SELECT path, 'ops' || k || '.1', 'callback_candidate', 'on_close', '1', 'ops' || k, 'active' FROM w
+UNION ALL SELECT path, 'prvInit' || k, 'stores_task_entry', 'entry', 'pxTaskCode', 'tcb->pxTaskCode', 'active' FROM w
+UNION ALL SELECT path, 'prvInit' || k, 'initializes_stack_with_task_entry', 'pxPortInitialiseStack', 'entry', NULL, 'active' FROM w
+UNION ALL SELECT path, 'Timer' || k || '_IRQHandler', 'has_execution_context', 'isr', NULL, NULL, 'active' FROM w
+UNION ALL SELECT path, 'xQueueDrain' || k, 'has_execution_context', 'task', NULL, NULL, 'active' FROM w""")
+def code_callbacks(spark, sf_dir):
+    """Callbacks registered, kept, called and listed in tables, task entries, and contexts."""
+    return callbacks.relations(_wired(spark, sf_dir)).drop("line")
+
+
+@query(f"""WITH {_W}
+SELECT path, CAST(9 AS BIGINT) AS line, 'setup' || k AS subject, 'callback_dataflows_to' AS predicate, 'run' || k AS object, 'onFire' AS field, 'fireCallback' AS place, 'active' AS build_status FROM w
+UNION ALL SELECT path, CASE st WHEN 'active' THEN 20 ELSE 22 END, 'xTaskCreate' || k, 'task_entry_dataflows_to', 'pxPortInitialiseStack', 'entry', 'prvInit' || k, 'active' FROM w""")
+def code_flows(spark, sf_dir):
+    """From where a callback or a task's entry is handed over to where it is called or set up."""
+    facts = _wired(spark, sf_dir)
+    return callbacks.flows(facts, callbacks.relations(facts))
+
+
+#: Claims about each supplier's file: type, subject, object, verdict and reason; {k} and {p} are its key and path.
+_CLAIMED = [
+    ("callback_registers", "bus_registerHandler", "on_fire{k}", "conditional", "callback_registration_supported"), ("callback_registers", "bus_registerHandler", "run{k}", "unknown", "callback_registration_not_found"),
+    ("stores_callback", "init{k}", "t->fireCallback", "conditional", "stores_callback_supported"), ("stores_callback", "run{k}", "onFire", "unknown", "stores_callback_not_found"),
+    ("invokes_callback", "run{k}", "fireCallback", "conditional", "invokes_callback_supported"), ("invokes_callback", "run{k}", "", "unknown", "claim_missing_endpoint"),
+    ("callback_dataflow", "setup{k}", "run{k}", "conditional", "callback_dataflow_supported"), ("callback_dataflow", "run{k}", "setup{k}", "unknown", "callback_dataflow_not_found"),
+    ("task_entry_dataflow", "xTaskCreate{k}", "pxPortInitialiseStack", "conditional", "task_entry_dataflow_supported"), ("task_entry_dataflow", "prvCreate{k}", "pxPortInitialiseStack", "unknown", "task_entry_dataflow_not_found"),
+    ("execution_context", "Timer{k}_IRQHandler", "interrupt", "supported", "execution_context_supported"), ("execution_context", "xQueueDrain{k}", "isr", "contradicted", "execution_context_conflict"),
+    ("execution_context", "run{k}", "task", "unknown", "execution_context_not_found"), ("execution_context", "run{k}", "moon", "unknown", "unsupported_execution_context"),
+    ("target_profile", "name", "board", "supported", "target_profile_supported"), ("target_profile", "heap", "heap_{k}", "contradicted", "target_profile_value_mismatch"), ("target_profile", "colour", "", "unknown", "target_profile_attribute_not_found"),
+    ("build_config", "LEVEL", "", "supported", "build_config_macro_present"), ("build_config", "LEVEL", "-{k}", "contradicted", "build_config_macro_value_mismatch"), ("build_config", "OTHER{k}", "1", "unknown", "build_config_macro_not_found"),
+    ("allocation_profile", "static allocation", "off", "supported", "allocation_profile_supported"), ("allocation_profile", "static", "enabled", "contradicted", "allocation_profile_mismatch"), ("allocation_profile", "heap", "1", "unknown", "build_config_macro_not_found"),
+    ("calls", "setup{k}", "init{k}", "supported", None), ("nothing", "run{k}", "x", "unknown", None),
+]
+_ROWS = ", ".join(str(c).replace("None", "NULL") for c in _CLAIMED)
+
+
+@query(f"""WITH {_W}, c AS (SELECT k, path, t.* FROM w, (VALUES {_ROWS}) t(claim_type, subject, object, verdict, reason))
+SELECT claim_type, replace(subject, '{{k}}', CAST(k AS VARCHAR)) AS subject, replace(object, '{{k}}', CAST(k AS VARCHAR)) AS object, verdict, reason, count(*) AS n FROM c GROUP BY ALL
+UNION ALL SELECT 'file_active', path, '', CASE WHEN path LIKE 'dev/n3/%' THEN 'contradicted' ELSE 'supported' END, CASE WHEN path LIKE 'dev/n3/%' THEN 'target_file_selection_mismatch' ELSE 'target_file_selection_supported' END, 1 FROM w
+UNION ALL SELECT 'file_active', '/tree/' || path, 'inactive', CASE WHEN path LIKE 'dev/n3/%' THEN 'supported' ELSE 'contradicted' END, CASE WHEN path LIKE 'dev/n3/%' THEN 'target_file_selection_supported' ELSE 'target_file_selection_mismatch' END, 1 FROM w
+UNION ALL SELECT 'file_active', 'not/' || k || '.c', 'active', 'unknown', 'target_file_selection_not_found', 1 FROM w""")
+def code_more_claims(spark, sf_dir):
+    """Claims of all other kinds about every supplier's file and the target it is built for."""
+    files = wiring(spark, sf_dir)
+    made = F.array(*(F.struct(F.lit(t).alias("claim_type"), F.lit(s).alias("subject"), F.lit(o).alias("object")) for t, s, o, _, _ in _CLAIMED))
+    paths = F.array(*(F.struct(F.lit("file_active").alias("claim_type"), s.alias("subject"), F.lit(o).alias("object")) for s, o in ((F.col("path"), ""), (F.concat(F.lit("/tree/"), "path"), "inactive"), (F.concat(F.lit("not/"), "k", F.lit(".c")), "active"))))
+    rows = files.withColumn("k", F.regexp_extract("path", r"s([0-9]+)\.c$", 1)).select("k", F.inline(F.concat(made, paths))).withColumns({c: F.replace(F.col(c), F.lit("{k}"), F.col("k")) for c in ("subject", "object")})
+    rows = tables.cut(rows.select(F.concat_ws("\0", "k", F.monotonically_increasing_id()).alias("claim_id"), "claim_type", "subject", "object"))
+    profile = target.Profile(inactive_prefixes=["dev/n3"], heap="heap_4.c")
+    settings = target.settings(spark, "board", profile, {"LEVEL": "2", "configSUPPORT_STATIC_ALLOCATION": "0"})
+    judged = claims.verify(rows, _wired(spark, sf_dir), settings, target.decide(files.select("path"), profile))
+    return judged.groupBy("claim_type", "subject", "object", "verdict", "reason").agg(F.count(F.lit(1)).alias("n"))

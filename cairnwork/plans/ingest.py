@@ -74,6 +74,13 @@ def line_status(lines: DataFrame, found: DataFrame) -> DataFrame:
     return lines.join(worst, ["path", "line_no"], "left").select("path", "line_no", "line", status.alias("build_status"))
 
 
+#: ``place = name``, also with an address; the last group is the name. Function pointers may be declared there.
+_ASSIGNS = r"((?:\w+\s*(?:->|\.)\s*)*\b[A-Za-z_]\w*)(?:\s*\)\s*\([^()]*\))?\s*=\s*&?\s*((?:[A-Za-z_]\w*::)*[A-Za-z_]\w*)\s*[;,]"
+#: The name of a table whose initialiser opens, and one entry of it: its field, if told, and the name it holds.
+_TABLE, _ENTRY = r"\b([A-Za-z_]\w*)\s*(?:\[[^\]]*\]\s*)?=\s*\{$", r"^\s*(?:\.\s*(\w+)\s*=\s*)?&?\s*((?:[A-Za-z_]\w*::)*[A-Za-z_]\w*)\s*\}?\s*$"
+#: Names that are values, not functions or variables.
+_VALUES = ["true", "false", "nullptr", "NULL", "this", "new"]
+
 #: Namespaces and classes within one another that are told apart; deeper ones count as blocks of code.
 NESTED = 12
 
@@ -114,7 +121,8 @@ def facts(files: DataFrame, macros: Column | None) -> DataFrame:
 
     Columns fact_type, path, line, subject, predicate, object, build_status, detail, kind, receiver, argc, type:
     include: path includes target. symbol: a function, its definition or declaration, its return type.
-    call: caller calls callee (detail: the caller's scope; kind and receiver as ``statements.calls_of`` has them).
+    call: caller calls callee (detail: the caller's scope; kind, receiver and args as ``statements.calls_of`` has them).
+    assign: a function puts a name (object) into a place (receiver). table_entry: a table's field holds a name.
     type: a class defines its kind; inherits: a class and each base. field: a class and a member of a type. alias: a name
     and what it stands for. binding: a function and a parameter or local variable of a type.
     build_guard: branch lines and their status.
@@ -138,7 +146,7 @@ def facts(files: DataFrame, macros: Column | None) -> DataFrame:
     around = F.last(F.when(~F.col("code") & ~F.col("is_scope") & F.endswith("text", F.lit("{")), block), ignorenulls=True).over(order)
     rows = rows.withColumn("fn", around).withColumn("fn", F.when(F.col("code") & F.col("fn.qualified").isNotNull(), F.col("fn")))
 
-    head, c = F.col("head"), {"fact_type": "string", "line": "bigint", "subject": "string", "predicate": "string", "object": "string", "detail": "string", "kind": "string", "receiver": "string", "argc": "int", "type": "string"}
+    head, c = F.col("head"), {"fact_type": "string", "line": "bigint", "subject": "string", "predicate": "string", "object": "string", "detail": "string", "kind": "string", "receiver": "string", "argc": "int", "type": "string", "args": "array<string>"}
 
     def fact(of_kind: str, subject: Column, predicate: str | Column, obj: Column, **more: Column) -> Column:
         known = {"fact_type": F.lit(of_kind), "line": F.col("line"), "subject": subject, "predicate": F.lit(predicate) if isinstance(predicate, str) else predicate, "object": obj, **more}
@@ -147,6 +155,12 @@ def facts(files: DataFrame, macros: Column | None) -> DataFrame:
     def only(condition: Column, found: Column) -> Column:
         return F.when(condition, found).otherwise(F.array())
 
+    places, held = (F.regexp_extract_all("text", F.lit(_ASSIGNS), F.lit(i)) for i in (1, 2))
+    assigned = F.zip_with(places, held, lambda a, b: F.struct(F.regexp_replace(a, r"\s+", "").alias("place"), b.alias("name")))
+    table = F.regexp_extract(F.lag("text", 1, "").over(Window.partitionBy("path").orderBy("seq")), _TABLE, 1)
+    entries = F.transform(F.split("text", ","), lambda e, i: F.struct(F.coalesce(F.nullif(F.regexp_extract(e, _ENTRY, 1), F.lit("")), i.cast("string")).alias("field"), F.regexp_extract(e, _ENTRY, 2).alias("name")))
+    rows = rows.withColumns({"table": table, "entries": entries})
+
     # All that a statement says, in one row; then a row for each.
     arity = F.size(head["params"])
     said = [
@@ -157,7 +171,9 @@ def facts(files: DataFrame, macros: Column | None) -> DataFrame:
         only(F.col("what") == "alias", F.array(fact("alias", F.col("qualified"), "aliases", head["type"]))),
         only((F.col("what") == "variable") & ~F.col("code") & (F.col("ns") != ""), F.array(fact("field", F.col("ns"), "has_field", head["name"], type=head["type"]))),
         only((F.col("what") == "variable") & F.col("code") & F.col("fn").isNotNull(), F.array(fact("binding", F.col("fn.qualified"), "declares", head["name"], type=head["type"]))),
-        only(F.col("fn").isNotNull(), F.transform(stmt.calls(F.col("text")), lambda x: fact("call", F.col("fn.qualified"), "calls", x["name"], line=F.col("base") + x["skip"], detail=F.nullif(F.col("fn.ns"), F.lit("")), kind=x["kind"], receiver=x["receiver"], argc=x["argc"]))),
+        only(F.col("fn").isNotNull(), F.transform(stmt.calls(F.col("text")), lambda x: fact("call", F.col("fn.qualified"), "calls", x["name"], line=F.col("base") + x["skip"], detail=F.nullif(F.col("fn.ns"), F.lit("")), kind=x["kind"], receiver=x["receiver"], argc=x["argc"], args=x["args"]))),
+        only(F.col("fn").isNotNull(), F.transform(F.filter(assigned, lambda x: ~x["name"].isin(_VALUES)), lambda x: fact("assign", F.col("fn.qualified"), "assigns", x["name"], receiver=x["place"]))),
+        only(F.col("table") != "", F.transform(F.filter(F.col("entries"), lambda x: (x["name"] != "") & ~x["name"].isin(_VALUES)), lambda x: fact("table_entry", F.concat("table", F.lit("."), x["field"]), "holds", x["name"]))),
     ]
     told = rows.select("path", F.explode(F.flatten(F.array(*said))).alias("f")).select("path", "f.*")
     told = told.join(state, (F.col("path") == F.col("p")) & (F.col("line") == F.col("n")), "left").drop("p", "n").withColumn("build_status", F.coalesce("build_status", F.lit("active")))
