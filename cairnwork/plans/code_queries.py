@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import receivers, tables, target
-from . import callbacks, claims, evidence, headers, ingest, workflow
+from . import callbacks, claims, evidence, headers, ingest, questions, workflow
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -178,12 +178,12 @@ void run{k}(Timer *t) {
 void setup{k}(void) {
     init{k}(&timer, onFire);
 {guarded}}
-static void prvInit{k}(TaskFunction_t entry, void *p) {
+static void prvPrepare{k}(TaskFunction_t entry, void *p) {
     tcb->pxTaskCode = entry;
     pxPortInitialiseStack(top, entry, p);
 }
 static void prvCreate{k}(TaskFunction_t entry) {
-    prvInit{k}(entry, 0);
+    prvPrepare{k}(entry, 0);
 }
 int xTaskCreate{k}(TaskFunction_t entry) {
     return prvCreate{k}(entry);
@@ -212,8 +212,8 @@ UNION ALL SELECT path, 'init' || k, 'stores_callback', 'onFire', 'fireCallback',
 UNION ALL SELECT path, 'run' || k, 'invokes_callback', 'fireCallback', 'fireCallback', 't.fireCallback', 'active' FROM w
 UNION ALL SELECT path, 'ops' || k || '.open', 'callback_candidate', 'on_open' || k, 'open', 'ops' || k, 'active' FROM w
 UNION ALL SELECT path, 'ops' || k || '.1', 'callback_candidate', 'on_close', '1', 'ops' || k, 'active' FROM w
-UNION ALL SELECT path, 'prvInit' || k, 'stores_task_entry', 'entry', 'pxTaskCode', 'tcb->pxTaskCode', 'active' FROM w
-UNION ALL SELECT path, 'prvInit' || k, 'initializes_stack_with_task_entry', 'pxPortInitialiseStack', 'entry', NULL, 'active' FROM w
+UNION ALL SELECT path, 'prvPrepare' || k, 'stores_task_entry', 'entry', 'pxTaskCode', 'tcb->pxTaskCode', 'active' FROM w
+UNION ALL SELECT path, 'prvPrepare' || k, 'initializes_stack_with_task_entry', 'pxPortInitialiseStack', 'entry', NULL, 'active' FROM w
 UNION ALL SELECT path, 'Timer' || k || '_IRQHandler', 'has_execution_context', 'isr', NULL, NULL, 'active' FROM w
 UNION ALL SELECT path, 'xQueueDrain' || k, 'has_execution_context', 'task', NULL, NULL, 'active' FROM w""")
 def code_callbacks(spark, sf_dir):
@@ -223,7 +223,7 @@ def code_callbacks(spark, sf_dir):
 
 @query(f"""WITH {_W}
 SELECT path, CAST(9 AS BIGINT) AS line, 'setup' || k AS subject, 'callback_dataflows_to' AS predicate, 'run' || k AS object, 'onFire' AS field, 'fireCallback' AS place, 'active' AS build_status FROM w
-UNION ALL SELECT path, CASE st WHEN 'active' THEN 20 ELSE 22 END, 'xTaskCreate' || k, 'task_entry_dataflows_to', 'pxPortInitialiseStack', 'entry', 'prvInit' || k, 'active' FROM w""")
+UNION ALL SELECT path, CASE st WHEN 'active' THEN 20 ELSE 22 END, 'xTaskCreate' || k, 'task_entry_dataflows_to', 'pxPortInitialiseStack', 'entry', 'prvPrepare' || k, 'active' FROM w""")
 def code_flows(spark, sf_dir):
     """From where a callback or a task's entry is handed over to where it is called or set up."""
     facts = _wired(spark, sf_dir)
@@ -263,3 +263,52 @@ def code_more_claims(spark, sf_dir):
     settings = target.settings(spark, "board", profile, {"LEVEL": "2", "configSUPPORT_STATIC_ALLOCATION": "0"})
     judged = claims.verify(rows, _wired(spark, sf_dir), settings, target.decide(files.select("path"), profile))
     return judged.groupBy("claim_type", "subject", "object", "verdict", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ASKED = ["xTaskCreate{k} path prvPrepare{k}", "run{k} path setup{k}", "prvCreate{k} caller", "bus_registerHandler caller of s{k}", "xTaskCreate{k} callee", "run{k} の定義", "gone{k} の定義", "?", "path run{k}"]
+
+
+def _questions(spark, sf_dir) -> DataFrame:
+    """question (its text) of every supplier's file."""
+    each = F.explode(F.array(*map(F.lit, _ASKED)))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", each.alias("q")).select(F.replace("q", F.lit("{k}"), F.col("s_suppkey").cast("string")).alias("question")).distinct()
+
+
+@query(f"""WITH {_W}, n AS (SELECT count(*) AS n, sum(CASE st WHEN 'conditional' THEN 1 ELSE 0 END) AS loose FROM w), a AS (
+SELECT 'xTaskCreate' || k || ' path prvPrepare' || k AS question, 'call_path' AS mode, 1 AS facts, '' AS unknowns FROM w
+UNION ALL SELECT 'run' || k || ' path setup' || k, 'call_path', 0, 'call_graph_incomplete' FROM w
+UNION ALL SELECT 'prvCreate' || k || ' caller', 'callers', 1, '' FROM w
+UNION ALL SELECT 'bus_registerHandler caller of s' || k, 'callers', n, CASE WHEN loose > 0 THEN 'conditional_build_evidence' ELSE '' END FROM w, n
+UNION ALL SELECT 'xTaskCreate' || k || ' callee', 'callees', 1, '' FROM w
+UNION ALL SELECT 'run' || k || ' の定義', 'definition', 1, '' FROM w
+UNION ALL SELECT 'gone' || k || ' の定義', 'definition', 0, 'definition_not_found' FROM w
+UNION ALL SELECT DISTINCT '?', 'evidence', 0, 'low_confidence_retrieval' FROM w
+UNION ALL SELECT 'path run' || k, 'call_path', 0, 'ambiguous_symbol' FROM w)
+SELECT question, mode, CAST(facts AS BIGINT) AS facts, unknowns, CASE WHEN facts = 0 THEN 'insufficient_evidence' WHEN unknowns = '' THEN 'answerable' ELSE 'partial' END AS answerability FROM a""")
+def code_assessed(spark, sf_dir):
+    """How far the facts answer questions about every supplier's file."""
+    asked = _questions(spark, sf_dir)
+    return questions.assess(asked, "question", "question", questions.answers(asked, "question", "question", _wired(spark, sf_dir))).drop("constraints")
+
+
+@query(f"""WITH {_W}
+SELECT 'call_path' AS kind, 'xTaskCreate' || k || ' > prvCreate' || k || ' > prvPrepare' || k AS path, CAST(2 AS BIGINT) AS line, 'xTaskCreate' || k AS subject, 'prvPrepare' || k AS object, 'active' AS build_status FROM w
+UNION ALL SELECT 'call', path, CASE st WHEN 'active' THEN 20 ELSE 22 END, 'xTaskCreate' || k, 'prvCreate' || k, 'active' FROM w
+UNION ALL SELECT 'call', path, CASE st WHEN 'active' THEN 20 ELSE 22 END, 'xTaskCreate' || k, 'prvCreate' || k, 'active' FROM w
+UNION ALL SELECT 'definition', path, 5, 'run' || k, NULL, 'active' FROM w""")
+def code_answered(spark, sf_dir):
+    """Routes, callers, callees and definitions that answer the questions."""
+    found = questions.answers(_questions(spark, sf_dir), "question", "question", _wired(spark, sf_dir))
+    return found.filter("question not like 'bus_%'").drop("question", "mode")
+
+
+def _intent_sql(text: str) -> str:
+    some = lambda words: "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
+    cases = " ".join("WHEN " + " OR ".join("(" + " AND ".join(map(some, groups)) + ")" for groups in ways) + f" THEN '{name}'" for name, ways in questions.INTENTS)
+    return f"SELECT doc_id, CASE {cases} ELSE 'evidence' END AS mode FROM (SELECT doc_id, lower(coalesce({text}, '')) AS q FROM documents)"
+
+
+@query(_intent_sql("text"))
+def question_intents(spark, sf_dir):
+    """What each document, read as a question, asks for."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", questions.intent(F.col("text")).alias("mode"))
