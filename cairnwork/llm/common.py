@@ -74,6 +74,13 @@ def slices(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is visible, else the next one from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def groups_of(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Split batches that are sorted by ``key`` into one table per run of equal keys."""
     held: list[pa.RecordBatch] = []

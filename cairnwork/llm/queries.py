@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exactdup, html, pathjoin, piece, quality, sharding, tokenfile, urlfilter
+from . import chat, decontam, exactdup, html, pathjoin, piece, quality, sharding, tokenfile, urlfilter, wordpieces
 from .common import fresh_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,11 @@ def op10_pathjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pathjoin.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op12_wordpieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wordpieces.encode_words(table(spark, sf_dir, "documents"), WORD_MODEL)
+    return rows.select("doc_id", "n_tokens", F.sha2("packed_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as threads with quotes: message t quotes a remark of message t / 2, and in it that of t / 4."""
     told = table(spark, sf_dir, "conversations")
@@ -83,7 +89,7 @@ def shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=8).select("doc_id", "size", "shard", "slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_urlfilter, op3_interleave, op4_tokenfile, op5_pieces, op6_extract, op7_exactdup, op8_quality, op9_quotelink, op10_pathjoin, quoted_threads, url_rules, shard_slots)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_urlfilter, op3_interleave, op4_tokenfile, op5_pieces, op6_extract, op7_exactdup, op8_quality, op9_quotelink, op10_pathjoin, op12_wordpieces, quoted_threads, url_rules, shard_slots)}
 
 ORACLE_SQL = {
     "op1_decontaminate": r"""

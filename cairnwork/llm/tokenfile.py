@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import slices, utf8
+from .common import byte_characters, slices, utf8
 
 SLICE_BYTES = 1 << 20
 #: Bytes of units and ids that a worker remembers in each of two generations (the older one is then dropped), bytes
@@ -41,13 +41,6 @@ _UNIT = re.compile(f"[{_WHITE}]*[{_LETTER}]+(?=[{_WHITE}{_MARK}]|\\Z)|[{_WHITE}]
 _WORD = re.compile(f" ?[{_LETTER}]+")
 
 
-def _byte_characters() -> dict[int, str]:
-    """The character that stands for each byte: itself if it is visible, else the next one from 256 on."""
-    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in seen]
-    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class ByteTokens:
     """A byte-level BPE of the tokenizers library that splits texts by its own pattern.
 
@@ -72,7 +65,7 @@ class ByteTokens:
         self.cuts = self.lib.normalizer is None and '"ByteLevel"' in state and '"add_prefix_space":false' in state and '"use_regex":true' in state
         # Tokens that take more than their own characters, or are sought in two passes, are left to the library.
         self.cuts = self.cuts and not any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()) and len({t.normalized for _, t in added.values()}) < 2
-        self.model, self.characters = self.lib.model, _byte_characters()
+        self.model, self.characters = self.lib.model, byte_characters()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
