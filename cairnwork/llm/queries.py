@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exactdup, html, pathjoin, piece, quality, sharding, tokenfile, urlfilter, wordpieces
+from . import chat, decontam, exactdup, html, pathjoin, piece, quality, sharding, tokenfile, urlfilter, vectorcode, whitening, wordpieces
 from .common import fresh_path, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -62,11 +64,21 @@ def op10_pathjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pathjoin.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_vectorcode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectorcode.compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(str(c) for c in books.ravel()).encode()).hexdigest()
+    return codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def op12_wordpieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wordpieces.encode_words(table(spark, sf_dir, "documents"), WORD_MODEL)
     return rows.select("doc_id", "n_tokens", F.sha2("packed_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as threads with quotes: message t quotes a remark of message t / 2, and in it that of t / 4."""
     told = table(spark, sf_dir, "conversations")
@@ -89,7 +101,32 @@ def shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=8).select("doc_id", "size", "shard", "slot")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_urlfilter, op3_interleave, op4_tokenfile, op5_pieces, op6_extract, op7_exactdup, op8_quality, op9_quotelink, op10_pathjoin, op12_wordpieces, quoted_threads, url_rules, shard_slots)}
+def vector_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op13's count and exact deviations, without eigenvectors, which SQL has no function for."""
+    vectors, d = whitening.whole_vectors(table(spark, sf_dir, "embeddings"))
+    fitted = whitening.fit(whitening.moments(vectors, d), components=0)
+    return whitening.project(vectors, fitted).select("vec_id", F.lit(fitted.moments.n).cast("long").alias("n"), "deviation")
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """op11 as SQL: every distance of every round, by inner products of whole numbers."""
+    nearest = """
+a{r} AS MATERIALIZED (SELECT rid, p, k % 256 AS e, k // 256 AS error FROM (SELECT rid, s.p, min(CAST(s.yy - 2 * list_inner_product(s.y, b.y) + list_inner_product(b.y, b.y) AS BIGINT) * 256 + b.e) AS k FROM s JOIN b{r} b ON s.p = b.p GROUP BY 1, 2))"""
+    moved = """,
+m{r} AS (SELECT p, e, list(c ORDER BY i) AS y FROM (SELECT a.p, a.e, i, floor(sum(s.y[i]) / count(*)) AS c FROM a{r} a JOIN s USING (rid, p), unnest(range(1, len(s.y) + 1)) AS t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{n} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.y, b.y) AS y FROM b{r} b LEFT JOIN m{r} m USING (p, e)),"""
+    steps = "".join(nearest.format(r=r) + (moved.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS MATERIALIZED (SELECT rid, p, y, list_inner_product(y, y) AS yy FROM (SELECT rid, p, x[p * len(x) // 4 + 1 : (p + 1) * len(x) // 4] AS y FROM v, unnest(range(4)) AS t(p))),
+b0 AS (SELECT p, rid - 1 AS e, y FROM s WHERE rid <= 256),{steps},
+d AS (SELECT sha256(string_agg(CAST(CAST(y[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b{rounds}, unnest(range(1, len(y) + 1)) AS t(i)),
+c AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(error) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN c USING (rid), d"""
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_urlfilter, op3_interleave, op4_tokenfile, op5_pieces, op6_extract, op7_exactdup, op8_quality, op9_quotelink, op10_pathjoin, op11_vectorcode, op12_wordpieces, op13_whitening, quoted_threads, url_rules, shard_slots, vector_deviations)}
 
 ORACLE_SQL = {
     "op1_decontaminate": r"""
@@ -124,4 +161,11 @@ f AS (SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY draw, doc_
 o AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, draw, doc_id) - 1 AS place, count(*) OVER () AS n FROM f),
 s AS (SELECT doc_id, size, CAST(place * 8 // n AS INTEGER) AS shard, place, n FROM o)
 SELECT doc_id, size, shard, CAST(place - (shard * n + 7) // 8 AS BIGINT) AS slot FROM s""",
+    "op11_vectorcode": _codes_sql(),
+    "vector_deviations": r"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT) + 100000) AS x FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+c AS (SELECT rid, vec_id, i, x[i] AS c FROM v, unnest(range(1, len(x) + 1)) AS t(i)),
+s AS (SELECT *, count(*) OVER w AS n, sum(c) OVER w AS total FROM c WINDOW w AS (PARTITION BY i))
+SELECT vec_id, n, CAST(sum((n * c - total) * (n * c - total)) AS BIGINT) AS deviation FROM s GROUP BY rid, vec_id, n""",
 }
