@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pandas as pd
@@ -15,7 +16,15 @@ NO_TYPE = CONTROL | {"goto", "break", "continue", "co_return", "co_await", "co_y
 #: Words that qualify a declaration.
 _QUALIFIER = re.compile(r"\b(?:static|inline|virtual|explicit|constexpr|extern|friend|const|volatile|override|final|noexcept|mutable)\b")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "<": ">"}
-_CALLED = re.compile(r"((?:[A-Za-z_]\w*::)*~?[A-Za-z_]\w*)\s*(?:<[\w\s:,*&]*>\s*)?\(|\(\s*\*\s*((?:\w+(?:\.|->))*\w+)\s*\)\s*\(")
+#: Characters before a name that are looked at; what stands there is a word, a type or an operator.
+LOOK = 256
+_ANGLES = re.compile(r"\s*<(?:[^<>]|<[^<>]*>)*>")
+_ARGUED = r"(?:\s*+<(?:[\w\s:,*&]|<[\w\s:,*&]*+>)*+>)?"
+_CALLED = re.compile(rf"(?<!\w)(?<!\w::)(?<!>::)((?:[A-Za-z_]\w*+{_ARGUED}::)*+~?[A-Za-z_]\w*+)\s*+(?:<(?:[\w\s:,*&]|<[\w\s:,*&]*+>)*+>\s*+)?\(|\(\s*\*\s*((?:\w++(?:\.|->))*+\w++)\s*\)\s*\(")
+_LAST_NAME = re.compile(r"(?:[A-Za-z_]\w*::)*[A-Za-z_]\w*$")
+_WORD_BEFORE = re.compile(r"((?:[A-Za-z_]\w*::)*[A-Za-z_]\w*)(?:\s*<[\w\s:,*&]*>)?$")
+#: Attributes say nothing about what is declared.
+_ATTRIBUTE = re.compile(r"__attribute__\s*\(\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\)|__declspec\s*\([^()]*\)|\[\[[^\]]*\]\]")
 _TYPE = re.compile(r"(?:typedef\s+)?(class|struct|union|enum(?:\s+(?:class|struct))?)\s+(?:[A-Z_]{2,}\s+(?!final\b|:))?([A-Za-z_]\w*)\s*(?:final\s*)?(?::\s*([^{]*))?\{$")
 _SPACE_HEAD = re.compile(r"(?:inline\s+)?namespace\s*([\w:]*)\s*\{$|extern\s*\{$")
 _ALIAS = re.compile(r"using\s+([A-Za-z_]\w*)\s*=\s*(.+);$|typedef\s+([^()]+?)\s*([A-Za-z_]\w*);$", re.S)
@@ -23,33 +32,113 @@ _VARIABLE = re.compile(r"((?:[A-Za-z_][\w:]*(?:\s*<.*>)?[\s*&]+)+)([A-Za-z_]\w*)
 _TAIL = re.compile(r"\s*(?:(?:const|noexcept|override|final|volatile|&&?|try)\s*|->\s*[\w:<>*&\s]+?\s*|=\s*(?:0|default|delete)\s*|:[^:].*)*[;{]$", re.S)
 
 
+class Brackets:
+    """The brackets of a text, read once: where each closes, how deep it lies, and the commas right inside it.
+
+    A ``<`` after a word counts as a bracket only if its ``>`` comes before the bracket around it closes and no
+    logical operator stands between. Brackets without a partner close at the end.
+    """
+
+    _MARK = re.compile(r"[()\[\]{},]|(?<=\w)<|(?<=\w )<|(?<![-=])>|&&|\|\|")
+
+    def __init__(self, text: str):
+        self.text = text
+        self.close: dict[int, int] = {}
+        self.open: dict[int, int] = {}
+        self.depth: dict[int, int] = {}
+        self.commas: dict[int, list[int]] = {-1: []}
+        # Open brackets, and below each the angles that may still turn out to be comparisons.
+        held: list[tuple[str, int]] = [("", -1)]
+        angles: list[list[int]] = [[]]
+
+        def settle() -> None:
+            """Angles that never closed were comparisons: their commas are those of the bracket around them."""
+            for at in angles[-1]:
+                self.commas[held[-1][1]].extend(self.commas.pop(at))
+            angles[-1].clear()
+
+        for mark in self._MARK.finditer(text):
+            c, at = mark[0], mark.start()
+            if c in "([{":
+                held.append((_PAIRS[c], at))
+                angles.append([])
+                self.depth[at], self.commas[at] = len(held) - 2, []
+            elif c in ")]}":
+                if len(held) > 1 and held[-1][0] == c:
+                    settle()
+                    opened = held.pop()[1]
+                    angles.pop()
+                    self.close[opened], self.open[at] = at, opened
+            elif c == ",":
+                self.commas[angles[-1][-1] if angles[-1] else held[-1][1]].append(at)
+            elif c == "<":
+                angles[-1].append(at)
+                self.commas[at] = []
+            elif c == ">":
+                if angles[-1]:
+                    self.commas.pop(angles[-1].pop())
+            elif c == "||" or not re.match(r"\s*[,>)]", text[at + 2 : at + 34]):
+                settle()
+        while held:
+            settle()
+            held.pop()
+            angles.pop()
+
+    def parts(self, opened: int, begin: int, end: int) -> list[str]:
+        """The parts between the commas of a bracket (-1: of the whole text); none of blank text."""
+        out = []
+        for at in sorted(self.commas[opened]):
+            out.append(self.text[begin:at].strip())
+            begin = at + 1
+        last = self.text[begin:end].strip()
+        return out + [last] if out or last else []
+
+    def arguments(self, opened: int) -> list[str]:
+        stop = self.close.get(opened)
+        if stop is None:
+            stop = len(self.text.rstrip("{;}"))
+        return self.parts(opened, opened + 1, max(stop, opened + 1))
+
+
 def closing(text: str, at: int) -> int:
     """The place of the bracket that closes the one at ``at``; -1 if none does."""
-    want = []
-    for i in range(at, len(text)):
-        c = text[i]
-        if c in "([{":
-            want.append(_PAIRS[c])
-        elif want and c == want[-1]:
-            want.pop()
-            if not want:
-                return i
-    return -1
+    return Brackets(text).close.get(at, -1)
 
 
 def split_top(text: str) -> list[str]:
     """The parts between commas that are in no brackets; none of blank text."""
-    parts, depth, begin = [], 0, 0
-    for i, c in enumerate(text):
-        if c in "([{" or (c == "<" and re.search(r"\w\s*$", text[:i][-2:])):
-            depth += 1
-        elif c in ")]}" or (c == ">" and depth and text[i - 1] != "-"):
-            depth = max(0, depth - 1)
-        elif c == "," and not depth:
-            parts.append(text[begin:i].strip())
-            begin = i + 1
-    last = text[begin:].strip()
-    return parts + [last] if parts or last else []
+    return Brackets(text).parts(-1, 0, len(text))
+
+
+def pieces(text: str) -> list[str]:
+    """Statements of code: each ends after ``{``, ``}`` or ``;`` that no round bracket holds.
+
+    A round bracket holds what is in it only if it closes before the braces around it do, so one that is left open (as
+    in two branches of a directive) takes no more than its own statement along.
+    """
+    marks = [(m.start(), m[0]) for m in re.finditer(r"[(){};]", text)]
+    held, partner = [], {}
+    for i, (_, c) in enumerate(marks):
+        if c in "({":
+            held.append(i)
+        elif c == ")":
+            if held and marks[held[-1]][1] == "(":
+                partner[held.pop()] = i
+        elif c == "}":
+            while held and marks[held[-1]][1] == "(":
+                held.pop()
+            if held:
+                held.pop()
+    out, begin, until = [], 0, -1
+    for i, (at, c) in enumerate(marks):
+        if i <= until:
+            continue
+        if c == "(":
+            until = partner.get(i, -1)
+        elif c != ")":
+            out.append(text[begin : at + 1])
+            begin = at + 1
+    return [*out, text[begin:]]
 
 
 def parameter(text: str) -> tuple[str, str | None]:
@@ -61,67 +150,82 @@ def parameter(text: str) -> tuple[str, str | None]:
     return found[1].strip(), found[2]
 
 
-def receiver_before(text: str) -> str:
-    """The chain that ends ``text`` (which ends with ``.`` or ``->``), as ``a.b().c``: brackets empty, dots only."""
-    parts, at = [], len(text)
-    while True:
-        at = len(text[:at].rstrip())
-        if text[:at].endswith("->"):
-            at -= 2
-        elif text[:at].endswith("."):
-            at -= 1
+def _receiver(marks: Brackets, at: int, known: dict[int, str]) -> str:
+    """The chain before the name at ``at``, as ``a.b().c``: brackets empty, dots only; empty if there is none.
+
+    ``known`` holds the chains before names further left, so that a long chain is walked once.
+    """
+    text, parts = marks.text, []
+
+    def back(i: int) -> int:
+        while i and text[i - 1].isspace():
+            i -= 1
+        return i
+
+    while at not in known:
+        at = back(at)
+        if text.endswith("->", 0, at):
+            at = back(at - 2)
+        elif text.endswith(".", 0, at):
+            at = back(at - 1)
         else:
             break
-        at = len(text[:at].rstrip())
         called = ""
         while at and text[at - 1] in ")]":
-            shut, depth, i = text[at - 1], 0, at - 1
-            opened = "(" if shut == ")" else "["
-            while i >= 0:
-                depth += (text[i] == shut) - (text[i] == opened)
-                if not depth:
-                    break
-                i -= 1
-            if i < 0:
+            opened = marks.open.get(at - 1)
+            if opened is None:
                 return ".".join(reversed(parts))
-            called = "()" if shut == ")" else called
-            at = len(text[:i].rstrip())
-        name = re.search(r"(?:[A-Za-z_]\w*::)*[A-Za-z_]\w*$", text[:at])
+            called = "()" if text[at - 1] == ")" else called
+            at = back(opened)
+        name = _LAST_NAME.search(text[max(0, at - LOOK) : at])
         if not name:
             return ".".join(reversed(parts))
         parts.append(name[0] + called)
-        at = name.start()
+        at -= len(name[0])
+    if known.get(at):
+        parts.append(known[at])
     return ".".join(reversed(parts))
 
 
-def calls_of(text: str) -> list[tuple[int, str, str | None, str, list[str]]]:
-    """(line ends before it, kind, receiver, name, arguments) of each call, from left to right.
+def calls_of(text: str, initialisers: bool = False) -> list[tuple[int, str, str | None, str, list[str]]]:
+    """(line ends before it, kind, receiver, name, arguments) of each call, from left to right, in one pass.
 
-    kind: free, qualified, member, chained (a member of what a call returns), constructor, function_pointer.
+    kind: free, qualified, member, chained (a member of what a call returns), constructor, function_pointer. Template
+    arguments are left out of names. With ``initialisers``, the text is the head of a definition, and the calls are
+    those within its list of initialisers.
     """
-    out = []
-    for found in _CALLED.finditer(text):
-        opened = found.end() - 1
-        stop = closing(text, opened)
-        args = split_top(text[opened + 1 : stop if stop >= 0 else len(text)].rstrip("{;}"))
-        lines = text.count("\n", 0, found.start())
+    out, marks, known = [], Brackets(text), {}
+    ends = [m.start() for m in re.finditer("\n", text)]
+    begin = 0
+    if initialisers:
+        params = marks.close.get(text.find("("), -1)
+        found = re.compile(r"(?:\s|noexcept|const)*:(?!:)").match(text, params + 1) if params > 0 else None
+        if not found:
+            return []
+        begin = found.end()
+    for found in _CALLED.finditer(text, begin):
+        opened, start = found.end() - 1, found.start()
+        if initialisers and not marks.depth[opened]:
+            continue
+        lines = bisect_left(ends, start)
         if found[2]:
-            out.append((lines, "function_pointer", None, found[2].replace("->", "."), args))
+            out.append((lines, "function_pointer", None, found[2].replace("->", "."), marks.arguments(opened)))
             continue
-        name, before = found[1], text[: found.start()].rstrip()
+        name = _ANGLES.sub("", found[1]) if "<" in found[1] else found[1]
         if name in CONTROL:
             continue
+        before = text[max(0, start - LOOK) : start].rstrip()
         if before.endswith((".", "->")):
-            receiver = receiver_before(before)
-            out.append((lines, "chained" if "(" in receiver else "member", receiver or None, name, args))
+            receiver = known[start] = _receiver(marks, start, known)
+            out.append((lines, "chained" if "(" in receiver else "member", receiver or None, name, marks.arguments(opened)))
             continue
-        word = re.search(r"((?:[A-Za-z_]\w*::)*[A-Za-z_]\w*)(?:\s*<[\w\s:,*&]*>)?$", before)
+        word = _WORD_BEFORE.search(before)
         if word and word[1] == "new":
-            out.append((lines, "constructor", None, name, args))
-        elif word and word[1] not in NO_TYPE and text[found.start() - 1 : found.start()].isspace() and "::" not in name:
-            out.append((lines, "constructor", name, word[1], args))
+            out.append((lines, "constructor", None, name, marks.arguments(opened)))
+        elif word and word[1] not in NO_TYPE and text[start - 1 : start].isspace() and "::" not in name:
+            out.append((lines, "constructor", name, word[1], marks.arguments(opened)))
         elif not before.endswith("~"):
-            out.append((lines, "qualified" if "::" in name else "free", None, name, args))
+            out.append((lines, "qualified" if "::" in name else "free", None, name, marks.arguments(opened)))
     return out
 
 
@@ -132,7 +236,7 @@ def head_of(text: str, owner: str | None) -> tuple[str, str, str, str | None, li
     function (kind definition or declaration), alias, variable. ``owner``: the short name of the class around it, which
     its constructors have.
     """
-    plain = " ".join(text.split())
+    plain = " ".join((_ATTRIBUTE.sub(" ", text) if "_" in text or "[[" in text else text).split())
     plain = re.sub(r"^(?:(?:public|private|protected)\s*:\s*)+", "", plain)
     while plain.startswith("template"):
         depth, i = 0, plain.find("<")
@@ -157,7 +261,7 @@ def head_of(text: str, owner: str | None) -> tuple[str, str, str, str | None, li
     opened = plain.find("(")
     equals = plain.find("=")
     if opened > 0 and (equals < 0 or opened < equals or "operator" in plain[:opened]):
-        named = re.search(r"((?:[A-Za-z_]\w*::)*(?:~?[A-Za-z_]\w*|operator\s*[^\s(]+))\s*$", plain[:opened])
+        named = re.search(r"((?:[A-Za-z_]\w*::)*(?:~?[A-Za-z_]\w*|operator\s*[^\s(]+))\s*(?:(?<!operator)<[\w\s:,*&<>]*>\s*)?$", plain[:opened])
         stop = closing(plain, opened)
         if named and stop > 0 and _TAIL.match(plain[stop + 1 :]):
             name = named[1].replace(" ", "")
@@ -177,30 +281,44 @@ def head_of(text: str, owner: str | None) -> tuple[str, str, str, str | None, li
     return None
 
 
+def inner_variables(text: str) -> list[tuple[str, str]]:
+    """(type, name) of variables that blocks within a statement's brackets declare, as the bodies of lambdas do."""
+    if "{" not in text[:-1] or "(" not in text:
+        return []
+    inner = (head_of(part, None) for part in re.split(r"(?<=[{};])", text)[1:] if part.strip())
+    return [(h[3], h[1]) for h in inner if h and h[0] == "variable"]
+
+
 @lru_cache(maxsize=1)
 def _calls_udf():
     @F.pandas_udf("array<struct<skip:int,kind:string,receiver:string,name:string,argc:int,args:array<string>>>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [{"skip": a, "kind": k, "receiver": r, "name": n, "argc": len(x), "args": x} for a, k, r, n, x in calls_of(t or "")])
+    def run(text: pd.Series, initialisers: pd.Series) -> pd.Series:
+        return pd.Series([[{"skip": a, "kind": k, "receiver": r, "name": n, "argc": len(x), "args": x} for a, k, r, n, x in calls_of(t or "", bool(i))] for t, i in zip(text, initialisers, strict=True)], dtype=object)
 
     return run
 
 
 @lru_cache(maxsize=1)
 def _head_udf():
-    @F.pandas_udf("struct<what:string,name:string,kind:string,type:string,params:array<struct<type:string,name:string>>>")
+    @F.pandas_udf("struct<what:string,name:string,kind:string,type:string,params:array<struct<type:string,name:string>>,inner:array<struct<type:string,name:string>>>")
     def run(text: pd.Series, owner: pd.Series) -> pd.DataFrame:
-        rows = [head_of(t or "", o) or (None, None, None, None, []) for t, o in zip(text, owner, strict=True)]
-        return pd.DataFrame([(*r[:4], [{"type": t, "name": n} for t, n in r[4]]) for r in rows], columns=["what", "name", "kind", "type", "params"])
+        out = []
+        for t, o in zip(text, owner, strict=True):
+            what, name, kind, of, params = head_of(t or "", o) or (None, None, None, None, [])
+            out.append((what, name, kind, of, [{"type": a, "name": n} for a, n in params], [{"type": a, "name": n} for a, n in inner_variables(t or "")]))
+        return pd.DataFrame(out, columns=["what", "name", "kind", "type", "params", "inner"])
 
     return run
 
 
-def calls(text: Column) -> Column:
-    """array of struct(skip, kind, receiver, name, argc, args) of the calls in a statement."""
-    return _calls_udf()(text)
+def calls(text: Column, initialisers: Column | None = None) -> Column:
+    """array of struct(skip, kind, receiver, name, argc, args) of the calls in a statement; see ``calls_of``."""
+    return _calls_udf()(text, F.lit(False) if initialisers is None else initialisers)
 
 
 def declared(text: Column, owner: Column) -> Column:
-    """struct(what, name, kind, type, params) of what a statement declares; all null if nothing."""
+    """struct(what, name, kind, type, params, inner) of what a statement declares; all null if nothing.
+
+    ``inner``: ``inner_variables``.
+    """
     return _head_udf()(text, owner)

@@ -31,10 +31,10 @@ def code_only(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _code_only():
-    @F.pandas_udf(T.StringType())
+def _pieces():
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: code_only(t) if t else "")
+        return text.map(lambda t: stmt.pieces(code_only(t)) if t else [""])
 
     return run
 
@@ -88,10 +88,10 @@ NESTED = 12
 def statements(files: DataFrame) -> DataFrame:
     """path, seq, text, base (line where the text begins), line (of its first word), before and after (brace depth).
 
-    A statement ends after ``{``, ``}`` or ``;``, wherever lines do; comments, literals and directives are blank.
+    A statement ends after ``{``, ``}`` or ``;`` outside of round brackets, wherever lines do; comments, literals and
+    directives are blank.
     """
-    code = files.select("path", _code_only()(F.col("text")).alias("text"))
-    cut = code.select("path", F.posexplode(F.split("text", r"(?<=[{};])")).alias("seq", "text"))
+    cut = files.select("path", F.posexplode(_pieces()(F.col("text"))).alias("seq", "text"))
     order = Window.partitionBy("path").orderBy("seq")
     delta = F.when(F.endswith("text", F.lit("{")), 1).when(F.endswith("text", F.lit("}")), -1).otherwise(0)
     lines = F.regexp_count("text", F.lit("\n"))
@@ -135,7 +135,7 @@ def facts(files: DataFrame, macros: Column | None) -> DataFrame:
     state = status.select(F.col("path").alias("p"), F.col("line_no").alias("n"), "build_status")
 
     rows = scoped(statements(files)).withColumn("ns", F.array_join("scopes", "::")).withColumn("owner", F.get("scopes", F.size("scopes") - 1))
-    found = F.when(~F.col("code") | F.col("text").rlike(r"^[\s\w:<>,*&]+[\s*&>]\w+\s*(\[[^\]]*\]\s*)*(=|;$)"), stmt.declared(F.col("text"), F.col("owner")))
+    found = F.when(~F.col("code") | F.col("text").rlike(r"^[\s\w:<>,*&]+[\s*&>]\w+\s*(\[[^\]]*\]\s*)*(=|;$)|\([^{]*\{."), stmt.declared(F.col("text"), F.col("owner")))
     rows = rows.withColumn("head", found).withColumn("what", F.when(F.col("code") & (F.col("head.what") != "variable"), None).otherwise(F.col("head.what")))
     qualified = F.concat_ws("::", F.nullif("ns", F.lit("")), F.col("head.name"))
     rows = rows.withColumn("qualified", qualified)
@@ -145,6 +145,8 @@ def facts(files: DataFrame, macros: Column | None) -> DataFrame:
     block = F.struct(F.when(F.coalesce(defined, F.lit(False)), F.col("qualified")).alias("qualified"), "ns")
     around = F.last(F.when(~F.col("code") & ~F.col("is_scope") & F.endswith("text", F.lit("{")), block), ignorenulls=True).over(order)
     rows = rows.withColumn("fn", around).withColumn("fn", F.when(F.col("code") & F.col("fn.qualified").isNotNull(), F.col("fn")))
+    # The head of a definition is its function's as well: its initialisers call.
+    rows = rows.withColumn("caller", F.coalesce("fn", F.when(F.coalesce(defined, F.lit(False)), F.struct("qualified", "ns"))))
 
     head, c = F.col("head"), {"fact_type": "string", "line": "bigint", "subject": "string", "predicate": "string", "object": "string", "detail": "string", "kind": "string", "receiver": "string", "argc": "int", "type": "string", "args": "array<string>"}
 
@@ -171,7 +173,8 @@ def facts(files: DataFrame, macros: Column | None) -> DataFrame:
         only(F.col("what") == "alias", F.array(fact("alias", F.col("qualified"), "aliases", head["type"]))),
         only((F.col("what") == "variable") & ~F.col("code") & (F.col("ns") != ""), F.array(fact("field", F.col("ns"), "has_field", head["name"], type=head["type"]))),
         only((F.col("what") == "variable") & F.col("code") & F.col("fn").isNotNull(), F.array(fact("binding", F.col("fn.qualified"), "declares", head["name"], type=head["type"]))),
-        only(F.col("fn").isNotNull(), F.transform(stmt.calls(F.col("text")), lambda x: fact("call", F.col("fn.qualified"), "calls", x["name"], line=F.col("base") + x["skip"], detail=F.nullif(F.col("fn.ns"), F.lit("")), kind=x["kind"], receiver=x["receiver"], argc=x["argc"], args=x["args"]))),
+        only(F.col("code") & F.col("fn").isNotNull() & head["inner"].isNotNull(), F.transform(head["inner"], lambda x: fact("binding", F.col("fn.qualified"), "declares", x["name"], type=x["type"]))),
+        only(F.col("caller.qualified").isNotNull(), F.transform(stmt.calls(F.col("text"), F.col("fn").isNull()), lambda x: fact("call", F.col("caller.qualified"), "calls", x["name"], line=F.col("base") + x["skip"], detail=F.nullif(F.col("caller.ns"), F.lit("")), kind=x["kind"], receiver=x["receiver"], argc=x["argc"], args=x["args"]))),
         only(F.col("fn").isNotNull(), F.transform(F.filter(assigned, lambda x: ~x["name"].isin(_VALUES)), lambda x: fact("assign", F.col("fn.qualified"), "assigns", x["name"], receiver=x["place"]))),
         only(F.col("table") != "", F.transform(F.filter(F.col("entries"), lambda x: (x["name"] != "") & ~x["name"].isin(_VALUES)), lambda x: fact("table_entry", F.concat("table", F.lit("."), x["field"]), "holds", x["name"]))),
     ]

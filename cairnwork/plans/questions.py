@@ -85,7 +85,7 @@ def answers(questions: DataFrame, key: str, text: str, facts: DataFrame) -> Data
     kind: call, definition, call_path (subject and object its ends, path the route, line its hops). Callers and callees
     are calls that are not inactive; a definition may be inactive only if no other is known. A call path is one of the
     shortest over resolved calls (or names as called, where nothing is known of the target) between all symbols that the
-    ends may mean. Questions join facts on suffixes of names, so common names are no pairs beyond their matches. Other
+    ends may mean; it is conditional if one of its hops is. Questions join facts on suffixes of names, so common names are no pairs beyond their matches. Other
     modes have no facts here.
     """
     want = tables.cut(asked(questions, key, text))
@@ -99,8 +99,9 @@ def answers(questions: DataFrame, key: str, text: str, facts: DataFrame) -> Data
     rest = found.filter("build_status = 'inactive' and mode = 'definition'").join(live.select(F.col(key).alias("__k")).distinct(), F.col(key).eqNullSafe(F.col("__k")), "left_anti")
     out = out.unionByName(live).unionByName(rest)
 
-    hops = evidence.edges(facts).filter("build_status <> 'inactive'").select(F.col("caller").alias("src"), F.coalesce("resolved", "callee").alias("dst"))
-    hops = tables.cut(hops.distinct())
+    hops = evidence.edges(facts).filter("build_status <> 'inactive'").select(F.col("caller").alias("src"), F.coalesce("resolved", "callee").alias("dst"), "build_status")
+    # A hop is sure if one of its calls is.
+    hops = tables.cut(hops.groupBy("src", "dst").agg(F.bool_or(F.col("build_status") == "active").alias("sure")))
     ends = want.filter("goal is not null")
     begins = resolve.by_suffix(ends, "symbol", hops.select(F.col("src").alias("start")).distinct(), "start")
     reached = tables.cut(graph.reach(hops, begins.select("start").distinct()))
@@ -110,8 +111,12 @@ def answers(questions: DataFrame, key: str, text: str, facts: DataFrame) -> Data
     best = met.groupBy(key, "mode", "symbol", "goal").agg(F.min(F.struct("far", "start", "node")).alias("x")).select(key, "mode", "symbol", "goal", "x.*")
     best = tables.cut(best)
     walked = graph.routes(reached, best.select(F.col("start").alias("from"), F.col("node").alias("goal")).distinct()).select(F.col("start").alias("s"), F.col("goal").alias("g"), "route")
+    nodes = F.split("route", " > ")
+    steps = walked.select("s", "g", F.inline(F.arrays_zip(F.slice(nodes, F.lit(1), F.size(nodes) - 1).alias("src"), F.slice(nodes, 2, F.size(nodes)).alias("dst"))))
+    status = F.when(F.bool_and("sure"), "active").otherwise("conditional").alias("worst")
+    walked = walked.join(steps.join(hops, ["src", "dst"]).groupBy("s", "g").agg(status), ["s", "g"])
     path = best.join(walked, (F.col("start") == F.col("s")) & (F.col("node") == F.col("g")))
-    path = path.select(key, "mode", F.lit("call_path").alias("kind"), F.col("route").alias("path"), F.col("far").cast("long").alias("line"), F.col("start").alias("subject"), F.col("node").alias("object"), F.lit("active").alias("build_status"))
+    path = path.select(key, "mode", F.lit("call_path").alias("kind"), F.col("route").alias("path"), F.col("far").cast("long").alias("line"), F.col("start").alias("subject"), F.col("node").alias("object"), F.col("worst").alias("build_status"))
     return out.select(*path.columns).unionByName(path)
 
 

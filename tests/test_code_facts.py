@@ -198,3 +198,71 @@ void plain(void) { other(); }
     claims = [(1, "scheduler", "worker", "enters_critical_section", "", "supported"), (2, "scheduler", "worker", "suspends_scheduler", "", "contradicted"), (3, "kernel_object", "handler", "gives_semaphore", "semaphore", "conditional"), (4, "kernel_object", "handler", "takes_semaphore", None, "unknown"), (5, "scheduler", "handler", "suspends_scheduler", "", "unknown"), (6, "heap", "nobody", "frees_heap_memory", "", "unknown")]
     got = {r.claim_id: r.verdict for r in relations.verify(spark.createDataFrame([c[:5] for c in claims], "claim_id int, pack string, subject string, predicate string, object string"), found).collect()}
     assert got == {c[0]: c[5] for c in claims}
+
+
+def test_statements_are_read_in_linear_time():
+    import time
+
+    from cairnwork.functions import statements
+
+    for text in ("f(1)," * 20_000, "a" + ".b(1)" * 4_000, "x" * 50_000, "a::" * 20_000, "a<b>::" * 10_000, "a<b," * 20_000, "(" * 20_000):
+        began = time.perf_counter()
+        statements.calls_of(text + ";")
+        assert time.perf_counter() - began < 5, text[:10]
+    assert len(statements.calls_of("f(1)," * 20_000 + ";")) == 20_000
+
+
+@pytest.mark.parametrize(
+    ("text", "calls"),
+    [
+        ("g({1}, b);", [("free", None, "g", 2)]),
+        ("h([&](int x) { k(x); }, 2);", [("free", None, "h", 2), ("free", None, "k", 1)]),
+        ("a::b<int>::c(4);", [("qualified", None, "a::b::c", 1)]),
+        ("f(a < b, c);", [("free", None, "f", 2)]),
+        ("f(a < b && q, c > d);", [("free", None, "f", 2)]),
+        ("f(pair<int, b>(1), c);", [("free", None, "f", 2), ("free", None, "pair", 1)]),
+        ("p->m[3].go(1, 2).on();", [("member", "p.m", "go", 2), ("chained", "p.m.go()", "on", 0)]),
+        ("(*p->hook)(b);", [("function_pointer", None, "p.hook", 1)]),
+        ("case 1:f(2);", [("free", None, "f", 1)]),
+    ],
+)
+def test_calls_of_a_statement(text, calls):
+    from cairnwork.functions import statements
+
+    assert [(kind, receiver, name, len(args)) for _, kind, receiver, name, args in statements.calls_of(text)] == calls
+
+
+def test_pieces_end_outside_of_round_brackets():
+    from cairnwork.functions import statements
+
+    assert [p.strip() for p in statements.pieces("void f() { h([&] { k(); }, 2); for (a; b; c) { d(); } if (x && if (y) { z(); } } int w;")] == [
+        "void f() {", "h([&] { k(); }, 2);", "for (a; b; c) {", "d();", "}", "if (x && if (y) {", "z();", "}", "}", "int w;", "",
+    ]
+
+
+def test_facts_of_heads_with_attributes_specialisations_and_initialisers(spark):
+    from cairnwork.plans import ingest
+
+    text = """template<> void spec<int>(int a) { s1(a); }
+__attribute__((noinline)) void before(void) { s2(); }
+void after(void) __attribute__((noreturn)) { s3(); }
+struct Y { Y(int q) : base(init(q)), z(make()) { s4(); } };
+void user() {
+    each([&](int x) { Y *local; inner(x); }, {1, 2});
+}
+"""
+    found = ingest.facts(spark.createDataFrame([("a.cpp", text)], "path string, text string"), ingest.macro_map({}))
+    got = {(r.subject, r.object, r.line, r.argc) for r in found.filter("fact_type = 'call'").collect()}
+    assert got == {("spec", "s1", 1, 1), ("before", "s2", 2, 0), ("after", "s3", 3, 0), ("Y::Y", "init", 4, 1), ("Y::Y", "make", 4, 0), ("Y::Y", "s4", 4, 0), ("user", "each", 6, 2), ("user", "inner", 6, 1)}
+    assert ("user", "local") in {(r.subject, r.object) for r in found.filter("fact_type = 'binding'").collect()}
+
+
+def test_a_path_is_as_sure_as_its_least_sure_hop(spark):
+    from cairnwork.plans import ingest, questions
+
+    text = "void r(void) { }\nvoid q(void) { r(); }\nvoid p(void) {\n#ifdef X\n    q();\n#endif\n}\nvoid s(void) { q(); }\n"
+    facts = ingest.facts(spark.createDataFrame([("a.c", text)], "path string, text string"), ingest.macro_map({"KNOWN": "1"}))
+    asked = spark.createDataFrame([(1, "p から r への path"), (2, "s から r への path")], "id int, q string")
+    answered = questions.answers(asked, "id", "q", facts).cache()
+    assert {(r.id, r.path, r.build_status) for r in answered.filter("kind = 'call_path'").collect()} == {(1, "p > q > r", "conditional"), (2, "s > q > r", "active")}
+    assert {(r.id, r.answerability) for r in questions.assess(asked, "id", "q", answered).collect()} == {(1, "partial"), (2, "answerable")}
