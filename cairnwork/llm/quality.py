@@ -155,10 +155,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, all columns, without a shuffle of texts."""
+    """The rows of ``docs`` that the classifier accepts, all columns, without a shuffle of texts.
+
+    These are the rows whose ``predicted`` is 1 in ``score_quality``. So where labels of both classes are missing (two of
+    each) and every score is 0.5, a ``threshold`` above that keeps none.
+    """
     model = fit(document_statistics(docs, id_col, text_col), labels, id_col, label_col)
     if model.mean is None:
-        return docs
+        return docs.filter(F.lit(0.5) >= threshold)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

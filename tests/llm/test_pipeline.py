@@ -75,3 +75,13 @@ def test_stages_of_nothing(spark):
     frame = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame, DATA).count() == 0
+
+
+def test_without_labels_the_filter_keeps_what_is_predicted_good(spark):
+    from cairnwork.llm import quality
+
+    docs = spark.createDataFrame([(1, "Some text."), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert {(r.score, r.predicted) for r in quality.score_quality(docs, labels).collect()} == {(0.5, 0)}
+    assert quality.keep_good(docs, labels).count() == 0
+    assert quality.keep_good(docs, labels, threshold=0.5).count() == 2
