@@ -28,6 +28,21 @@ def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(frontier)) if hop % 8 == 0 else seen.unionByName(frontier)
 
 
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node: the starts and all that can be reached from any of them, each once, whatever start it was reached from.
+
+    edges: src, dst. starts: node. The pairs of ``reach`` are never made, so this is bounded by the nodes.
+    """
+    edges = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    seen = frontier = cut(starts.select("node").filter("node is not null").distinct())
+    for hop in count(1):
+        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = cut(step.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(frontier)) if hop % 8 == 0 else seen.unionByName(frontier)
+
+
 def routes(reached: DataFrame, goals: DataFrame, sep: str = " > ") -> DataFrame:
     """start, goal, hops, route: the nodes of a shortest route in order, joined by ``sep``.
 

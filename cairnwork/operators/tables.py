@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_LIMIT, MOST_LIMIT = 100, 500
@@ -17,18 +17,24 @@ def cut(df: DataFrame) -> DataFrame:
     Where the session names none and all tasks run on this machine (tests), a temporary folder is made; on a cluster
     that is an error, as executors would not see it.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this session's checkpoints, which driver and executors share."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairnwork-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``new`` rows replace ``old`` rows of equal keys (null keys are equal)."""
-    fresh = new.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], gone: DataFrame | None = None) -> DataFrame:
+    """``new`` rows replace ``old`` rows of equal keys (null keys are equal), or those of the keys in ``gone``."""
+    fresh = (new if gone is None else gone).select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
     same = None
     for k in keys:
         same = old[k].eqNullSafe(F.col(f"__{k}")) if same is None else same & old[k].eqNullSafe(F.col(f"__{k}"))

@@ -7,10 +7,14 @@ head spans lines. Each market segment is a header.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import receivers, tables, target
+from ..sources.store import FactStore
+from ..streaming import incremental
 from . import callbacks, claims, evidence, headers, ingest, questions, workflow
 
 QUERIES: dict = {}
@@ -302,6 +306,30 @@ def code_answered(spark, sf_dir):
     return found.filter("question not like 'bus_%'").drop("question", "mode")
 
 
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``sources`` at two times. In the second, customers with over 9,000 are new, those in debt have one more function,
+    those without orders are gone, and the header of MACHINERY has a setting that its customers' files ask for."""
+    balance = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("src/c"), "c_custkey", F.lit(".cpp")).alias("path"), "c_acctbal")
+    files = sources(spark, sf_dir).join(balance, "path", "left")
+    more = F.concat("text", F.lit("void extra"), F.regexp_extract("path", r"c(\d+)", 1), F.lit("() {\n    settle_more(1);\n}\n"))
+    later = F.when(F.col("c_acctbal") < 0, more).when(F.col("path") == "src/MACHINERY.h", F.concat("text", F.lit("#define PENDING 1\n"))).otherwise(F.col("text"))
+    return files.filter("c_acctbal is null or c_acctbal <= 9000").select("path", "text"), files.filter("c_acctbal is null or contains(text, 'settle_')").select("path", later.alias("text"))
+
+
+@query(f"""WITH {_CALLS}, q AS (SELECT * FROM p WHERE c IN (SELECT o_custkey FROM orders))
+SELECT k.path, caller AS subject, callee AS object, CASE WHEN build_status = 'conditional' AND s = 'MACHINERY' THEN 'active' ELSE build_status END AS build_status FROM k JOIN q ON k.path = q.path
+UNION ALL SELECT path, 'extra' || c, 'settle_more', 'active' FROM q JOIN customer ON c = c_custkey WHERE c_acctbal < 0
+UNION ALL SELECT path || ' > src/' || s || '.h', 'Segment' || s || '::' || unnest(['pay', 'audit']), 'function', 'active' FROM q""")
+def code_refreshed(spark, sf_dir):
+    """Calls, and what files see of their headers, in a store that was built from one snapshot and refreshed to the next."""
+    first, second = snapshots(spark, sf_dir)
+    store = FactStore(spark, f"{tables.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    for tree in (first, second):
+        incremental.refresh(store, tree, {"NDEBUG": ""}, whole=True)
+    seen = store.read("projected").filter("fact_type = 'symbol'").unionByName(store.read("facts").filter("fact_type = 'call'"), allowMissingColumns=True)
+    return seen.select("path", "subject", "object", "build_status")
+
+
 def _intent_sql(text: str) -> str:
     some = lambda words: "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
     cases = " ".join("WHEN " + " OR ".join("(" + " AND ".join(map(some, groups)) + ")" for groups in ways) + f" THEN '{name}'" for name, ways in questions.INTENTS)

@@ -16,8 +16,17 @@ def resolve_includes(files: DataFrame, include_dirs: list[str]) -> DataFrame:
 
     The file's own folder goes first, then the include folders in order; only header files count.
     """
+    return resolve_lines(include_lines(files), files, include_dirs)
+
+
+def include_lines(files: DataFrame) -> DataFrame:
+    """path, target, local (in quotes) of every include line."""
     lines = tables.lines(files, "path", "text")
-    found = lines.select("path", F.regexp_extract("line", r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]", 1).alias("target"), F.col("line").contains('"').alias("local")).filter("target <> ''").distinct()
+    return lines.select("path", F.regexp_extract("line", r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]", 1).alias("target"), F.col("line").contains('"').alias("local")).filter("target <> ''").distinct()
+
+
+def resolve_lines(found: DataFrame, files: DataFrame, include_dirs: list[str]) -> DataFrame:
+    """``resolve_includes`` of include lines that are known already, against the paths of ``files``."""
     folder = F.regexp_replace("path", "[^/]*$", "")
     places = F.array(folder, *(F.lit(d.strip("/") + "/" if d.strip("/") else "") for d in include_dirs))
     tried = found.select("path", "target", "local", F.posexplode(places).alias("rank", "place")).withColumn("name", F.regexp_replace(F.concat("place", "target"), r"(^|/)(\./)+", "$1"))
@@ -37,13 +46,18 @@ def header_macros(files: DataFrame, macros) -> DataFrame:
     return kept.groupBy("path", "name").agg(F.max_by("value", "line_no").alias("value"))
 
 
-def unit_macros(files: DataFrame, include_dirs: list[str], command: DataFrame, configured: dict[str, str]) -> DataFrame:
+def local_headers(resolved: DataFrame) -> DataFrame:
+    """unit, header of the local includes that were resolved."""
+    return resolved.filter("local and header is not null").select(F.col("path").alias("unit"), "header").distinct()
+
+
+def unit_macros(files: DataFrame, include_dirs: list[str], command: DataFrame, configured: dict[str, str], local: DataFrame | None = None) -> DataFrame:
     """unit, name, value, origins: settings of each source, of its direct local headers, its command, the profile.
 
-    Later origins win. command: file, macros (map). Headers of headers are not followed.
+    Later origins win. command: file, macros (map). Headers of headers are not followed. local: ``local_headers``, if known.
     """
     headers = header_macros(files, ingest.macro_map(configured)).withColumnRenamed("path", "header")
-    local = resolve_includes(files, include_dirs).filter("local and header is not null").select(F.col("path").alias("unit"), "header")
+    local = local_headers(resolve_includes(files, include_dirs)) if local is None else local
     from_headers = local.join(headers, "header").select("unit", "name", "value", F.lit("1_header").alias("origin"))
     from_command = command.select(F.col("file").alias("unit"), F.explode("macros").alias("name", "value")).withColumn("origin", F.lit("2_command"))
     units = files.filter(~F.col("path").rlike(HEADER)).select(F.col("path").alias("unit"))
@@ -53,13 +67,31 @@ def unit_macros(files: DataFrame, include_dirs: list[str], command: DataFrame, c
     return resolve.last_wins(keyed, "key", "value", "origin").select("key.unit", "key.name", "value", "origins")
 
 
-def projected_facts(files: DataFrame, include_dirs: list[str], macros_of: DataFrame) -> DataFrame:
+def _maps(macros_of: DataFrame) -> DataFrame:
+    return macros_of.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("macros"))
+
+
+def unit_facts(files: DataFrame, units: DataFrame, local: DataFrame, command: DataFrame, configured: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Facts of the ``units`` (column path), each under its own macros, and of headers as these units see them (with unit).
+
+    files: texts of the units and of the headers that they include; local: their ``local_headers``. Headers that are
+    units themselves are read under the configured macros.
+    """
+    local = local.filter(~F.col("unit").rlike(HEADER)).join(units.select(F.col("path").alias("unit")), "unit", "left_semi")
+    macros_of = tables.cut(unit_macros(files, [], command, configured, local))
+    own = files.join(units.select("path"), "path", "left_semi").join(_maps(macros_of).withColumnRenamed("unit", "path"), "path", "left")
+    own = own.select("path", "text", F.coalesce("macros", ingest.macro_map(configured)).alias("macros"))
+    seen = projected_facts(files, [], macros_of, local)
+    return ingest.facts(own, None), seen.withColumn("unit", F.split_part("path", F.lit(" > "), F.lit(1)))
+
+
+def projected_facts(files: DataFrame, include_dirs: list[str], macros_of: DataFrame, local: DataFrame | None = None) -> DataFrame:
     """Facts of each header once per unit that includes it, under that unit's macros; path is ``unit > header``.
 
-    macros_of: unit, name, value.
+    macros_of: unit, name, value. local: ``local_headers``, if known.
     """
-    maps = macros_of.groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("macros"))
-    seen = resolve_includes(files, include_dirs).filter("local and header is not null").select(F.col("path").alias("unit"), "header").distinct()
+    maps = _maps(macros_of)
+    seen = local_headers(resolve_includes(files, include_dirs)) if local is None else local
     rows = seen.join(files.select(F.col("path").alias("header"), "text"), "header").join(maps, "unit", "left")
     keyed = rows.select(F.concat_ws(" > ", "unit", "header").alias("path"), "text", F.coalesce("macros", ingest.macro_map({})).alias("macros"))
     return ingest.facts(keyed, None)
