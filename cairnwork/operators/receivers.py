@@ -1,8 +1,8 @@
-"""What type a member call's receiver has: a chain of joins, one for each step of the longest chain.
+"""What type a member call's receiver has: joins for each step of its chain, over the calls that have such a step.
 
-A step finds the type of a name: of the first, among the bindings of the function, then the fields of the classes
-around it; of the others, among the fields of the type so far, or the return types of its methods. Types are compared
-by their short names; a name with several types is unknown.
+A step finds the type of a name: of the first, among the bindings of the function in its file, then the fields of the
+classes around it; of the others, among the members of the type so far, own or inherited. Types are compared by their
+full names, found from the scope of each use (``scopes``); a name with several types is unknown.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lexical import bare_type
 from ..functions.names import short_name
-from . import graph
+from . import graph, scopes
+from .tables import cut
 
 
 def _unique(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -20,42 +21,60 @@ def _unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("type").alias("type"), F.max("type").alias("__x")).filter("type = __x").drop("__x")
 
 
-def members(facts: DataFrame) -> DataFrame:
-    """of (short name of the class), member (``name`` of a field, ``name()`` of a method), type (short, bare)."""
-    fields = facts.filter("fact_type = 'field'").select(short_name(F.col("subject")).alias("of"), F.col("object").alias("member"), "type")
-    owner = F.regexp_extract("subject", r"([A-Za-z_]\w*)::~?[A-Za-z_]\w*$", 1)
-    methods = facts.filter("fact_type = 'symbol' and type is not null").select(owner.alias("of"), F.concat(short_name(F.col("subject")), F.lit("()")).alias("member"), "type")
-    every = fields.unionByName(methods).withColumn("type", short_name(bare_type(F.col("type"))))
-    aliases = facts.filter("fact_type = 'alias'").select(short_name(F.col("subject")).alias("name"), short_name(bare_type(F.col("object"))).alias("target")).filter("name <> target")
-    ends = graph.alias_closure(aliases, "name", "target").filter("final is not null")
-    plain = every.join(ends, F.col("type") == F.col("name"), "left").withColumn("type", F.coalesce("final", "type")).drop("name", "final")
-    return _unique(plain, ["of", "member"])
-
-
 def receiver_types(facts: DataFrame) -> DataFrame:
-    """path, line, subject, receiver, object, argc, type (short name, null if unknown) of every call on a receiver."""
-    known = members(facts)
+    """path, line, subject, receiver, object, argc, type (short name, null if unknown), full, holder of every call on a receiver.
+
+    full: the type's full name. holder: the class that has the method, the type itself or the nearest base; null if
+    none is known to have it.
+    """
     calls = facts.filter("fact_type = 'call' and receiver is not null and kind in ('member', 'chained')").select("path", "line", "subject", "receiver", "object", "argc", "detail").distinct()
-    bound = _unique(facts.filter("fact_type = 'binding'").select(F.col("subject").alias("fn"), F.col("object").alias("var"), short_name(bare_type(F.col("type"))).alias("type")), ["fn", "var"])
-    steps = F.split("receiver", r"\.")
-    # A method's class: what its qualified name ends with before its own name, or the scope around its definition.
-    owner = F.coalesce(F.nullif(F.regexp_extract("subject", r"([A-Za-z_]\w*)::~?[A-Za-z_]\w*$", 1), F.lit("")), short_name(F.col("detail")))
-    asked = calls.select("subject", "receiver", "detail").distinct().withColumns({"steps": steps, "owner": owner})
-    longest = asked.agg(F.max(F.size("steps"))).first()[0] or 0
+    # Every type name and owner that occurs, with the scope it occurs in, is looked up once.
+    around = scopes.outer(F.col("subject"))
+    fields = facts.filter("fact_type = 'field'").select("subject", F.col("subject").alias("owner"), F.col("object").alias("member"), F.col("subject").alias("scope"), bare_type(F.col("type")).alias("name"))
+    methods = facts.filter("fact_type = 'symbol'").select("subject", around.alias("owner"), F.concat(short_name(F.col("subject")), F.lit("()")).alias("member"), around.alias("scope"), bare_type(F.col("type")).alias("name"))
+    bound = facts.filter("fact_type = 'binding'").select("path", F.col("subject").alias("fn"), F.col("object").alias("var"), around.alias("scope"), bare_type(F.col("type")).alias("name"))
+    # A method's class: what its qualified name says, or the scope around its definition.
+    asked = calls.select("path", "subject", "receiver", "detail").distinct().withColumns({"steps": F.split("receiver", r"\."), "owner": F.coalesce(F.nullif(around, F.lit("")), "detail")})
+    said = fields.unionByName(methods)
+    uses = said.select("scope", "name").unionByName(bound.select("scope", "name"))
+    for owned in (said, asked):
+        uses = uses.unionByName(owned.select(F.lit("").alias("scope"), F.col("owner").alias("name")))
+    meant = cut(scopes.types_meant(uses, facts))
+    types = meant.withColumnRenamed("full", "type")
+    owners = meant.filter("scope = ''").select(F.col("name").alias("owner"), F.col("full").alias("of"))
+
+    every = said.join(owners, "owner", "left").withColumn("of", F.coalesce("of", "owner"))
+    above = cut(scopes.bases(facts))
+    known = cut(scopes.inherited(_unique(every.filter("name is not null").join(types, ["scope", "name"]), ["of", "member"]), above, "type"))
+    has = every.filter(F.endswith("member", F.lit("()"))).select("of", "member", F.col("of").alias("holder")).filter("of <> ''").distinct()
+    has = scopes.inherited(has, above, "holder").withColumnRenamed("of", "full")
+    bound = _unique(bound.join(types, ["scope", "name"]), ["path", "fn", "var"]).withColumnsRenamed({"path": "in", "type": "bound"})
+
     first = F.element_at("steps", 1)
-    at = asked.join(bound.withColumnsRenamed({"type": "bound"}), (F.col("subject") == F.col("fn")) & (first == F.col("var")), "left").drop("fn", "var")
-    at = at.join(known.withColumnsRenamed({"type": "held"}), (F.col("owner") == F.col("of")) & (first == F.col("member")), "left").drop("of", "member")
+    at = asked.join(owners, "owner", "left").withColumn("owner", F.coalesce("of", "owner")).drop("of")
+    at = at.join(bound, (F.col("path") == F.col("in")) & (F.col("subject") == F.col("fn")) & (first == F.col("var")), "left").drop("in", "fn", "var")
+    at = at.join(known.withColumnRenamed("type", "held"), (F.col("owner") == F.col("of")) & (first == F.col("member")), "left").drop("of", "member")
     free = known.filter("of = ''").select(F.col("member").alias("free_name"), F.col("type").alias("returned"))
     at = at.join(free, first == F.col("free_name"), "left")
-    at = at.withColumn("type", F.when(first == "this", F.col("owner")).otherwise(F.coalesce("bound", "held", "returned"))).drop("bound", "held", "free_name", "returned")
-    for i in range(2, longest + 1):
+    live = cut(at.withColumn("type", F.when(first == "this", F.col("owner")).otherwise(F.coalesce("bound", "held", "returned"))).drop("bound", "held", "free_name", "returned"))
+    done, steps = None, 1
+    while True:
+        more = (F.size("steps") > steps) & F.col("type").isNotNull()
+        ended = live.filter(~more)
+        done = ended if done is None else done.unionByName(ended)
+        live = live.filter(more)
+        if live.isEmpty():
+            break
         own = known.select("of", "member", F.col("type").alias("next"))
-        more = F.size("steps") >= i
-        at = at.join(own, more & (F.col("type") == F.col("of")) & (F.get("steps", F.lit(i - 1)) == F.col("member")), "left")
-        at = at.withColumn("type", F.when(more, F.col("next")).otherwise(F.col("type"))).drop("of", "member", "next")
-    ends = at.select(*(F.col(c).alias(f"__{c}") for c in ("subject", "receiver", "detail")), "type")
-    same = (F.col("subject") == F.col("__subject")) & (F.col("receiver") == F.col("__receiver")) & F.col("detail").eqNullSafe(F.col("__detail"))
-    return calls.join(ends, same, "left").select("path", "line", "subject", "receiver", "object", "argc", "type")
+        live = live.join(own, (F.col("type") == F.col("of")) & (F.get("steps", F.lit(steps)) == F.col("member")), "left")
+        live, steps = cut(live.withColumn("type", F.col("next")).drop("of", "member", "next")), steps + 1
+    keys = ("path", "subject", "receiver", "detail")
+    ends = done.select(*(F.col(c).alias(f"__{c}") for c in keys), F.col("type").alias("full"), short_name(F.col("type")).alias("type"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    out = calls.join(ends, same, "left").withColumn("member", F.concat("object", F.lit("()")))
+    return out.join(has, ["full", "member"], "left").select("path", "line", "subject", "receiver", "object", "argc", "type", "full", "holder")
 
 
 def overriders(facts: DataFrame) -> DataFrame:

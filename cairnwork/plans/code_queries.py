@@ -330,6 +330,31 @@ def code_refreshed(spark, sf_dir):
     return seen.select("path", "subject", "object", "build_status")
 
 
+@query("""WITH k AS (SELECT s_suppkey AS k, 'src/n' || s_suppkey || '.cpp' AS path, 's' || s_suppkey AS ns FROM supplier)
+SELECT path, ns || '::help' AS caller, 'go' AS callee, ns || '::Node::go' AS resolved, 'resolved' AS status FROM k
+UNION ALL SELECT path, ns || '::help', 'stop', ns || '::Peer::stop', 'resolved' FROM k
+UNION ALL SELECT path, ns || '::use', 'go', ns || '::Node::go', 'resolved' FROM k
+UNION ALL SELECT path, ns || '::use', 'stop', ns || '::Peer::stop', 'resolved' FROM k
+UNION ALL SELECT path, 'shared', 'go', ns || '::Node::go', 'resolved' FROM k
+UNION ALL SELECT path, ns || '::Leaf::turn', 'stop', ns || '::Peer::stop', 'resolved' FROM k""")
+def code_scoped(spark, sf_dir):
+    """Calls on receivers whose types go by the same short names in every supplier's namespace, also through an alias, a
+    base's method and field, and in functions of one name in many files."""
+    text = """namespace s{k} {
+class Peer { public: void go(int a); void stop(); };
+class Node { public: void go(int a); Peer* peer; };
+class Leaf : public Node { public: void turn() { peer->stop(); } };
+using Other = Peer;
+void help(Node* x) { x->go(1); x->peer->stop(); }
+void use(Leaf* l, Other* o) { l->go(2); o->stop(); }
+}
+static void shared(s{k}::Node* x) { x->go(3); }
+"""
+    key = F.col("s_suppkey").cast("string")
+    files = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("src/n"), key, F.lit(".cpp")).alias("path"), F.replace(F.lit(text), F.lit("{k}"), key).alias("text"))
+    return evidence.edges(ingest.facts(files, ingest.macro_map({}))).select("path", "caller", "callee", "resolved", "status")
+
+
 def _intent_sql(text: str) -> str:
     some = lambda words: "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
     cases = " ".join("WHEN " + " OR ".join("(" + " AND ".join(map(some, groups)) + ")" for groups in ways) + f" THEN '{name}'" for name, ways in questions.INTENTS)

@@ -18,15 +18,15 @@ INTENTS = [("callers", ["who calls", "caller", "called by"]), ("callees", ["what
 def edges(facts: DataFrame) -> DataFrame:
     """caller, callee, resolved, candidates, status, build_status, path, line of every call, against all symbols.
 
-    A call on a receiver of a known type is that type's method; if classes below the type have it too, it may be any of them.
+    A call on a receiver of a known type is that type's method, its own or the nearest base's; if classes below the type have it too, it may be any of them.
     """
     facts = tables.cut(facts)  # read in many places below
     symbols = facts.filter("fact_type = 'symbol' and build_status <> 'inactive'").groupBy(F.col("subject").alias("qualified_name"), "argc").agg(F.max(F.col("predicate") == "definition").alias("is_definition"))
     calls = facts.filter("fact_type = 'call'").select(F.col("detail").alias("caller_ns"), F.col("object").alias("callee"), "argc", F.col("subject").alias("caller"), "path", "line", "build_status", "receiver").distinct()
-    typed = receivers.receiver_types(facts).filter("type is not null").select(F.col("path").alias("p"), F.col("line").alias("n"), F.col("subject").alias("s"), F.col("receiver").alias("r"), F.col("object").alias("o"), F.col("argc").alias("a"), "type")
+    typed = receivers.receiver_types(facts).filter("type is not null").select(F.col("path").alias("p"), F.col("line").alias("n"), F.col("subject").alias("s"), F.col("receiver").alias("r"), F.col("object").alias("o"), F.col("argc").alias("a"), "type", "holder")
     same = (F.col("path") == F.col("p")) & (F.col("line") == F.col("n")) & (F.col("caller") == F.col("s")) & (F.col("receiver") == F.col("r")) & (F.col("callee") == F.col("o")) & F.col("argc").eqNullSafe(F.col("a"))
     asked = calls.join(typed, same, "left").drop("p", "n", "s", "r", "o", "a").withColumnRenamed("callee", "name")
-    asked = asked.withColumn("callee", F.concat_ws("::", "type", "name")).withColumn("call_id", F.sha1(F.concat_ws("\0", "path", "line", "caller", "receiver", "callee", "argc")))
+    asked = asked.withColumn("callee", F.concat_ws("::", F.coalesce("holder", "type"), "name")).withColumn("call_id", F.sha1(F.concat_ws("\0", "path", "line", "caller", "receiver", "callee", "argc")))
     out = resolve.call_resolution(asked, symbols)
     virtual = receivers.overriders(facts).groupBy("base", "method").agg(F.array_sort(F.collect_set("candidate")).alias("also"))
     out = out.join(virtual, (F.col("type") == F.col("base")) & (F.col("name") == F.col("method")), "left")
