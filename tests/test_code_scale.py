@@ -1,8 +1,8 @@
-"""What keeps extraction from growing faster than their tables."""
+"""What keeps extraction and questions from growing faster than their tables."""
 
 from cairnwork.functions import statements
 from cairnwork.operators import tables
-from cairnwork.plans import ingest
+from cairnwork.plans import ingest, questions
 
 TREE = [
     ("a.c", "#if 0\nvoid gone() { x(); }\n#endif\nnamespace n {\nclass A : public B {\n  void m(int q);\n};\nvoid A::m(int q) { int v = 2; f(q);\n#ifdef U\n  g(v);\n#endif\n}\n}\nops t[] = { on, off };\n"),
@@ -37,3 +37,19 @@ def test_stored_tables_are_written_once(spark):
     assert tables.stored(rows, "k") is rows and rows.columns == ["k", "v"] and sorted(map(tuple, rows.collect())) == [("a", 1), ("b", 2)]
     empty = tables.stored(rows.filter("v > 5"), "k")
     assert empty.columns == ["k", "v"] and empty.isEmpty()
+
+
+def test_questions_that_ask_the_same_are_answered_once(spark, monkeypatch):
+    asked = spark.createDataFrame([(str(i), f"common caller {i}") for i in range(20)] + [("x", None), ("y", "path run"), (None, "run の定義")], "id string, q string")
+    facts = tables.stored(_facts(spark), "fact_type")
+    expected = questions.assess(asked, "id", "q", questions.answers(asked, "id", "q", facts))
+    sizes, answers = [], questions._answers
+
+    def counted(want, key, facts):
+        out = answers(want, key, facts)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(questions, "_answers", counted)
+    found = questions.assess_facts(asked, "id", "q", facts)
+    assert found.columns == expected.columns and sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect())) and sizes == [3]
