@@ -1,8 +1,13 @@
 """What keeps extraction and questions from growing faster than their tables."""
 
+import os
+from pathlib import Path
+
 from cairnwork.functions import statements
 from cairnwork.operators import tables
-from cairnwork.plans import ingest, questions
+from cairnwork.plans import code_queries, ingest, questions
+
+DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
 TREE = [
     ("a.c", "#if 0\nvoid gone() { x(); }\n#endif\nnamespace n {\nclass A : public B {\n  void m(int q);\n};\nvoid A::m(int q) { int v = 2; f(q);\n#ifdef U\n  g(v);\n#endif\n}\n}\nops t[] = { on, off };\n"),
@@ -53,3 +58,19 @@ def test_questions_that_ask_the_same_are_answered_once(spark, monkeypatch):
     monkeypatch.setattr(questions, "_answers", counted)
     found = questions.assess_facts(asked, "id", "q", facts)
     assert found.columns == expected.columns and sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect())) and sizes == [3]
+
+
+def test_every_question_gets_its_answers(spark, monkeypatch):
+    monkeypatch.setattr(questions, "PER_BUCKET", 3)
+    asked = spark.createDataFrame([(str(i), "common caller") for i in range(10)] + [(None, "run callee")], "id string, q string")
+    found = questions.answers(asked, "id", "q", _facts(spark))
+    assert found.columns == ["id", "mode", "kind", "path", "line", "subject", "object", "build_status"]
+    expected = [(str(i), s) for i in range(10) for s in ("run", "walk")]
+    rows = found.collect()
+    assert sorted((r.id, r.subject) for r in rows if r.id) == expected and [(r.subject, r.object) for r in rows if not r.id] == [("run", "common")]
+
+
+def test_common_questions_are_not_left_out(spark):
+    found = code_queries.code_answered(spark, str(DATA))
+    n = spark.read.parquet(f"{DATA}/supplier.parquet").count()
+    assert found.filter("object = 'bus_registerHandler'").count() == n * n
