@@ -4,8 +4,8 @@ import os
 from pathlib import Path
 
 from cairnwork.functions import statements
-from cairnwork.operators import tables
-from cairnwork.plans import code_queries, ingest, questions
+from cairnwork.operators import receivers, scopes, tables
+from cairnwork.plans import code_queries, evidence, headers, ingest, questions
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
@@ -74,3 +74,10 @@ def test_common_questions_are_not_left_out(spark):
     found = code_queries.code_answered(spark, str(DATA))
     n = spark.read.parquet(f"{DATA}/supplier.parquet").count()
     assert found.filter("object = 'bus_registerHandler'").count() == n * n
+
+
+def test_prose_is_read_once(spark):
+    texts = spark.createDataFrame([(1, "run calls common."), (2, "walk does not call common."), (3, None)], "id int, body string")
+    found = evidence.verify_text(texts, "id", "body", _facts(spark))
+    assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.overall, r.claims) for r in found.collect()) == [(1, "conditional", 1), (2, "conditional", 1), (3, "unknown", 0)]
