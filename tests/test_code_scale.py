@@ -81,3 +81,11 @@ def test_prose_is_read_once(spark):
     found = evidence.verify_text(texts, "id", "body", _facts(spark))
     assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.overall, r.claims) for r in found.collect()) == [(1, "conditional", 1), (2, "conditional", 1), (3, "unknown", 0)]
+
+
+def test_type_names_are_looked_up_once(spark, monkeypatch):
+    looked, full_names = [], scopes.full_names
+    monkeypatch.setattr(scopes, "full_names", lambda uses, known: looked.append(1) or full_names(uses, known))
+    text = "class B { public: void go(); };\nclass A : public B { };\nusing C = A;\nvoid f(C* c) { c->go(); }\n"
+    facts = tables.stored(ingest.facts(spark.createDataFrame([("x.cpp", text)], "path string, text string"), ingest.macro_map({})), "fact_type")
+    assert [(r.full, r.holder) for r in receivers.receiver_types(facts).collect()] == [("A", "B")] and len(looked) == 1
