@@ -89,3 +89,16 @@ def test_type_names_are_looked_up_once(spark, monkeypatch):
     text = "class B { public: void go(); };\nclass A : public B { };\nusing C = A;\nvoid f(C* c) { c->go(); }\n"
     facts = tables.stored(ingest.facts(spark.createDataFrame([("x.cpp", text)], "path string, text string"), ingest.macro_map({})), "fact_type")
     assert [(r.full, r.holder) for r in receivers.receiver_types(facts).collect()] == [("A", "B")] and len(looked) == 1
+
+
+def test_only_calls_on_receivers_are_typed(spark, monkeypatch):
+    rows, typed = [], receivers.typed
+
+    def counted(calls, facts):
+        rows.append(calls.count())
+        return typed(calls, facts)
+
+    monkeypatch.setattr(receivers, "typed", counted)
+    text = "struct B { void go(int a); };\nvoid f(B* b) { b->go(1); g(); h(2); B c(3); }\n"
+    found = evidence.edges(ingest.facts(spark.createDataFrame([("x.cpp", text)], "path string, text string"), ingest.macro_map({}))).collect()
+    assert sorted((r.callee, r.resolved) for r in found if r.resolved) == [("go", "B::go")] and len(found) == 4 and rows == [1]
