@@ -102,3 +102,14 @@ def test_only_calls_on_receivers_are_typed(spark, monkeypatch):
     text = "struct B { void go(int a); };\nvoid f(B* b) { b->go(1); g(); h(2); B c(3); }\n"
     found = evidence.edges(ingest.facts(spark.createDataFrame([("x.cpp", text)], "path string, text string"), ingest.macro_map({}))).collect()
     assert sorted((r.callee, r.resolved) for r in found if r.resolved) == [("go", "B::go")] and len(found) == 4 and rows == [1]
+
+
+def test_kinds_without_claims_cost_nothing(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("no claim asks for this")
+
+    monkeypatch.setattr(evidence, "edges", never)
+    monkeypatch.setattr(evidence.graph, "reach", never)
+    claims = spark.createDataFrame([(1, "definition_exists", "A::m", ""), (2, "definition_exists", "gone", ""), (3, None, "x", "y"), (4, "other", "x", "y")], "claim_id int, claim_type string, subject string, object string")
+    found = evidence.verify(claims, _facts(spark))
+    assert sorted((r.claim_id, r.verdict) for r in found.collect()) == [(1, "supported"), (2, "contradicted"), (3, "unknown"), (4, "unknown")]
