@@ -90,8 +90,14 @@ def projected_facts(files: DataFrame, include_dirs: list[str], macros_of: DataFr
 
     macros_of: unit, name, value. local: ``local_headers``, if known.
     """
-    maps = _maps(macros_of)
     seen = local_headers(resolve_includes(files, include_dirs)) if local is None else local
-    rows = seen.join(files.select(F.col("path").alias("header"), "text"), "header").join(maps, "unit", "left")
-    keyed = rows.select(F.concat_ws(" > ", "unit", "header").alias("path"), "text", F.coalesce("macros", ingest.macro_map({})).alias("macros"))
-    return ingest.facts(keyed, None)
+    rows = seen.join(_maps(macros_of), "unit", "left").withColumn("macros", F.coalesce("macros", ingest.macro_map({})))
+    # A header says the same to all units with the same macros: each such variant is read once, whatever the units.
+    told = F.to_json(F.array_sort(F.map_entries("macros")))
+    rows = tables.stored(rows.select("unit", "header", "macros", F.sha1(F.concat_ws("\0", "header", told)).alias("variant")))
+    variants = rows.groupBy("variant").agg(F.first("header").alias("header"), F.first("macros").alias("macros"))
+    texts = variants.join(files.select(F.col("path").alias("header"), "text"), "header").select(F.col("variant").alias("path"), "text", "macros")
+    found = tables.stored(ingest.facts(texts, None))
+    path = F.concat_ws(" > ", "unit", "header")
+    each = found.join(rows.select(F.col("variant").alias("path"), "unit", "header"), "path").withColumns({"path": path, "subject": F.when(F.col("fact_type") == "include", path).otherwise(F.col("subject"))})
+    return each.select(*found.columns)

@@ -3,6 +3,8 @@
 import os
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from cairnwork.functions import statements
 from cairnwork.operators import receivers, scopes, tables
 from cairnwork.plans import code_queries, evidence, headers, ingest, questions
@@ -113,3 +115,26 @@ def test_kinds_without_claims_cost_nothing(spark, monkeypatch):
     claims = spark.createDataFrame([(1, "definition_exists", "A::m", ""), (2, "definition_exists", "gone", ""), (3, None, "x", "y"), (4, "other", "x", "y")], "claim_id int, claim_type string, subject string, object string")
     found = evidence.verify(claims, _facts(spark))
     assert sorted((r.claim_id, r.verdict) for r in found.collect()) == [(1, "supported"), (2, "contradicted"), (3, "unknown"), (4, "unknown")]
+
+
+def test_headers_are_read_once_for_equal_macros(spark, monkeypatch):
+    read, facts = [], ingest.facts
+
+    def counted(files, macros):
+        read.append(files.count())
+        return facts(files, macros)
+
+    monkeypatch.setattr(ingest, "facts", counted)
+    files = spark.createDataFrame([("h.h", '#include "deep.h"\n#ifdef A\nint top(int a);\n#endif\n'), *((f"u{i}.c", '#include "h.h"\n') for i in range(6))], "path string, text string")
+    macros = spark.createDataFrame([("u0.c", "A", "1"), ("u1.c", "A", "1")], "unit string, name string, value string")
+    found = headers.projected_facts(files, [], macros).collect()
+    assert read == [2]
+    assert {(r.path, r.build_status) for r in found if r.subject == "top"} == {(f"u{i}.c > h.h", "active" if i < 2 else "conditional") for i in range(6)}
+    assert {r.path for r in found if r.fact_type == "include"} == {r.subject for r in found if r.fact_type == "include"} == {f"u{i}.c > h.h" for i in range(6)}
+
+
+def test_files_that_come_from_a_join_are_read_by_all_tasks(spark):
+    names = spark.range(64).select(F.concat(F.lit("u"), "id", F.lit(".c")).alias("path"), F.format_string("void f%d() { g(); }\n", "id").alias("text"))
+    files = names.join(names.select("path").hint("merge"), "path")
+    calls = ingest.facts(files, ingest.macro_map({})).filter("fact_type = 'call'").select("subject", F.spark_partition_id().alias("p")).collect()
+    assert len(calls) == 64 and len({r.p for r in calls}) == 4
